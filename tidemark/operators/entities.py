@@ -138,7 +138,7 @@ def detect_entities(news: DataFrame, companies: list[Company], categories: list[
         F.when(F.col("price_report"), F.lit(p)).otherwise(F.lit(d))
         for p, d in zip(PRICE_ACTION_CATEGORY, DEFAULT_COMPANY_CATEGORY))
     category = F.coalesce(F.col("_pick.category"), name)
-    matched = F.coalesce(F.filter(F.col("_hits"), lambda h: h["category"] == category).getItem(0)["keywords"],
+    matched = F.coalesce(F.get(F.filter(F.col("_hits"), lambda h: h["category"] == category), F.lit(0))["keywords"],
                          F.array().cast("array<string>"))
 
     def company_row(m: Column) -> Column:
