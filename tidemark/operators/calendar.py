@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import exchange_date, session_close, session_open
+from tidemark.session import local_frame
 
 #: Upper bound on calendar entries (days); anything longer is not a calendar.
 MAX_ENTRIES = 100_000
@@ -65,7 +66,7 @@ class Calendar:
         """session, idx, open_utc, close_utc, projected"""
         limit = self.reliable_until or dt.date.min
         rows = [(d, i, d > limit) for i, d in enumerate(self.sessions)]
-        df = self.spark.createDataFrame(rows, "session date, idx int, projected boolean")
+        df = local_frame(self.spark, rows, "session date, idx int, projected boolean")
         return df.select("session", "idx", session_open(F.col("session")).alias("open_utc"),
                          session_close(F.col("session")).alias("close_utc"), "projected")
 
@@ -76,20 +77,21 @@ class Calendar:
         for d in _days(self.first, self.last):
             i, j = bisect_right(s, d), bisect_left(s, d)
             rows.append((d, i, s[i - 1], s[j], s[j - 1] if j else None))
-        return self.spark.createDataFrame(
-            rows, "day date, sessions_to_date int, on_or_before date, on_or_after date, previous_session date")
+        return local_frame(
+            self.spark, rows, "day date, sessions_to_date int, on_or_before date, on_or_after date, previous_session date")
 
     def lookup(self, df: DataFrame, date: Column, *columns: str, prefix: str = "") -> DataFrame:
         """Attach spine columns for a date; dates outside the calendar resolve as the bounds allow."""
         key = F.least(F.greatest(date, F.lit(self.first)), F.lit(self.last))
+        spine = self.spine().select(F.col("day").alias("_spine_day"), *[F.col(c).alias("_spine_" + c) for c in columns])
         out = df.withColumn("_day", key).withColumn("_date", date)
-        out = out.join(F.broadcast(self.spine()), F.col("_day") == F.col("day"), "left")
+        out = out.join(F.broadcast(spine), F.col("_day") == F.col("_spine_day"), "left")
         before, after = F.col("_date") < F.lit(self.first), F.col("_date") > F.lit(self.last)
         values = {
-            "on_or_before": F.when(~before, F.col("on_or_before")),
-            "on_or_after": F.when(~after, F.col("on_or_after")),
-            "previous_session": F.when(after, F.lit(self.last)).when(~before, F.col("previous_session")),
-            "sessions_to_date": F.when(before, 0).otherwise(F.col("sessions_to_date")),
+            "on_or_before": F.when(~before, F.col("_spine_on_or_before")),
+            "on_or_after": F.when(~after, F.col("_spine_on_or_after")),
+            "previous_session": F.when(after, F.lit(self.last)).when(~before, F.col("_spine_previous_session")),
+            "sessions_to_date": F.when(before, 0).otherwise(F.col("_spine_sessions_to_date")),
         }
         return out.select(*df.columns, *[values[c].alias(prefix + c) for c in columns])
 
@@ -131,8 +133,8 @@ class CutoffGrid:
 
     def frame(self) -> DataFrame:
         rows = [(i, s, a, w) for i, (s, a, w) in enumerate(self.rows)]
-        return self.spark.createDataFrame(
-            rows, "pos int, session date, as_of timestamp_ntz, window_start timestamp_ntz")
+        return local_frame(
+            self.spark, rows, "pos int, session date, as_of timestamp_ntz, window_start timestamp_ntz")
 
     def _stops(self, by: str) -> list[dt.datetime]:
         return [r[1] if by == "as_of" else r[2] for r in self.rows]
@@ -149,7 +151,7 @@ class CutoffGrid:
         for d in _days(stops[0].date(), stops[-1].date()):
             rows.append((d, seen, by_day.get(d, [])))
             seen += len(by_day.get(d, []))
-        spine = self.spark.createDataFrame(rows, "_d date, _seen int, _stops array<timestamp_ntz>")
+        spine = local_frame(self.spark, rows, "_d date, _seen int, _stops array<timestamp_ntz>")
         first, last = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in (stops[0], stops[-1]))
         passed = (lambda c: c <= F.col("_ts")) if strict else (lambda c: c < F.col("_ts"))
         position = (

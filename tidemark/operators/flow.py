@@ -15,7 +15,8 @@ Z_CLIP = 5.0
 
 def flow_states(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp") -> DataFrame:
     ranged = flow_range(with_visibility(items, policy), grid, p)
-    return story_states(ranged, extra=("new_until",))
+    extra = ("new_until", "fetched_at") if "fetched_at" in ranged.columns else ("new_until",)
+    return story_states(ranged, extra=extra)
 
 
 def pooled_states(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp") -> DataFrame:
@@ -117,7 +118,7 @@ def news_flow(items: DataFrame, grid: CutoffGrid, members: DataFrame, p: dict, p
         F.when(~enough, F.lit(None)).when(quiet, 0.0).otherwise(F.bround(relative, 3)).alias("relative_sentiment"),
         F.when(~z_ok, F.lit(None)).when(quiet, 0.0).otherwise(F.bround(z, 4)).alias("sentiment_zscore"),
         F.bround("_mean", 3).alias("baseline_mean"), F.bround("_std", 3).alias("baseline_std"), "baseline_n", "news_count",
-        F.when(~quiet, F.bround(F.col("rel") / F.nullif("news_count", F.lit(0)), 3)).alias("news_relevance"),
+        F.when(~quiet, F.bround(F.round(F.try_divide("rel", "news_count"), 9), 3)).alias("news_relevance"),
         F.when(~quiet, F.bround(hours_between(F.col("newest"), F.col("as_of")), 2)).alias("news_recency_hours"),
         "price_reports_excluded")
 
@@ -126,7 +127,8 @@ def new_news_ids(states: DataFrame, p: dict, limit: int | None = None) -> DataFr
     """(pos, entity, news_id, available_at[, rank]): representatives of the new stories, oldest first."""
     pr_w = float(p["price_report_weight"])
     kept = new_stories(states).where(~(F.col("price_report") & F.lit(pr_w <= 0)))
-    rows = enumerate_positions(kept.select("entity", "p", "q", "news_id", "available_at"))
+    held = ["fetched_at"] if "fetched_at" in kept.columns else []
+    rows = enumerate_positions(kept.select("entity", "p", "q", "news_id", "available_at", *held))
     if limit is None:
         return rows
     order = Window.partitionBy("pos", "entity").orderBy("available_at", "news_id")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Largest dimension (rows) that is ever broadcast on request.
 BROADCAST_ROWS = 200_000
@@ -35,6 +38,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Small literal rows as a local relation: known size, so the optimizer broadcasts it on its own."""
+    struct = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(struct)
+    columns = list(zip(*rows)) if rows else [[] for _ in struct]
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.table(arrays, schema=arrow), struct)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints: the cluster's ``spark.checkpoint.dir`` when it is set.
 

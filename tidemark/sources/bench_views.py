@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.availability import available_at
 from tidemark.functions.timestamps import plus_days
 from tidemark.params import MODEL_PARAMS, NEWS_PARAMS
-from tidemark.session import use_utc
+from tidemark.session import local_frame, use_utc
 
 # Column rules valid in both SQL dialects.
 ENTITY = "CASE WHEN event_type = 'error' THEN 'MACRO' ELSE event_type END"
@@ -143,20 +143,20 @@ def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def universe(spark: SparkSession) -> DataFrame:
-    versions = spark.createDataFrame(
-        UNIVERSE_VERSIONS, "version string, effective_from string, effective_to string, status string, source string"
+    versions = local_frame(
+        spark, UNIVERSE_VERSIONS, "version string, effective_from string, effective_to string, status string, source string"
     ).withColumn("effective_from", F.col("effective_from").cast("date")).withColumn(
         "effective_to", F.col("effective_to").cast("date"))
-    members = spark.createDataFrame(UNIVERSE_MEMBERS, "version string, ticker string, weight double")
+    members = local_frame(spark, UNIVERSE_MEMBERS, "version string, ticker string, weight double")
     return members.join(versions, "version")
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, "ticker string, name string, sector string")
+    return local_frame(spark, CATALOG, "ticker string, name string, sector string")
 
 
 def sensitivity(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SENSITIVITY, "sector string, category string, multiplier double")
+    return local_frame(spark, SENSITIVITY, "sector string, category string, multiplier double")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
