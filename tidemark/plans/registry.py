@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import news_queries
+from tidemark.plans import news_queries, study_queries
 
-MODULES = [news_queries]
+MODULES = [news_queries, study_queries]
 
 
 def _merge(attribute: str) -> dict:
