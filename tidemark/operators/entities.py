@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.headlines import price_report
 from tidemark.params import DEFAULT_COMPANY_CATEGORY, PRICE_ACTION_CATEGORY
+from tidemark.session import spread
 
 #: More patterns than this must be split over several detection passes (the projection grows with them).
 MAX_PATTERNS = 5_000
@@ -99,8 +100,12 @@ def pick_category(hits: Column, title_hits: Column, scope: str) -> Column:
 
 def detect_entities(news: DataFrame, companies: list[Company], categories: list[Category],
                     min_relevance: float = 0.3, title: str = "title", summary: str = "summary",
-                    report_flag: Column | None = None) -> DataFrame:
-    """One row per (article, entity): relevance, category, strength, half-life, matched terms, price_report."""
+                    report_flag: Column | None = None, mark_irrelevant: bool = False) -> DataFrame:
+    """One row per (article, entity): relevance, category, strength, half-life, matched terms, price_report.
+
+    With ``mark_irrelevant`` an article without any entity keeps one ``NONE`` row, so it is not analysed again; the
+    marker is produced in the same scan.
+    """
     if sum(len(c.aliases) for c in companies) + sum(len(c.keywords) for c in categories) > MAX_PATTERNS:
         raise ValueError("too many patterns for one pass; split the catalog and union the passes")
     t, body = F.col(title), F.coalesce(F.col(summary), F.lit(""))
@@ -110,7 +115,7 @@ def detect_entities(news: DataFrame, companies: list[Company], categories: list[
                            mention_count(body, c).alias("in_body")) for c in companies]),
         lambda m: (m["in_title"] + m["in_body"]) > 0)
     base = (
-        news.withColumn("_companies", mentions)
+        spread(news).withColumn("_companies", mentions)
         .withColumn("_title_hits", category_hits(t, categories))
         .withColumn("_hits", category_hits(full, categories))
         .withColumn("price_report", price_report(t) if report_flag is None else report_flag)
@@ -160,17 +165,13 @@ def detect_entities(news: DataFrame, companies: list[Company], categories: list[
         .withColumn("_rows", F.filter("_rows", lambda r: r["relevance"] >= min_relevance))
     )
     keep = [c for c in news.columns]
-    return rows.select(*keep, F.explode("_rows").alias("_e")).select(*keep, "_e.*")
-
-
-def with_irrelevant_rows(news: DataFrame, matches: DataFrame, key: str = "news_id") -> DataFrame:
-    """Articles without any entity keep one ``NONE`` marker row, so they are not analysed again."""
-    missing = news.select(key).join(matches.select(key), key, "left_anti")
-    marker = missing.select(
-        key, F.lit(NONE_ENTITY).alias("entity"), F.lit(False).alias("is_macro"), F.lit(0.0).alias("relevance"),
-        F.lit("unrelated").alias("category"), F.lit(0.0).alias("strength"), F.lit(0.0).alias("half_life_days"),
-        F.lit(False).alias("price_report"))
-    return matches.select(marker.columns).unionByName(marker)
+    if mark_irrelevant:
+        marker = F.struct(F.lit(NONE_ENTITY).alias("entity"), F.lit(False).alias("is_macro"), F.lit(0.0).alias("relevance"),
+                          F.lit("unrelated").alias("category"), F.lit(0.0).alias("strength"), F.lit(0.0).alias("half_life_days"),
+                          F.array().cast("array<string>").alias("matched"), F.lit(False).alias("price_report"))
+        rows = rows.withColumn("_rows", F.when(F.size("_rows") == 0, F.array(marker)).otherwise(F.col("_rows")))
+    # explode_outer + filter: a plain explode would push "size(_rows) > 0" down to the scan and evaluate it all twice.
+    return rows.select(*keep, F.explode_outer("_rows").alias("_e")).where(F.col("_e").isNotNull()).select(*keep, "_e.*")
 
 
 def source_reliability(source: Column, table: dict[str, float]) -> Column:
@@ -199,20 +200,13 @@ def analyse(news: DataFrame, companies: list[Company], categories: list[Category
     """
     from tidemark.functions.sentiment import label
 
-    scored = scorer(news)
-    hits = detect_entities(scored, companies, categories, STORAGE_FLOOR)
-    out = hits.select(
-        "news_id", "entity", "is_macro", "category", "relevance", F.col("score").alias("sentiment"),
-        label(F.col("score"), neutral_band).alias("sentiment_label"),
-        event_strength(F.col("strength"), F.col("intensity")).alias("strength"),
-        source_reliability(F.col("source"), reliability).alias("reliability"), "half_life_days", "price_report", "engine")
-    rest = scored.select("news_id", "engine").join(out.select("news_id"), "news_id", "left_anti")
-    marker = rest.select(
-        "news_id", F.lit(NONE_ENTITY).alias("entity"), F.lit(False).alias("is_macro"),
-        F.lit("unrelated").alias("category"), F.lit(0.0).alias("relevance"), F.lit(0.0).alias("sentiment"),
-        F.lit("NEUTRAL").alias("sentiment_label"), F.lit(0.0).alias("strength"), F.lit(0.0).alias("reliability"),
-        F.lit(0.0).alias("half_life_days"), F.lit(False).alias("price_report"), "engine")
-    return out.unionByName(marker)
+    hits = detect_entities(scorer(news), companies, categories, STORAGE_FLOOR, mark_irrelevant=True)
+    found = F.col("entity") != NONE_ENTITY
+    return hits.select(
+        "news_id", "entity", "is_macro", "category", "relevance", F.when(found, F.col("score")).otherwise(0.0).alias("sentiment"),
+        F.when(found, label(F.col("score"), neutral_band)).otherwise("NEUTRAL").alias("sentiment_label"),
+        F.when(found, event_strength(F.col("strength"), F.col("intensity"))).otherwise(0.0).alias("strength"),
+        F.when(found, source_reliability(F.col("source"), reliability)).otherwise(0.0).alias("reliability"), "half_life_days", "price_report", "engine")
 
 
 def model_scorer(predict, engine: str):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import PHRASE_STOP_WORDS
+from tidemark.session import spread
 
 
 def phrase_windows(text: Column, stop_words: list[str], max_words: int) -> Column:
@@ -28,9 +29,10 @@ def rake(df: DataFrame, key: str, text: str, max_words: int = 3, top_n: int = 8,
     """
     stops = stop_words or PHRASE_STOP_WORDS
     phrases = (
-        df.select(key, phrase_windows(F.col(text), stops, max_words).alias("p"))
+        spread(df.select(key, text)).select(key, phrase_windows(F.col(text), stops, max_words).alias("p"))
         .repartition(key)
-        .select(key, F.posexplode("p").alias("n", "words"))
+        # the outer form keeps Spark from re-evaluating the phrase expression as a pushed-down size filter
+        .select(key, F.posexplode_outer("p").alias("n", "words")).where(F.col("words").isNotNull())
     )
     words = phrases.select(key, "n", F.array_join("words", " ").alias("phrase"), (F.size("words") - 1).alias("degree"),
                            F.explode("words").alias("word"))
@@ -50,7 +52,7 @@ def corpus_rake(df: DataFrame, text: str, max_words: int = 3, top_n: int = 100,
     """Corpus-level phrases: word statistics over all documents, one row per distinct phrase."""
     stops = stop_words or PHRASE_STOP_WORDS
     phrases = (
-        df.select(F.explode(phrase_windows(F.col(text), stops, max_words)).alias("words"))
+        spread(df.select(text)).select(F.explode_outer(phrase_windows(F.col(text), stops, max_words)).alias("words")).where(F.col("words").isNotNull())
         .groupBy("words").agg(F.count("*").alias("copies"))
     )
     words = phrases.select("words", "copies", F.posexplode("words").alias("i", "word"))

@@ -17,6 +17,7 @@ from tidemark.operators import articles as art
 from tidemark.operators import dedup, entities, keywords
 from tidemark.operators.entities import Category, Company
 from tidemark.plans.news_queries import stream_calendar
+from tidemark.session import spread
 from tidemark.sources import bench_views as v
 from tidemark.sources import feeds, validation
 
@@ -222,7 +223,7 @@ def news_lookup(spark, sf_dir):
 # ---- text -----------------------------------------------------------------------------------------
 def entity_mentions(spark, sf_dir):
     """Alias counts per article and company, title and whole text."""
-    a = v.articles(spark, sf_dir)
+    a = spread(v.articles(spark, sf_dir))
     counts = F.explode(F.array(*[F.struct(F.lit(c.ticker).alias("ticker"), entities.mention_count(F.col("title"), c).alias("t"),
                                           entities.mention_count(F.col("summary"), c).alias("b")) for c in COMPANIES]))
     return a.select("news_id", counts.alias("m")).where("m.t + m.b > 0").select(
@@ -231,9 +232,9 @@ def entity_mentions(spark, sf_dir):
 
 def category_match(spark, sf_dir):
     """Keyword hits per category over title + text."""
-    a = v.articles(spark, sf_dir)
+    a = spread(v.articles(spark, sf_dir))
     hits = entities.category_hits(F.concat("title", F.lit(". "), "summary"), CATEGORIES)
-    return a.select("news_id", F.explode(hits).alias("h")).select("news_id", "h.category", F.array_join("h.keywords", ",").alias("keywords"))
+    return a.select("news_id", F.explode_outer(hits).alias("h")).where("h IS NOT NULL").select("news_id", "h.category", F.array_join("h.keywords", ",").alias("keywords"))
 
 
 def price_reports(spark, sf_dir):
@@ -246,8 +247,8 @@ def detected_entities(spark, sf_dir):
     """Relevance, category and markers of every article."""
     flag = price_report(F.col("title"), MOVES, NOUNS, LEVEL, SIZE)
     a = v.articles(spark, sf_dir).select("news_id", "title", "summary")
-    hits = entities.detect_entities(a, COMPANIES, CATEGORIES, 0.3, report_flag=flag)
-    return entities.with_irrelevant_rows(a, hits).select("news_id", "entity", "relevance", "category", "strength", "half_life_days", "price_report")
+    hits = entities.detect_entities(a, COMPANIES, CATEGORIES, 0.3, report_flag=flag, mark_irrelevant=True)
+    return hits.select("news_id", "entity", "relevance", "category", "strength", "half_life_days", "price_report")
 
 
 def lexicon_score(spark, sf_dir):

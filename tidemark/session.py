@@ -79,3 +79,12 @@ def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy row work on inputs that arrive in fewer splits than the cluster has cores.
+
+    Large inputs already have more splits than cores and are returned unchanged (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

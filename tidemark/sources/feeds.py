@@ -147,7 +147,7 @@ def query_match(query: str, title: Column, summary: Column) -> Column:
 def match_queries(articles: DataFrame, queries: list[str]) -> DataFrame:
     """Articles x matching queries (a handful of configured queries, evaluated inside one scan)."""
     found = F.array_compact(F.array(*[F.when(query_match(q, F.col("title"), F.col("summary")), F.lit(q)) for q in queries]))
-    return articles.drop("query").withColumn("query", F.explode(found))
+    return articles.drop("query").withColumn("query", F.explode_outer(found)).where(F.col("query").isNotNull())
 
 
 def first_seen(articles: DataFrame, order: str, url: str = "url") -> DataFrame:
