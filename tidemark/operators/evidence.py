@@ -32,16 +32,19 @@ def evidence_ids(states: DataFrame, contributors: DataFrame, p: dict) -> DataFra
 
 def snapshot(ids: DataFrame, items: DataFrame, states: DataFrame, grid: CutoffGrid, p: dict) -> DataFrame:
     """Role and eligibility of every evidence item at its cut-off."""
-    fresh = flow_ops.new_news_ids(states, p).select("pos", F.col("entity").alias("_e"), "news_id").withColumn("_new", F.lit(True))
+    fresh = flow_ops.new_news_ids(states, p).select(F.col("pos").alias("_p"), F.col("news_id").alias("_n"), F.col("entity").alias("_e"), F.lit(True).alias("_new"))
     cut = grid.frame().select("pos", "as_of")
     facts = items.select("news_id", "entity", "available_at", "fetched_at", "provider_published_at", "timestamp_precision", "timezone_status", "source", "category")
     # Only referenced items survive the semi-join before the fact columns are attached.
-    named = ids.join(F.broadcast(cut), "pos").join(facts.join(ids.select("news_id").distinct(), "news_id", "left_semi"), "news_id")
-    rows = named.join(fresh, (named["pos"] == fresh["pos"]) & (named["news_id"] == fresh["news_id"]) & (named["entity"] == fresh["_e"]), "left").drop(fresh["pos"], fresh["news_id"])
+    wanted = ids.select(F.col("news_id").alias("_w")).distinct()
+    used = facts.join(wanted, F.col("news_id") == F.col("_w"), "left_semi")
+    named = ids.join(F.broadcast(cut), "pos").join(used, "news_id")
+    same = (F.col("pos") == F.col("_p")) & (F.col("news_id") == F.col("_n")) & (F.col("entity") == F.col("_e"))
+    rows = named.join(fresh, same, "left")
     role = F.when(F.col("_new") & (F.col("entity") == F.col("ticker")), "new_company_news").when(F.col("_new") & (F.col("entity") == MACRO), "new_macro_news") \
         .otherwise("raw_score_evidence")
     cls = av.eligibility(F.col("provider_published_at"), F.col("timestamp_precision"), F.col("timezone_status"), F.col("fetched_at"), F.col("as_of"))
-    return rows.withColumn("role", role).withColumn("eligibility", cls).drop("_e", "_new")
+    return rows.withColumn("role", role).withColumn("eligibility", cls).drop("_p", "_n", "_e", "_new")
 
 
 def bundle(evidence: DataFrame, policy: str) -> DataFrame:
