@@ -9,6 +9,7 @@ from tidemark.functions.timestamps import hours_between
 from tidemark.operators.calendar import CutoffGrid
 from tidemark.operators.scores import MACRO
 from tidemark.operators.stories import enumerate_positions, flow_range, story_states, with_visibility
+from tidemark.session import cut_lineage
 
 Z_CLIP = 5.0
 
@@ -19,24 +20,6 @@ def flow_states(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "prov
     return story_states(ranged, extra=extra)
 
 
-def pooled_states(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp") -> DataFrame:
-    """Company stories as seen up to the window start only (members after it are ignored)."""
-    companies = items.where(F.col("entity") != MACRO)
-    return story_states(flow_range(with_visibility(companies, policy), grid, p, baseline_only=True))
-
-
-def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.sum(F.col("sentiment") * F.col("sentiment")).alias("ss"),
-        F.min("sentiment").alias("lo"), F.max("sentiment").alias("hi"))
-
-
-def _merge_moments(df: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.sum("n").alias(prefix + "n"), F.sum("s").alias(prefix + "s"), F.sum("ss").alias(prefix + "ss"),
-        F.min("lo").alias(prefix + "lo"), F.max("hi").alias(prefix + "hi"))
-
-
 def new_stories(states: DataFrame) -> DataFrame:
     """Stretches of a story during which it is new (its representative is after the window start)."""
     return states.withColumn("q", F.least("q", "new_until")).where(F.col("p") < F.col("q"))
@@ -46,53 +29,70 @@ def baseline_stories(states: DataFrame) -> DataFrame:
     return states.withColumn("p", F.greatest("p", "new_until")).where(F.col("p") < F.col("q"))
 
 
-def flow_parts(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp",
-               states: DataFrame | None = None):
-    """(new, baseline, pooled-by-company) summaries per (pos, entity), aggregated before being expanded."""
+def flow_grains(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp") -> DataFrame:
+    """(pos, entity) sums of the new stories, of the own baseline and of the baseline offered to the pool.
+
+    One scan and one cluster shuffle serve all three: an item enters the cluster resolution once as seen at the cut-off
+    and once as seen up to the window start only (the pool ignores later members). Stories are summed per stretch
+    before any stretch is expanded over cut-offs.
+    """
     pr_w = float(p["price_report_weight"])
-    states = states if states is not None else flow_states(items, grid, p, policy)
-    drop_reports = F.col("price_report") & F.lit(pr_w <= 0)
-    weight = F.greatest(F.lit(1e-9), F.col("reliability") * F.col("relevance") * F.col("strength")
-                        * F.when(F.col("price_report"), F.lit(pr_w)).otherwise(1.0))
-    used = ~drop_reports
-    new = (
-        new_stories(states).groupBy("entity", "p", "q").agg(
-            F.count_if(used).alias("news_count"), F.count_if(drop_reports).alias("excluded"),
-            F.sum(F.when(used, weight)).alias("w"), F.sum(F.when(used, weight * F.col("sentiment"))).alias("ws"),
-            F.sum(F.when(used, F.col("relevance"))).alias("rel"), F.max(F.when(used, F.col("available_at"))).alias("newest"))
-    )
-    new = enumerate_positions(new).groupBy("pos", "entity").agg(
-        F.sum("news_count").alias("news_count"), F.sum("excluded").alias("excluded"), F.sum("w").alias("w"),
-        F.sum("ws").alias("ws"), F.sum("rel").alias("rel"), F.max("newest").alias("newest"))
-    base = _merge_moments(
-        enumerate_positions(_moments(baseline_stories(states).where(~drop_reports), ["entity", "p", "q"])), ["pos", "entity"])
-    pooled = _merge_moments(
-        enumerate_positions(_moments(pooled_states(items, grid, p, policy).where(~drop_reports), ["entity", "p", "q"])),
-        ["pos", "entity"])
-    return new, base, pooled
-
-
-def news_flow(items: DataFrame, grid: CutoffGrid, members: DataFrame, p: dict, policy: str = "provider_timestamp",
-              states: DataFrame | None = None) -> DataFrame:
+    ranged = flow_range(with_visibility(items, policy), grid, p)
+    views = F.array(
+        F.struct(F.lit("own").alias("view"), F.col("p_from").alias("p_from")),
+        F.struct(F.lit("pool").alias("view"), F.when(F.col("entity") != MACRO, F.greatest("p_from", "new_until")).alias("p_from")))
+    members = ranged.withColumn("_v", F.explode(views)).withColumns({"view": F.col("_v.view"), "p_from": F.col("_v.p_from")}).drop("_v").where(
+        F.col("p_from") < F.col("p_to"))
+    states = story_states(members, extra=("new_until",), scope=("view",))
+    own = F.col("view") == "own"
+    parts = F.array(
+        F.when(own, F.struct(F.lit("new").alias("kind"), F.col("p").alias("p"), F.least("q", "new_until").alias("q"))),
+        F.when(own, F.struct(F.lit("base").alias("kind"), F.greatest("p", "new_until").alias("p"), F.col("q").alias("q"))),
+        F.when(~own, F.struct(F.lit("pool").alias("kind"), F.col("p").alias("p"), F.col("q").alias("q"))))
+    phases = states.withColumn("_k", F.explode(parts)).where(F.col("_k.p") < F.col("_k.q")).select(
+        "entity", "_k.kind", "_k.p", "_k.q", "available_at", "relevance", "sentiment", "price_report",
+        F.greatest(F.lit(1e-9), F.col("reliability") * F.col("relevance") * F.col("strength")
+                   * F.when(F.col("price_report"), F.lit(pr_w)).otherwise(1.0)).alias("weight"))
+    used = ~(F.col("price_report") & F.lit(pr_w <= 0))
+    keep = lambda c: F.when(used, c)
+    grains = phases.groupBy("entity", "kind", "p", "q").agg(
+        F.count_if(used).alias("n"), F.count_if(~used).alias("excluded"), F.sum(keep(F.col("sentiment"))).alias("s"),
+        F.sum(keep(F.col("sentiment") * F.col("sentiment"))).alias("ss"), F.min(keep(F.col("sentiment"))).alias("lo"),
+        F.max(keep(F.col("sentiment"))).alias("hi"), F.sum(keep(F.col("weight"))).alias("w"),
+        F.sum(keep(F.col("weight") * F.col("sentiment"))).alias("ws"), F.sum(keep(F.col("relevance"))).alias("rel"),
+        F.max(keep(F.col("available_at"))).alias("newest"))
+    spread = enumerate_positions(grains)
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    moments = [f(of(kind, c)).alias(prefix + c) for kind, prefix in (("base", ""), ("pool", "p_"))
+               for c, f in (("n", F.sum), ("s", F.sum), ("ss", F.sum), ("lo", F.min), ("hi", F.max))]
+    return spread.groupBy("pos", "entity").agg(
+        F.sum(of("new", "n")).alias("news_count"), F.sum(of("new", "excluded")).alias("excluded"), F.sum(of("new", "w")).alias("w"),
+        F.sum(of("new", "ws")).alias("ws"), F.sum(of("new", "rel")).alias("rel"), F.max(of("new", "newest")).alias("newest"), *moments)
+
+
+def pooled_moments(grains: DataFrame, companies: DataFrame) -> DataFrame:
+    """Baseline moments of all companies in the universe at each cut-off."""
+    pool = grains.where(F.col("p_n") > 0).join(companies, ["pos", "entity"])
+    return pool.groupBy("pos").agg(F.sum("p_n").alias("pool_n"), F.sum("p_s").alias("pool_s"), F.sum("p_ss").alias("pool_ss"),
+                                   F.min("p_lo").alias("pool_lo"), F.max("p_hi").alias("pool_hi"))
+
+
+def news_flow(items: DataFrame, grid: CutoffGrid, members: DataFrame, p: dict, policy: str = "provider_timestamp") -> DataFrame:
     """Flow per (pos, entity) for every universe member and MACRO.
 
     ``members``: (pos, entity) of the companies in the universe at each cut-off. A thin own baseline falls back
     to the pooled baseline of those companies; MACRO never does.
     """
-    new, base, pooled = flow_parts(items, grid, p, policy, states)
+    # (cut-offs x entities) rows: the checkpoint lets the pool and the per-entity rows share one computation.
+    grains = cut_lineage(flow_grains(items, grid, p, policy))
     cut = grid.frame().select("pos", "session", "as_of")
     companies = members.select("pos", "entity").distinct()
     expected = companies.unionByName(grid.frame().select("pos", F.lit(MACRO).alias("entity")))
-    pool = _merge_moments(pooled.join(companies, ["pos", "entity"]), ["pos"], "p_")
+    rows = expected.join(F.broadcast(cut), "pos").join(grains, ["pos", "entity"], "left").join(pooled_moments(grains, companies), "pos", "left")
     min_n = int(p["min_baseline_n"])
-
-    rows = (
-        expected.join(F.broadcast(cut), "pos").join(new, ["pos", "entity"], "left").join(base, ["pos", "entity"], "left")
-        .join(pool, "pos", "left")
-    )
-    own_n, pool_n = F.coalesce("n", F.lit(0)), F.coalesce("p_n", F.lit(0))
+    own_n, pool_n = F.coalesce("n", F.lit(0)), F.coalesce("pool_n", F.lit(0))
     use_pool = (F.col("entity") != MACRO) & (own_n < min_n) & (pool_n >= min_n)
-    pick = lambda c: F.when(use_pool, F.col("p_" + c)).otherwise(F.col(c))
+    pick = lambda c: F.when(use_pool, F.col("pool_" + c)).otherwise(F.col(c))
     rows = (
         rows.withColumn("pooled", use_pool)
         .withColumn("baseline_n", F.when(use_pool, pool_n).otherwise(own_n))

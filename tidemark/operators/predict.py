@@ -42,19 +42,19 @@ def feature_columns(df: DataFrame) -> DataFrame:
     macro_sens, beta, daily_vol and the n-session returns.
     """
     has_flow, has_news = F.col("f_status").isNotNull(), F.coalesce("f_news_count", F.lit(0)) > 0
-    return (
-        df.withColumn("raw_sentiment", F.col("today_score"))
-        .withColumn("relative_sentiment", F.col("f_relative"))
-        .withColumn("sentiment_zscore", F.col("f_zscore"))
-        .withColumn("news_count", F.when(has_flow, F.log1p("f_news_count")))
-        .withColumn("news_relevance", F.when(has_flow, F.when(has_news, F.col("f_news_relevance")).otherwise(0.0)))
-        .withColumn("news_recency", F.when(has_flow, F.when(has_news, F.exp(-F.col("f_recency") / 24)).otherwise(0.0)))
-        .withColumn("macro_sentiment", F.col("today_macro"))
-        .withColumn("macro_relative", F.col("m_relative") * F.col("macro_sens"))
-        .withColumn("index_sentiment", F.col("today_index") * F.col("beta"))
-        .withColumn("index_relative", F.col("index_relative_raw") * F.col("beta"))
-        .withColumn("historical_volatility", F.col("daily_vol") * 100)
-    )
+    return df.withColumns({
+        "raw_sentiment": F.col("today_score"),
+        "relative_sentiment": F.col("f_relative"),
+        "sentiment_zscore": F.col("f_zscore"),
+        "news_count": F.when(has_flow, F.log1p("f_news_count")),
+        "news_relevance": F.when(has_flow, F.when(has_news, F.col("f_news_relevance")).otherwise(0.0)),
+        "news_recency": F.when(has_flow, F.when(has_news, F.exp(-F.col("f_recency") / 24)).otherwise(0.0)),
+        "macro_sentiment": F.col("today_macro"),
+        "macro_relative": F.col("m_relative") * F.col("macro_sens"),
+        "index_sentiment": F.col("today_index") * F.col("beta"),
+        "index_relative": F.col("index_relative_raw") * F.col("beta"),
+        "historical_volatility": F.col("daily_vol") * 100,
+    })
 
 
 def factor_predict(df: DataFrame, p: dict | None = None, prefix: str = "") -> DataFrame:
@@ -76,27 +76,23 @@ def factor_predict(df: DataFrame, p: dict | None = None, prefix: str = "") -> Da
         "index_sentiment": k * par("w_index") * F.col("beta") * F.col("s_index"),
         "drift": par("drift_weight") * F.col("daily_drift") * F.col("trading_days_ahead"),
     }
-    out = df.withColumn("_sigma", sigma)
-    for name, value in parts.items():
-        out = out.withColumn("_" + name, value)
+    out = df.withColumns({"_sigma": sigma, **{"_" + name: value for name, value in parts.items()}})
     raw = F.col("_company_sentiment") + F.col("_macro_sentiment") + F.col("_index_sentiment") + F.col("_drift")
     cap = par("max_sigma_clip") * F.col("_sigma")
-    out = out.withColumn("_raw", raw).withColumn("_move", F.greatest(-cap, F.least(cap, F.col("_raw"))))
-    pct = (F.exp("_move") - 1.0) * 100.0
-    out = out.withColumn("_pct", pct).withColumn("_scale", F.when(F.col("_raw") == 0, 1.0).otherwise(F.try_divide("_move", "_raw")))
+    out = out.withColumns({"_raw": raw, "_move": F.greatest(-cap, F.least(cap, raw))})
+    scale = F.when(F.col("_raw") == 0, 1.0).otherwise(F.try_divide("_move", "_raw"))
+    out = out.withColumns({"_pct": (F.exp("_move") - 1.0) * 100.0, "_scale": scale})
     signal = (par("w_company") * F.col("s_company") + par("w_macro") * F.col("macro_sens") * F.col("s_macro")
               + par("w_index") * F.col("beta") * F.col("s_index")) / 100.0
     threshold = par("neutral_threshold_sigma") * F.col("_sigma") * 100.0
-    out = (
-        out.withColumn("predicted", F.bround("_pct", 4))
-        .withColumn("predicted_price", F.bround(F.col("previous_close") * (1 + F.col("_pct") / 100.0), 2))
-        .withColumn("predicted_direction", direction(F.col("_pct"), threshold))
-        .withColumn("sigma_pct", F.bround(F.col("_sigma") * 100.0, 4))
-        .withColumn("signal", F.bround(signal, 5))
-    )
-    for name in parts:
-        out = out.withColumn("c_" + name, F.bround(F.col("_" + name) * F.col("_scale") * 100.0, 4))
-    return out.drop("_sigma", "_raw", "_move", "_pct", "_scale", *["_" + n for n in parts])
+    return out.withColumns({
+        "predicted": F.bround("_pct", 4),
+        "predicted_price": F.bround(F.col("previous_close") * (1 + F.col("_pct") / 100.0), 2),
+        "predicted_direction": direction(F.col("_pct"), threshold),
+        "sigma_pct": F.bround(F.col("_sigma") * 100.0, 4),
+        "signal": F.bround(signal, 5),
+        **{"c_" + name: F.bround(F.col("_" + name) * F.col("_scale") * 100.0, 4) for name in parts},
+    }).drop("_sigma", "_raw", "_move", "_pct", "_scale", *["_" + n for n in parts])
 
 
 def linear_terms(model: dict) -> dict[str, Column]:

@@ -48,21 +48,23 @@ def predictions(x: Inputs, grid: CutoffGrid, enforce_previous: bool = False, wit
                 model: dict | None = None) -> DataFrame:
     """One row per (cut-off, universe member, horizon): inputs, features, forecast, or a missing_reason."""
     p1, p2 = x.news_params, x.model_params
+    # The dimension-sized inputs (cut-offs x horizons, cut-offs x members) are materialised once: they are joined many times.
     hz = horizon_rows(x, grid, within_data)
-    targets = scores.targets_of(hz, grid, session_close(F.col("target_date")))
+    asked = cut_lineage(_with_today(scores.targets_of(hz, grid, session_close(F.col("target_date"))), grid))
+    targets = asked.where(F.col("asked")).drop("asked")
     cut = grid.frame().select("pos", "session")
     days = cut.select(F.col("session").alias("day"))
     uni = members_asof(x.members, days).join(F.broadcast(cut), F.col("day") == F.col("session")).select(
         "pos", "version", F.col("ticker").alias("entity"), "weight")
-    uni = uni.join(F.broadcast(x.catalog.select(F.col("ticker").alias("entity"), "sector")), "entity")
+    uni = cut_lineage(uni.join(x.catalog.select(F.col("ticker").alias("entity"), "sector"), "entity"))
 
     # sentiment side: everything below is bounded by cut-offs x universe x horizons
     states = scores.weighted_states(x.items, grid, p1, x.policy)
-    sums = cut_lineage(scores.category_sums(states, _with_today(targets, grid), grid, p1))
-    wanted = _with_today(targets, grid).select("pos", "session", "horizon_type", "target_date").distinct()
+    sums = cut_lineage(scores.category_sums(states, asked, grid, p1))
+    wanted = asked.select("pos", "session", "horizon_type", "target_date")
     everyone = uni.select("pos", "entity", "weight").unionByName(cut.select("pos", F.lit(MACRO).alias("entity"), F.lit(0.0).alias("weight")))
     expected = wanted.join(everyone, "pos")
-    scored = scores.entity_scores(sums, expected, p1)
+    scored = cut_lineage(scores.entity_scores(sums, expected, p1))
     index = scores.index_scores(scored, p1).select("pos", "horizon_type", "target_date", F.col("company_weighted").alias("index_score"),
                                                    F.col("overall").alias("index_overall"))
     sens = predict.macro_sensitivity(scores.category_breakdown(sums), x.catalog, x.sensitivity, x.default_sensitivity)
@@ -110,12 +112,19 @@ def predictions(x: Inputs, grid: CutoffGrid, enforce_previous: bool = False, wit
 
 
 def _with_today(targets: DataFrame, grid: CutoffGrid) -> DataFrame:
-    """Feature vectors are anchored on the next-session scores, so those targets are always computed."""
+    """Feature vectors are anchored on the next-session scores, so those targets are always computed.
+
+    ``asked`` marks the targets the caller wants forecasts for.
+    """
+    columns = ["pos", "session", "as_of", "horizon_type", "horizon_label", "calendar_date", "target_date", "trading_days_ahead",
+               "projected_calendar", "target_at"]
+    wanted = targets.select(*columns, F.lit(True).alias("asked"))
     today = grid.frame().select(
-        "session", F.lit("today").alias("horizon_type"), F.col("session").alias("target_date"), "pos", "as_of",
-        F.greatest("as_of", session_close(F.col("session"))).alias("target_at"))
-    other = targets.where(F.col("horizon_type") != "today").select(today.columns)
-    return today.unionByName(other)
+        "pos", "session", "as_of", F.lit("today").alias("horizon_type"), F.lit("Today").alias("horizon_label"), F.col("session").alias("calendar_date"),
+        F.col("session").alias("target_date"), F.lit(1).alias("trading_days_ahead"), F.lit(False).alias("projected_calendar"),
+        F.greatest("as_of", session_close(F.col("session"))).alias("target_at"), F.lit(False).alias("asked"))
+    missing = today.join(wanted.where("horizon_type = 'today'").select("pos"), "pos", "left_anti")
+    return wanted.unionByName(missing)
 
 
 def records(x: Inputs, grid: CutoffGrid, forecast: DataFrame | None = None) -> DataFrame:

@@ -34,11 +34,10 @@ def score_range(items: DataFrame, grid: CutoffGrid, p: dict) -> DataFrame:
     return out.where(F.col("p_from") < F.col("p_to"))
 
 
-def flow_range(items: DataFrame, grid: CutoffGrid, p: dict, baseline_only: bool = False) -> DataFrame:
+def flow_range(items: DataFrame, grid: CutoffGrid, p: dict) -> DataFrame:
     """Positions at which an item lies in the news-flow window (window_start - baseline_days, as_of].
 
     ``new_until`` is the first position whose window starts at or after the item: before it the item is new.
-    With ``baseline_only`` the range starts there, i.e. only items at or before the window start are seen.
     """
     kept = items.where((F.col("relevance") >= p["min_relevance"]) & F.col("visible_at").isNotNull())
     slice_days = max(p["max_lookback_days"], p["baseline_days"] + 7)
@@ -46,8 +45,6 @@ def flow_range(items: DataFrame, grid: CutoffGrid, p: dict, baseline_only: bool
     out = grid.position(out, F.col("available_at"), "new_until", by="window_start")
     out = grid.position(out, plus_days(F.col("available_at"), p["baseline_days"]), "_base_end", by="window_start")
     out = grid.position(out, plus_days(F.col("available_at"), slice_days), "_slice_end", strict=True)
-    if baseline_only:
-        out = out.withColumn("p_from", F.greatest("p_from", "new_until"))
     out = out.withColumn("p_to", F.least("_base_end", "_slice_end")).drop("_base_end", "_slice_end")
     return out.where(F.col("p_from") < F.col("p_to"))
 
@@ -56,7 +53,7 @@ def _earliest(*payload: str) -> Column:
     return F.min(F.struct("available_at", "news_id", *payload))
 
 
-def story_states(ranged: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def story_states(ranged: DataFrame, extra: tuple[str, ...] = (), scope: tuple[str, ...] = ()) -> DataFrame:
     """(entity, cluster_id, p, q) stretches with representative, relevance, reliability, sentiment and sizes.
 
     * members with the same visible range and source are combined map-side first, so a cluster holding a large
@@ -64,16 +61,19 @@ def story_states(ranged: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     * representative = earliest (available_at, news_id); relevance and reliability come from the member with the
       largest product (ties: earliest); sentiment is the reliability x relevance weighted mean; the size counts
       distinct sources.
+
+    ``scope`` columns extend the cluster key, so several memberships can be resolved in the same pass.
     """
+    key = (*scope, "entity", "cluster_id")
     payload = ("strength", "half_life_days", "category", "price_report", *extra)
     product = F.col("reliability") * F.col("relevance")
     weight = F.greatest(F.lit(1e-9), product)
-    parts = ranged.groupBy("entity", "cluster_id", "p_from", "p_to", "source").agg(
+    parts = ranged.groupBy(*key, "p_from", "p_to", "source").agg(
         _earliest(*payload).alias("rep"),
         F.max(F.struct(product.alias("product"), (-F.unix_micros(F.col("available_at").cast("timestamp"))).alias("early"),
                        (-F.col("news_id")).alias("low_id"), "relevance", "reliability")).alias("best"),
         F.sum(weight).alias("w"), F.sum(weight * F.col("sentiment")).alias("ws"), F.count("*").alias("articles"))
-    cluster = Window.partitionBy("entity", "cluster_id")
+    cluster = Window.partitionBy(*key)
     edges = F.array_sort(F.array_union(F.collect_set("p_from").over(cluster), F.collect_set("p_to").over(cluster)))
     stretches = (
         parts.withColumn("_edges", edges)
@@ -83,15 +83,15 @@ def story_states(ranged: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
             lambda i: F.struct(F.element_at("_cover", i).alias("p"), F.element_at("_cover", i + 1).alias("q")))))
     )
     merged = (
-        stretches.groupBy("entity", "cluster_id", "_span.p", "_span.q", "source")
+        stretches.groupBy(*key, "_span.p", "_span.q", "source")
         .agg(F.min("rep").alias("rep"), F.max("best").alias("best"), F.sum("w").alias("w"), F.sum("ws").alias("ws"),
              F.sum("articles").alias("articles"))
-        .groupBy("entity", "cluster_id", "p", "q")
+        .groupBy(*key, "p", "q")
         .agg(F.min("rep").alias("rep"), F.max("best").alias("best"), F.sum("w").alias("w"), F.sum("ws").alias("ws"),
              F.sum("articles").alias("articles"), F.count("*").alias("sources"))
     )
     return merged.select(
-        "entity", "cluster_id", "p", "q", "rep.available_at", "rep.news_id", *[f"rep.{c}" for c in payload],
+        *key, "p", "q", "rep.available_at", "rep.news_id", *[f"rep.{c}" for c in payload],
         "best.relevance", "best.reliability", (F.col("ws") / F.col("w")).alias("sentiment"),
         F.col("sources").alias("cluster_size"), "articles")
 

@@ -119,12 +119,12 @@ def news_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pooled_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pooled baseline of the universe at every cut-off."""
     grid = stream_calendar(spark, sf_dir).grid()
-    _, _, pooled = flow_ops.flow_parts(v.items(spark, sf_dir), grid, P)
     uni = universe_positions(spark, grid).select("pos", "entity")
+    pool = flow_ops.pooled_moments(flow_ops.flow_grains(v.items(spark, sf_dir), grid, P), uni)
     names = grid.frame().select("pos", "session")
-    return pooled.join(uni, ["pos", "entity"]).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).join(
-        F.broadcast(names), "pos").select("session", "n", F.round(F.col("s") / F.col("n"), 5).alias("mean"),
-                                          F.round(F.col("ss") / F.col("n"), 4).alias("mean_square"))
+    return pool.join(F.broadcast(names), "pos").select(
+        "session", F.col("pool_n").alias("n"), F.round(F.col("pool_s") / F.col("pool_n"), 5).alias("mean"),
+        F.round(F.col("pool_ss") / F.col("pool_n"), 4).alias("mean_square"))
 
 
 def index_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
