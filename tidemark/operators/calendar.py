@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import exchange_date, session_close, session_open
+from tidemark.functions.timestamps import session_close, session_open
 from tidemark.session import local_frame
 
 #: Upper bound on calendar entries (days); anything longer is not a calendar.
@@ -35,7 +35,7 @@ def _bounded_rows(df: DataFrame, what: str) -> list:
 
 @dataclass(frozen=True)
 class Calendar:
-    """Ordered trading sessions. ``reliable_until`` separates published sessions from projected ones."""
+    """Ordered trading sessions. ``reliable_until`` separates published sessions from projected ones (None: all projected)."""
 
     spark: SparkSession
     sessions: tuple
@@ -51,8 +51,7 @@ class Calendar:
 
     @classmethod
     def weekdays(cls, spark: SparkSession, start: dt.date, end: dt.date, reliable_until: dt.date | None = None) -> Calendar:
-        return cls(spark, tuple(d for d in _days(start, end) if d.weekday() < 5), "weekdays-only",
-                   reliable_until or dt.date.min)
+        return cls(spark, tuple(d for d in _days(start, end) if d.weekday() < 5), "weekdays-only", reliable_until)
 
     @property
     def first(self) -> dt.date:
@@ -64,8 +63,8 @@ class Calendar:
 
     def frame(self) -> DataFrame:
         """session, idx, open_utc, close_utc, projected"""
-        limit = self.reliable_until or dt.date.min
-        rows = [(d, i, d > limit) for i, d in enumerate(self.sessions)]
+        limit = self.reliable_until
+        rows = [(d, i, limit is None or d > limit) for i, d in enumerate(self.sessions)]
         df = local_frame(self.spark, rows, "session date, idx int, projected boolean")
         return df.select("session", "idx", session_open(F.col("session")).alias("open_utc"),
                          session_close(F.col("session")).alias("close_utc"), "projected")
@@ -224,12 +223,6 @@ def horizons(dates: DataFrame, calendar: Calendar, convention: str = "indian_fy"
                      lambda d: F.concat(F.date_format(d, "MMM yyyy"), F.lit(" month-end")), n_months)
     quarter_end = pick(months.where((F.month("nominal") % 3 == 0) & (F.col("_k") < 3 * n_quarters + 3)), "quarter_end",
                        lambda d: F.concat(quarter_label(d, convention), F.lit(" end")), n_quarters)
-    limit = calendar.reliable_until or dt.date.min
-    return (
-        today.unionByName(month_end).unionByName(quarter_end).drop("_k")
-        .withColumn("projected_calendar", F.col("target_date") > F.lit(limit))
-    )
-
-
-def prediction_day(ts: Column) -> Column:
-    return exchange_date(ts)
+    limit = calendar.reliable_until
+    projected = F.lit(True) if limit is None else F.col("target_date") > F.lit(limit)
+    return today.unionByName(month_end).unionByName(quarter_end).drop("_k").withColumn("projected_calendar", projected)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.availability import visible_at
 from tidemark.functions.timestamps import plus_days
 from tidemark.operators.calendar import CutoffGrid
+from tidemark.session import spread
 
 
 def with_visibility(items: DataFrame, policy: str = "provider_timestamp") -> DataFrame:
@@ -23,7 +24,7 @@ def with_visibility(items: DataFrame, policy: str = "provider_timestamp") -> Dat
                         F.col("fetched_at"), policy)
     else:
         at = F.col("available_at")
-    return items.withColumn("visible_at", at)
+    return spread(items.withColumn("visible_at", at))
 
 
 def score_range(items: DataFrame, grid: CutoffGrid, p: dict) -> DataFrame:
