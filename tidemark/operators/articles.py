@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import availability as av
 from tidemark.functions.timestamps import session_close, session_open, stored_precision, to_exchange_time
 from tidemark.operators.calendar import Calendar, CutoffGrid
+from tidemark.session import spread
 
 NONE_ENTITY = "NONE"
 
@@ -47,25 +48,28 @@ def reannotate(news: DataFrame, calendar: Calendar, everything: bool = False) ->
     return done.unionByName(annotate(todo.drop(*present), calendar), allowMissingColumns=True)
 
 
-def eligibility_at(items: DataFrame, cutoffs: DataFrame | CutoffGrid) -> DataFrame:
+def eligibility_at(items: DataFrame, grid: CutoffGrid) -> DataFrame:
     """(session, eligibility, n): how many items fall in each class at each cut-off.
 
-    The class of an item changes at most at two instants, so items are first counted per (class change points) and
-    only those counts meet the cut-offs.
+    Over time an item is post_cutoff, then timestamp_before / uncertain, then verified. Each stretch is counted as +1 where
+    it starts and -1 where it ends; running sums over the calendar give every cut-off, so no item meets a cut-off.
     """
-    grid = cutoffs
     published, precision, zone, fetched = (F.col(c) for c in ("provider_published_at", "timestamp_precision", "timezone_status", "fetched_at"))
-    base = items.withColumn("_a1", av.provider_available_at(published, precision, zone)).withColumn("_precise", av.is_precise(precision, zone))
-    base = grid.position(base, fetched, "_pf")
-    base = grid.position(base, F.col("_a1"), "_pa")
-    n = len(grid)
-    grains = base.groupBy(F.coalesce("_pf", F.lit(n)).alias("pf"), F.col("_pa").alias("pa"), F.col("_precise").alias("precise")).agg(F.count("*").alias("n"))
-    pos = grid.frame().select("pos", "session")
-    label = (
-        F.when(F.col("pos") >= F.col("pf"), "verified").when(F.col("pos") < F.col("pa"), "post_cutoff")
-        .when(F.col("precise"), "timestamp_before").otherwise("uncertain"))
-    # grains: at most (cut-offs + 1)^2 x 2 rows, so this pairing is bounded by the calendar
-    return grains.crossJoin(F.broadcast(pos)).groupBy("session", label.alias("eligibility")).agg(F.sum("n").alias("n"))
+    base = spread(items).select("provider_published_at", "timestamp_precision", "timezone_status", "fetched_at")
+    base = base.withColumn("_a1", av.provider_available_at(published, precision, zone)).withColumn(
+        "_middle", F.when(av.is_precise(precision, zone), "timestamp_before").otherwise("uncertain"))
+    base = grid.position(grid.position(base, fetched, "_pf"), F.col("_a1"), "_pa")
+    n = F.lit(len(grid))
+    held, first = F.coalesce("_pf", n), F.least(F.coalesce("_pf", n), F.col("_pa"))
+    stretch = lambda name, lo, hi: F.struct(name.alias("eligibility"), lo.alias("lo"), hi.alias("hi"))
+    stretches = F.array(stretch(F.lit("post_cutoff"), F.lit(0), first), stretch(F.col("_middle"), first, held), stretch(F.lit("verified"), held, n))
+    grains = base.withColumn("_s", F.explode(stretches)).groupBy("_s.eligibility", "_s.lo", "_s.hi").agg(F.count("*").alias("n")).where("lo < hi")
+    edges = grains.select("eligibility", F.col("lo").alias("pos"), "n").unionByName(grains.select("eligibility", F.col("hi").alias("pos"), (-F.col("n")).alias("n")))
+    steps = edges.groupBy("eligibility", "pos").agg(F.sum("n").alias("n"))
+    classes = grid.frame().select("pos", "session", F.explode(F.array(*[F.lit(e) for e in av.ELIGIBILITY])).alias("eligibility"))
+    running = Window.partitionBy("eligibility").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    filled = classes.join(steps, ["eligibility", "pos"], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(running))
+    return filled.where("n > 0").select("session", "eligibility", "n")
 
 
 def apply_policy(items: DataFrame, cutoff, policy: str) -> DataFrame:

@@ -49,9 +49,15 @@ def category_sums(states: DataFrame, targets: DataFrame, grid: CutoffGrid, p: di
     grains = states.groupBy("entity", "category", "half_life_days", "p", "q").agg(
         F.sum("x").alias("x"), F.sum(F.col("x") * F.col("sentiment")).alias("xs"), F.count("*").alias("stories"),
         F.count_if(F.col("x") > 0).alias("weighted_stories"), F.sum("articles").alias("articles"))
-    starts = grid.frame().select(F.col("pos").alias("p"), F.col("as_of").alias("start_at"))
-    spread = enumerate_positions(grains.join(F.broadcast(starts), "p"))
-    joined = spread.join(targets, "pos").withColumn("fade", _fade("start_at", "target_at", p))
+    # Fade in two steps: stretch start -> cut-off (summed per cut-off), then cut-off -> each horizon target.
+    cut = grid.frame().select("pos", "as_of")
+    starts = cut.select(F.col("pos").alias("p"), F.col("as_of").alias("start_at"))
+    spread = enumerate_positions(grains.join(F.broadcast(starts), "p")).join(F.broadcast(cut), "pos").withColumn("fade", _fade("start_at", "as_of", p))
+    at_cut = spread.groupBy("pos", "as_of", "entity", "category", "half_life_days").agg(
+        F.sum(F.col("x") * F.col("fade")).alias("x"), F.sum(F.col("xs") * F.col("fade")).alias("xs"), F.sum("stories").alias("stories"),
+        F.sum("weighted_stories").alias("weighted_stories"), F.sum("articles").alias("articles"))
+    wanted = targets.select("pos", "horizon_type", "target_date", "target_at")
+    joined = at_cut.join(wanted, "pos").withColumn("fade", _fade("as_of", "target_at", p))
     return joined.groupBy("pos", "horizon_type", "target_date", "entity", "category").agg(
         F.sum(F.col("x") * F.col("fade")).alias("w"), F.sum(F.col("xs") * F.col("fade")).alias("ws"),
         F.sum("stories").alias("stories"), F.sum("weighted_stories").alias("weighted_stories"),

@@ -22,6 +22,11 @@ def score_snapshot(scores: DataFrame, index: DataFrame, run_id, as_of: str = "as
     return own.withColumn("run_id", run_id)
 
 
+def append_run(rows: DataFrame, path: str, run_id: str) -> None:
+    """Persist the rows of one run (snapshots, predictions, replay records). A stored run is immutable: a second write fails."""
+    rows.drop("run_id").write.mode("errorifexists").parquet(f"{path}/run_id={run_id}")
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     """All rows of the newest live run."""
     newest = snapshots.where(~F.col("is_backtest")).groupBy().agg(F.max_by("run_id", F.struct("as_of", "run_id")).alias("run_id"))

@@ -84,7 +84,10 @@ def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy row work on inputs that arrive in fewer splits than the cluster has cores.
 
-    Large inputs already have more splits than cores and are returned unchanged (no shuffle).
+    Large inputs already have more splits than cores and are returned unchanged (no shuffle), as are streams and plans
+    that contain an exchange (asking those for their partitions would run it).
     """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
