@@ -25,7 +25,7 @@ def contribution_summary(records: DataFrame, *keys: str) -> DataFrame:
     long = contribution_long(records, *keys)
     share = lambda c: F.round(F.avg(c.cast("double")), 4)
     return long.groupBy(*keys, "component").agg(
-        F.round(F.avg("value"), 5).alias("mean"), share(F.col("value") > 0).alias("share_positive"),
+        metric_ops.half_up(F.avg("value"), 5).alias("mean"), share(F.col("value") > 0).alias("share_positive"),
         share(F.col("value") < 0).alias("share_negative"), F.count("*").alias("n"))
 
 

@@ -145,7 +145,7 @@ def ridge_fit(spark, sf_dir):
     """L1-L2: two-feature ridge for every penalty from one set of moments."""
     fitted = models.fit_ridge(records(spark, sf_dir), PAIR)
     return models.model_table(spark, {f"ridge-{m['alpha']}": m for m in fitted}).select(
-        "alpha", "term", F.round("coef", 5).alias("coef"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+        "alpha", "term", *[metrics.half_up(F.col(c), 5).alias(c) for c in ("coef", "mean", "std")])
 
 
 def chronological_split(spark, sf_dir):
@@ -393,3 +393,26 @@ y AS (SELECT trial, actual, round((exp(greatest(-3 * daily_vol, least(3 * daily_
 SELECT trial, count(*) AS n, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 4) AS rmse, round(avg(predicted - actual), 4) AS bias,
        round(avg(abs(actual)), 4) AS no_change_mae FROM y GROUP BY 1""",
 }
+
+
+def _exact_rounding(sql: str) -> str:
+    """Write every round(x, n) as decimal half-up of the value at nine digits, the rule the metrics use."""
+    out, i = "", 0
+    while True:
+        k = sql.find("round(", i)
+        if k < 0:
+            return out + sql[i:]
+        if k and (sql[k - 1].isalnum() or sql[k - 1] == "_"):
+            out, i = out + sql[i:k + 6], k + 6
+            continue
+        depth, j, comma = 1, k + 6, -1
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[j], 0)
+            if sql[j] == "," and depth == 1:
+                comma = j
+            j += 1
+        body, digits = _exact_rounding(sql[k + 6:comma]), sql[comma + 1:j - 1]
+        out, i = out + sql[i:k] + f"CAST(round(CAST({body} AS DECIMAL(38, 9)),{digits}) AS DOUBLE)", j
+
+
+ORACLES = {name: _exact_rounding(sql) for name, sql in ORACLES.items()}
