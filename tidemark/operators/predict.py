@@ -86,12 +86,13 @@ def factor_predict(df: DataFrame, p: dict | None = None, prefix: str = "") -> Da
               + par("w_index") * F.col("beta") * F.col("s_index")) / 100.0
     threshold = par("neutral_threshold_sigma") * F.col("_sigma") * 100.0
     return out.withColumns({
-        "predicted": F.bround("_pct", 4),
+        "predicted": F.bround("_pct", 4) + F.lit(0.0),
         "predicted_price": F.bround(F.col("previous_close") * (1 + F.col("_pct") / 100.0), 2),
         "predicted_direction": direction(F.col("_pct"), threshold),
         "sigma_pct": F.bround(F.col("_sigma") * 100.0, 4),
-        "signal": F.bround(signal, 5),
-        **{"c_" + name: F.bround(F.col("_" + name) * F.col("_scale") * 100.0, 4) for name in parts},
+        "signal": F.bround(signal, 5) + F.lit(0.0),
+        # + 0.0 turns a negative zero into zero
+        **{"c_" + name: F.bround(F.col("_" + name) * F.col("_scale") * 100.0, 4) + F.lit(0.0) for name in parts},
     }).drop("_sigma", "_raw", "_move", "_pct", "_scale", *["_" + n for n in parts])
 
 

@@ -386,13 +386,13 @@ forecast AS (
 
 
 SQL_FORECAST_SELECT = f"""
-SELECT session, ticker, universe_version, status, score AS sentiment_score, CASE WHEN status = 'OK' THEN round(pct, 4) END AS predicted,
+SELECT session, ticker, universe_version, status, score AS sentiment_score, CASE WHEN status = 'OK' THEN CASE WHEN round(pct, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE round(pct, 4) END END AS predicted,
        CASE WHEN status = 'OK' THEN CASE WHEN pct > 0.1 * daily_vol * 100 THEN 'UP' WHEN pct < -0.1 * daily_vol * 100 THEN 'DOWN' ELSE 'NEUTRAL' END END AS predicted_direction,
        CASE WHEN status = 'OK' THEN round(daily_vol * 100, 4) END AS sigma_pct,
        CASE WHEN status = 'OK' THEN round(previous_close * (1 + pct / 100), 2) END AS predicted_price,
        CASE WHEN status = 'OK' THEN round(({M['w_company']} * sc + {M['w_macro']} * macro_sens * sm + {M['w_index']} * beta * si) / 100, 5) END AS signal,
-       CASE WHEN status = 'OK' THEN round(pc * scale * 100, 4) END AS c_company_sentiment, CASE WHEN status = 'OK' THEN round(pm * scale * 100, 4) END AS c_macro_sentiment,
-       CASE WHEN status = 'OK' THEN round(pi_ * scale * 100, 4) END AS c_index_sentiment, CASE WHEN status = 'OK' THEN round(pd * scale * 100, 4) END AS c_drift,
+       CASE WHEN status = 'OK' THEN CASE WHEN round(pc * scale * 100, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE round(pc * scale * 100, 4) END END AS c_company_sentiment, CASE WHEN status = 'OK' THEN CASE WHEN round(pm * scale * 100, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE round(pm * scale * 100, 4) END END AS c_macro_sentiment,
+       CASE WHEN status = 'OK' THEN CASE WHEN round(pi_ * scale * 100, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE round(pi_ * scale * 100, 4) END END AS c_index_sentiment, CASE WHEN status = 'OK' THEN CASE WHEN round(pd * scale * 100, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE round(pd * scale * 100, 4) END END AS c_drift,
        CASE WHEN status = 'OK' THEN round(macro_sens, 4) END AS macro_sens
 FROM forecast"""
 

@@ -66,7 +66,7 @@ def stream_baseline(spark, sf_dir):
     """Trailing seven-day mean and deviation per entity from streamed daily statistics."""
     out = jobs.daily_statistics(v.items(_source(spark, sf_dir), sf_dir), "60 days")
     daily = jobs.latest_rows(_run(spark, out, "update"), "entity", "day")
-    return jobs.trailing_baseline(daily, 7).select("entity", "day", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+    return jobs.trailing_baseline(daily, 7).select("entity", "day", "n", F.round("mean", 9).alias("mean"), F.round("std", 7).alias("std"))
 
 
 QUERIES = {f.__name__: f for f in (stream_dedup, stream_session_flow, stream_arrivals, stream_baseline)}
@@ -79,5 +79,5 @@ SELECT session, entity, count(*) AS n, round(sum(reliability * relevance * stren
     "stream_arrivals": f"""WITH {v.SQL_NEWS}, w AS (SELECT *, unnest([0, 6, 12, 18]) AS h FROM news)
 SELECT strftime(time_bucket(INTERVAL 6 HOUR, published_at, TIMESTAMP '2024-01-01') - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start, provider, timezone_status, count(*) AS n FROM w GROUP BY 1, 2, 3""",
     "stream_baseline": f"""WITH {v.SQL_ITEMS}, d AS (SELECT entity, CAST(available_at AS DATE) AS day, sentiment FROM items), k AS (SELECT DISTINCT entity, day FROM d)
-SELECT k.entity, k.day, count(*) AS n, round(avg(sentiment), 5) AS mean, round(stddev_samp(sentiment), 5) AS std FROM k JOIN d ON d.entity = k.entity AND d.day < k.day AND d.day >= k.day - 7 GROUP BY 1, 2""",
+SELECT k.entity, k.day, count(*) AS n, round(avg(sentiment), 9) AS mean, round(stddev_samp(sentiment), 7) AS std FROM k JOIN d ON d.entity = k.entity AND d.day < k.day AND d.day >= k.day - 7 GROUP BY 1, 2""",
 }

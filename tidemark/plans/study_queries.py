@@ -235,7 +235,7 @@ def sql_t_upper(t: str, df: str) -> str:
 SQL_METRICS = f"""
 count(*) AS n, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 4) AS rmse,
 round(avg(predicted - actual), 4) AS bias, round(avg(predicted), 4) AS mean_predicted, round(avg(actual), 4) AS mean_actual,
-round(corr(predicted, actual), 4) AS correlation, round(avg(abs((predicted - actual) / actual)) FILTER (abs(actual) >= 0.5) * 100, 4) AS mape,
+round(CASE WHEN count(*) >= 3 AND stddev_pop(predicted) > 0 AND stddev_pop(actual) > 0 THEN corr(predicted, actual) END, 4) AS correlation, round(avg(abs((predicted - actual) / actual)) FILTER (abs(actual) >= 0.5) * 100, 4) AS mape,
 count(*) FILTER (abs(actual) >= 0.5) AS mape_n, round(count(*) FILTER (abs(predicted - actual) <= sigma_pct) / count(*), 4) AS within_1sigma,
 round(avg(abs(actual)), 4) AS no_change_mae, round(sqrt(avg(actual * actual)), 4) AS no_change_rmse,
 round(1 - avg(abs(predicted - actual)) / avg(abs(actual)), 4) AS mae_skill, round(count(*) FILTER (predicted_direction = adir) / count(*), 4) AS directional_accuracy,
@@ -362,7 +362,7 @@ SELECT horizon_type, rule, round(value, 4) AS value FROM o""",
 SELECT a.feature AS feature_a, b.feature AS feature_b, count(a.x + b.x) AS both_present, round(coalesce(sum(a.x) FILTER (b.x IS NOT NULL), 0), 4) AS sum_a,
        round(coalesce(sum(a.x * b.x), 0), 3) AS sum_ab FROM long a JOIN long b USING (session, ticker) GROUP BY 1, 2""",
     "ridge_fit": f"""{R}, src AS (SELECT relative_sentiment AS x1, previous_return AS x2, actual FROM records),
-m AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(actual) AS my, count(*)::DOUBLE AS n FROM src),
+m AS (SELECT coalesce(avg(x1), 0) AS m1, CASE WHEN coalesce(stddev_pop(x1), 0) < 1e-12 THEN 1 ELSE stddev_pop(x1) END AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(actual) AS my, count(*)::DOUBLE AS n FROM src),
 z AS (SELECT coalesce((x1 - m1) / s1, 0) AS z1, coalesce((x2 - m2) / s2, 0) AS z2, actual - my AS yc FROM src, m),
 g AS (SELECT sum(z1 * z1) AS g11, sum(z2 * z2) AS g22, sum(z1 * z2) AS g12, sum(z1 * yc) AS t1, sum(z2 * yc) AS t2 FROM z),
 f AS (SELECT a.alpha, m.*, (t1 * (g22 + alpha * n) - t2 * g12) / ((g11 + alpha * n) * (g22 + alpha * n) - g12 * g12) AS b1,
