@@ -14,8 +14,13 @@ from tidemark.session import cut_lineage
 SLICE_ROWS = 256
 
 
+#: Rows of an Arrow batch: whole texts are long, and the default of 10,000 rows would take tens of MB on both sides of a task.
+ARROW_ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table (all of them if none is named)."""
+    """The named columns of a table (all of them if none is named), to be sent to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -50,3 +55,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, as installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -105,8 +105,9 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     for k, (i, j) in enumerate(_PAIRS):
         kept = _signed(((1 << 64) - 1) ^ (255 << (8 * i)) ^ (255 << (8 * j)))
         keys.append(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(kept)).alias("kept")))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = (
-        distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+        distinct.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("key"))
         .groupBy("key").agg(F.collect_set("fp").alias("fps"))
         .where(F.size("fps") > 1).select("fps")
     )
