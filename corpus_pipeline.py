@@ -1,15 +1,23 @@
-"""The corpus pipeline: every stage reads what its predecessor kept."""
+"""The corpus pipeline: every stage reads what its predecessor kept and its decisions take effect for the next one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash, substring_dedup
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, language, packing, simhash, substring_dedup
+from tidemark.llm.common import table, vocabulary
+from tidemark.session import cut_lineage
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no text, or no letter in it) go; every other one stays as it is."""
+    labelled = docs.where(F.crc32(docs["doc_id"].cast("string")) % 3 != 1).select("text", "lang")
+    model = language.fit(labelled)
+    return language.predict(docs, model, lang_col="__lang", score_col="__score").where(F.col("__lang") != language.UNDETERMINED).drop("__lang", "__score")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest doc_id.
 
     Rows that repeat a doc_id count as one document and one of them stays; rows without a doc_id can't be named and stay.
@@ -21,17 +29,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.withColumn("__row", once).dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has already are cut out; every document stays."""
+def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has already are cut out of the text; every document stays."""
     return substring_dedup.remove_spans(docs, substring_dedup.repeated_spans(docs))
 
 
-STAGES = [("simhash_near_dedup", near_duplicates), ("substring_dedup", repeated_passages)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the documents and their places in training sequences."""
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_cut),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The stages hash, fit models and align words, which SQL can't express; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences of ``documents``; every stage's result is written once, so no stage is computed again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs
