@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words ignored in title token sets.
-TITLE_STOP_WORDS = ("a an the of to in on for and or is are at by with as from its it be this that after over").split()
+TITLE_STOP_WORDS = [
+    "a", "an", "the", "of", "to", "in", "on", "for", "and", "or", "is", "are", "at", "by", "with", "as", "from",
+    "its", "it", "be", "this", "that", "after", "over",
+]
 
 
 def title_tokens(title: Column) -> Column:

@@ -61,6 +61,16 @@ def missing_sessions(bars: DataFrame, calendar: Calendar, start=None, end=None)
     return expected.join(held, ["ticker", "session"], "left_anti")
 
 
+def sessions_held(bars: DataFrame, calendar: Calendar, start, end) -> DataFrame:
+    """One row: sessions in [start, end], how many (ticker, session) pairs lack a bar, and the share that has one."""
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    held = bars.select("ticker", "date").distinct().agg(F.countDistinct("ticker").alias("tickers"), F.count_if(F.col("date").between(lo, hi)).alias("held"))
+    days = calendar.frame().where(F.col("session").between(lo, hi)).agg(F.count("*").alias("sessions"))
+    expected = F.col("sessions") * F.col("tickers")
+    return days.join(F.broadcast(held)).select(  # one row each
+        "sessions", (expected - F.col("held")).alias("missing_sessions"), F.round(F.try_divide(F.col("held"), expected), 4).alias("coverage_ratio"))
+
+
 def returns(bars: DataFrame) -> DataFrame:
     w = _series("ticker")
     prev = F.lag("close").over(w)

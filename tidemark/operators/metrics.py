@@ -122,14 +122,14 @@ def error_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
                       _ratio(F.col("_hits"), F.col("sign_n")).alias("sign_accuracy"), "sign_n")
 
 
-def usable(records: DataFrame, baselines: list[str]) -> DataFrame:
-    """Rows on which every baseline is defined, so all comparisons use identical samples."""
+def with_all_baselines(records: DataFrame, baselines: list[str]) -> DataFrame:
+    """Records that no baseline lacks: the common sample of every comparison."""
     return records.dropna(subset=baselines)
 
 
 def baseline_comparison(records: DataFrame, baselines: list[str]) -> DataFrame:
     """Model against each baseline on exactly the same rows: one row per forecast."""
-    rows = usable(records, baselines)
+    rows = with_all_baselines(records, baselines)
     long = rows.select("actual", "neutral_threshold_pct", F.explode(F.array(
         F.struct(F.lit("model").alias("forecast"), F.col("predicted").alias("value")),
         *[F.struct(F.lit(b).alias("forecast"), F.col(b).alias("value")) for b in baselines])).alias("f")).select(

@@ -190,8 +190,8 @@ def chronological_split(records: DataFrame, train_end: dt.date | None = None, va
                         fractions: tuple[float, float] = (0.6, 0.2), date: str = "as_of_date") -> DataFrame:
     """Add ``part`` (train < validation < test): explicit ends, or fractions of the distinct dates."""
     if train_end and valid_end:
-        if not train_end < valid_end:
-            raise ValueError("train_end must be before valid_end")
+        if train_end >= valid_end:
+            raise ValueError(f"no validation dates between {train_end} and {valid_end}")
         d = F.col(date)
         return records.withColumn("part", F.when(d <= F.lit(train_end), "train").when(d <= F.lit(valid_end), "validation").otherwise("test"))
     from pyspark.sql import Window
@@ -286,7 +286,7 @@ def experiment(records: DataFrame, baselines: list[str], train_end=None, valid_e
     """Out-of-sample study of the next-session horizon: split, fit, select on validation, test once."""
     sets = feature_sets or FEATURE_SETS
     spark = records.sparkSession
-    rows = metric_ops.usable(records.where(F.col("horizon_type") == "today"), baselines)
+    rows = metric_ops.with_all_baselines(records.where(F.col("horizon_type") == "today"), baselines)
     rows = cut_lineage(chronological_split(rows, train_end, valid_end))
     names = sorted({f for fs in sets.values() for f in fs})
     train = Moments.from_rows(names, moments(rows.where("part = 'train'"), names).collect())

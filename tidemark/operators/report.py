@@ -53,7 +53,7 @@ def failure_evidence(cases: DataFrame, evidence: DataFrame, titles: DataFrame, l
 def observations(records: DataFrame, baselines: list[str]) -> DataFrame:
     """(horizon_type, rule, value): one row per rule that fires."""
     m = metric_ops.metrics(records, "horizon_type")
-    usable = metric_ops.usable(records, baselines)
+    usable = metric_ops.with_all_baselines(records, baselines)
     worse = usable.groupBy("horizon_type").agg(
         F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("_m"),
         *[F.avg(F.abs(F.col(b) - F.col("actual"))).alias("_b_" + b) for b in baselines])

@@ -109,8 +109,12 @@ def confirm(members: DataFrame, confirmations: DataFrame) -> DataFrame:
 
 
 def mirror_weights(catalog: DataFrame, members: DataFrame, day: DataFrame) -> DataFrame:
-    """Catalog with the weight and version effective on the (single) given day; others keep null."""
+    """Catalog with the weight, its version and where that came from, effective on the (single) given day; others keep null."""
     current = members_asof(members, day).select("ticker", F.col("weight").alias("index_weight"), F.col("version").alias("weight_version"))
+    columns = [F.col(c).alias(f"weight_{c}") for c in ("source", "source_date") if c in members.columns]
+    if columns:
+        origin = members.select("ticker", F.col("version").alias("weight_version"), *columns)
+        current = current.join(origin, ["ticker", "weight_version"])
     return catalog.join(current, "ticker", "left")
 
 

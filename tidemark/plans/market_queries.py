@@ -299,13 +299,12 @@ def score_snapshot(spark, sf_dir):
 
 def parameter_tables(spark, sf_dir):
     """Thresholds re-estimated from the data as a candidate set, diffed against the defaults."""
-    base = default_params()
-    stats = v.table(spark, sf_dir, "events").agg(F.round(F.avg("value"), 4).alias("m"), F.count("*").alias("n")).first()
-    changed = {s: dict(x) for s, x in base.items()}
-    changed["news"]["neutral_band"] = stats["m"]
-    changed["news"]["min_baseline_n"] = stats["n"]
-    del changed["model"]["sentiment_input"]
-    old, new = (snapshots.parameter_rows(spark, n, p) for n, p in (("default", base), ("candidate", changed)))
+    old = snapshots.parameter_rows(spark, "default", default_params())
+    stats = v.table(spark, sf_dir, "events").agg(F.round(F.avg("value"), 4).alias("m"), F.count("*").alias("n"))
+    estimated = stats.select(F.explode(F.create_map(
+        F.lit("news.neutral_band"), F.col("m").cast("string"), F.lit("news.min_baseline_n"), F.col("n").cast("string"))).alias("name", "estimate"))
+    new = old.where("name <> 'model.sentiment_input'").join(estimated, "name", "left").select(
+        F.lit("candidate").alias("version"), "name", F.coalesce("estimate", "value").alias("value"))
     defaults = snapshots.parameter_rows(spark, "legacy", LEGACY_VALUES)
     return snapshots.parameter_diff(old, snapshots.complete_rows(new, defaults))
 

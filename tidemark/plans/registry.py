@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import article_queries, market_queries, news_queries, stream_queries, study_queries
+from tidemark.plans import article_queries, ingest_queries, market_queries, news_queries, stream_queries, study_queries
 
-MODULES = [news_queries, study_queries, article_queries, market_queries, stream_queries]
+MODULES = [news_queries, study_queries, article_queries, market_queries, stream_queries, ingest_queries]
 
 
 def _merge(attribute: str) -> dict:

@@ -42,6 +42,9 @@ HALF_LIFE = (
     "CAST(CASE event_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 15 WHEN 3 THEN 45 ELSE 5 END AS DOUBLE)"
 )
 
+#: Everything up to the first full stop, question or exclamation mark, or line break, however long.
+FIRST_SENTENCE = r"^[^.!?\n]*"
+
 # Parameters sized for a 30-day event stream.
 STREAM_NEWS_PARAMS = {**NEWS_PARAMS, "max_lookback_days": 12, "baseline_days": 8, "min_baseline_n": 350}
 STREAM_MODEL_PARAMS = {**MODEL_PARAMS, "min_history_days": 5, "vol_lookback_days": 10, "drift_lookback_days": 15,
@@ -160,11 +163,11 @@ def sensitivity(spark: SparkSession) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: whole text as summary, first 160 characters as headline."""
+    """Documents as articles: whole text as summary, its whole first sentence as headline."""
     d = table(spark, sf_dir, "documents")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return d.select(
-        F.col("doc_id").alias("news_id"), F.substring("text", 1, 160).alias("title"), F.col("text").alias("summary"), "source", "lang",
+        F.col("doc_id").alias("news_id"), F.regexp_extract("text", FIRST_SENTENCE, 0).alias("title"), F.col("text").alias("summary"), "source", "lang",
         F.timestamp_add("SECOND", (F.col("doc_id") * 7919) % 2592000, start).alias("published_at"))
 
 
@@ -234,8 +237,8 @@ versions AS (
 members AS (SELECT * FROM (VALUES {_values(UNIVERSE_MEMBERS)}) m(version, ticker, weight)),
 catalog AS (SELECT * FROM (VALUES {_values(CATALOG)}) c(ticker, name, sector)),
 sensitivity AS (SELECT * FROM (VALUES {_values(SENSITIVITY)}) s(sector, category, multiplier))"""
-SQL_ARTICLES = """
+SQL_ARTICLES = f"""
 articles AS (
-  SELECT doc_id AS news_id, substr(text, 1, 160) AS title, text AS summary, source, lang,
+  SELECT doc_id AS news_id, regexp_extract(text, '{FIRST_SENTENCE}', 0) AS title, text AS summary, source, lang,
          TIMESTAMP '2024-01-01' + to_seconds((doc_id * 7919) % 2592000) AS published_at
   FROM documents)"""
