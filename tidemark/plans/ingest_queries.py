@@ -135,7 +135,7 @@ def pending_analysis(spark, sf_dir):
 def event_strengths(spark, sf_dir):
     """E9."""
     ev = v.table(spark, sf_dir, "events")
-    return ev.select("event_id", entities.event_strength(F.expr(v.STRENGTH), F.col("value") * 0.0317).alias("strength"))
+    return ev.select("event_id", entities.event_strength(F.expr(v.STRENGTH), F.col("value") * 0.031731).alias("strength"))
 
 
 def engine_scores(spark, sf_dir):
@@ -269,7 +269,7 @@ SELECT (SELECT count(*) FROM items WHERE available_at BETWEEN TIMESTAMP '{_LO}'
   (SELECT count(*) FROM items WHERE price_report AND available_at BETWEEN TIMESTAMP '{_LO}' AND TIMESTAMP '{_HI}') AS price_reports,
   (SELECT count(*) FROM s) AS sessions, expected - held AS missing_sessions, round(held / expected, 4) AS coverage_ratio FROM x""",
     "pending_analysis": f"SELECT {v.PROVIDER} AS provider, count(*) AS pending, min(event_id) AS first_id FROM events WHERE event_id % 4 = 0 GROUP BY 1",
-    "event_strengths": f"SELECT event_id, round_even({v.STRENGTH} * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, value * 0.0317::DOUBLE / 3.0::DOUBLE)), 4) AS strength FROM events",
+    "event_strengths": f"SELECT event_id, round_even({v.STRENGTH} * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, value * 0.031731::DOUBLE / 3.0::DOUBLE)), 4) AS strength FROM events",
     "engine_scores": """SELECT doc_id AS news_id, round((length(text) - length(replace(text, 'e', '')) - length(text) + length(replace(text, 'a', ''))) / (length(text) + 1.0::DOUBLE), 9) AS raw, 'vowels-v1' AS engine FROM documents""",
     "confirmed_members": f"WITH {_VERSIONS} SELECT DISTINCT ticker FROM ver WHERE status = 'confirmed'",
     "universe_history": f"WITH {_VERSIONS} SELECT version, effective_from, status, string_agg(ticker, ',' ORDER BY weight DESC) AS tickers FROM ver GROUP BY ALL",
