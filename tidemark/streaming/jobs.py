@@ -1,12 +1,13 @@
 """Structured Streaming versions of ingestion, news flow, baselines and outcome matching.
 
-State is keyed finely and pre-aggregated map-side, so one busy source or entity never owns a task. Every sink is a
-``foreachBatch`` writing to a table whose rows carry the batch id: replaying a batch overwrites its own output.
+Everything that a stream adds up is a sum over rows, so each micro-batch writes its own partial sums and the totals are read by
+adding them: no row is too late to count, no state grows, and a batch that is replayed overwrites its own output. What depends on
+earlier batches (uniqueness, duplicates, outcomes) is looked up in the stored table. Late rows are kept and labelled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import url_hash
@@ -24,23 +25,57 @@ def exactly_once(path: str, transform=None):
     return write
 
 
+def labelled(path: str, event_time: str, delay_hours: int, transform=None):
+    """Like ``exactly_once``, with a column ``late``: older than the newest row of earlier batches by more than the delay.
+
+    The newest event time of every batch is kept in a side table (one row a batch), written after the batch's rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = stored(batch.sparkSession, f"{path}-progress", "newest timestamp_ntz, batch int").where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        horizon = F.timestamp_add("HOUR", F.lit(-delay_hours), F.lit(seen).cast("timestamp_ntz"))
+        marked = batch.withColumn("late", F.coalesce(F.col(event_time) < horizon, F.lit(False)))
+        (transform(marked) if transform else marked).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.agg(F.max(event_time).alias("newest")).write.mode("overwrite").parquet(f"{path}-progress/batch={batch_id}")
+
+    return write
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that earlier batches wrote; empty before the first one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def start(stream: DataFrame, writer, checkpoint: str, mode: str = "append", available_now: bool = True):
     """Run a stream into a foreachBatch writer (all available data once, or continuously)."""
     w = stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def totals(table: DataFrame, *keys: str) -> DataFrame:
+    """Partial sums of all batches added up per key."""
+    return table.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in table.columns if c not in keys and c != "batch"))
+
+
 # ---- S1, S2: ingestion ----------------------------------------------------------------------------
-def accepted_articles(raw: DataFrame, now: Column, delay: str = "2 days", event_time: str = "published_at") -> DataFrame:
-    """Validated articles, first delivery per URL within the watermark (state bounded by the delay)."""
+def accepted_articles(raw: DataFrame, now: Column) -> DataFrame:
+    """Validated articles with their URL hash."""
     ok, _ = validation.split(validation.validate(raw, now))
-    stamped = ok.withColumn("_event_time", F.col(event_time).cast("timestamp")).withColumn("url_hash", url_hash(F.col("url")))
-    return stamped.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["url_hash"]).drop("_event_time")
+    return ok.withColumn("url_hash", url_hash(F.col("url")))
 
 
-def only_new(stored_hashes):
-    """Batch step restoring global uniqueness: ``stored_hashes()`` returns the URL hashes already in the table."""
-    return lambda batch: batch.join(stored_hashes(), "url_hash", "left_anti")
+def first_deliveries(stored_hashes, seq: str = "news_id"):
+    """Batch step: the first article of every URL that no earlier batch has. ``stored_hashes()`` reads the URL hashes of the table."""
+    def step(batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c not in (seq, "url_hash")]
+        first = batch.groupBy("url_hash").agg(F.min(F.struct(seq, *rest)).alias("_r")).select("url_hash", "_r.*")
+        return first.join(stored_hashes().select("url_hash"), "url_hash", "left_anti")
+
+    return step
 
 
 def near_duplicates_in(stored_leaders, hours: int = 48, threshold: float = 0.8, seq: str = "news_id"):
@@ -61,39 +96,37 @@ def near_duplicates_in(stored_leaders, hours: int = 48, threshold: float = 0.8,
     return step
 
 
-# ---- S3, S4: session windows and late data --------------------------------------------------------
-def session_flow(items: DataFrame, calendar: Calendar, delay: str = "2 days") -> DataFrame:
-    """Running count and weighted sentiment per (session, entity): irregular windows come from a stream-static join."""
-    located = calendar.next_session(items, F.col("available_at"), "session").where(F.col("session").isNotNull())
-    w = F.col("reliability") * F.col("relevance") * F.col("strength")
-    timed = located.withColumn("_event_time", F.col("available_at").cast("timestamp")).withWatermark("_event_time", delay)
-    return timed.groupBy("session", "entity").agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("sentiment")).alias("ws"))
-
+# ---- S3, S4: session windows ----------------------------------------------------------------------
+def story_sums(calendar: Calendar):
+    """Batch step: weighted sums per (session, entity, story); irregular sessions come from a join with the calendar."""
+    def step(items: DataFrame) -> DataFrame:
+        located = calendar.next_session(items, F.col("available_at"), "session").where(F.col("session").isNotNull())
+        w = F.col("reliability") * F.col("relevance") * F.col("strength")
+        return located.groupBy("session", "entity", "cluster_id").agg(
+            F.count("*").alias("n"), F.count_if("late").alias("n_late"), F.sum(w).alias("w"), F.sum(w * F.col("sentiment")).alias("ws"))
 
-def split_late(path: str, late_path: str, is_late: Column):
-    """foreachBatch sink that never drops late rows: they go to a side table with their label."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        marked = batch.persist()
-        marked.where(~is_late).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        marked.where(is_late).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
-        marked.unpersist()
+    return step
 
-    return write
 
+def session_flow(sums: DataFrame, baseline_days: int) -> DataFrame:
+    """(session, entity, stories, articles, late_articles, mean, baseline_n, baseline_mean, relative) from the sums of all batches.
 
-# ---- S5: trailing baselines -----------------------------------------------------------------------
-def daily_statistics(items: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Sufficient statistics per (entity, day); each day's state is dropped once the watermark passes it."""
-    timed = items.withColumn("_event_time", F.col("available_at").cast("timestamp")).withWatermark("_event_time", delay)
-    return timed.groupBy("entity", F.window("_event_time", "1 day").alias("_w")).agg(
-        F.count("*").alias("n"), F.sum("sentiment").alias("s"), F.sum(F.col("sentiment") * F.col("sentiment")).alias("ss")).select(
-            "entity", F.col("_w.start").cast("date").alias("day"), "n", "s", "ss")
+    A story counts once with its weighted mean sentiment; the baseline are the stories of the days before the session.
+    """
+    stories = totals(sums, "session", "entity", "cluster_id").withColumn("score", F.try_divide("ws", "w"))
+    flow = stories.groupBy("session", "entity").agg(
+        F.count("score").alias("stories"), F.sum("n").alias("articles"), F.sum("n_late").alias("late_articles"), F.avg("score").alias("mean"),
+        F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss"))
+    daily = flow.select("entity", F.col("session").alias("day"), F.col("stories").alias("n"), "s", "ss")
+    base = trailing_baseline(daily, baseline_days).select("entity", F.col("day").alias("session"), F.col("n").alias("baseline_n"), F.col("mean").alias("baseline_mean"))
+    return flow.drop("s", "ss").join(base, ["session", "entity"], "left").withColumn("relative", F.col("mean") - F.col("baseline_mean"))
 
 
-def latest_rows(table: DataFrame, *keys: str) -> DataFrame:
-    """Newest state of each key in an update-mode table."""
-    rest = [c for c in table.columns if c not in keys and c != "batch"]
-    return table.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+# ---- S5: trailing baselines -----------------------------------------------------------------------
+def daily_statistics(items: DataFrame) -> DataFrame:
+    """Batch step: sufficient statistics per (entity, day)."""
+    return items.groupBy("entity", F.to_date("available_at").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if("late").alias("n_late"), F.sum("sentiment").alias("s"), F.sum(F.col("sentiment") * F.col("sentiment")).alias("ss"))
 
 
 def trailing_baseline(daily: DataFrame, days: int) -> DataFrame:
@@ -107,12 +140,15 @@ def trailing_baseline(daily: DataFrame, days: int) -> DataFrame:
 
 
 # ---- S6: arrival counts ---------------------------------------------------------------------------
-def arrivals(news: DataFrame, size: str = "1 day", slide: str | None = None, delay: str = "2 days") -> DataFrame:
-    """Tumbling or sliding counts of arrivals per provider and status."""
-    timed = news.withColumn("_event_time", F.col("published_at").cast("timestamp")).withWatermark("_event_time", delay)
-    window = F.window("_event_time", size, slide) if slide else F.window("_event_time", size)
-    return timed.groupBy(window.alias("_w"), "provider", "timezone_status").agg(F.count("*").alias("n")).select(
-        F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "provider", "timezone_status", "n")
+def arrivals(size: str = "1 day", slide: str | None = None):
+    """Batch step: tumbling or sliding counts of arrivals per provider and status, late ones also apart."""
+    def step(news: DataFrame) -> DataFrame:
+        at = F.col("published_at").cast("timestamp")
+        window = F.window(at, size, slide) if slide else F.window(at, size)
+        return news.groupBy(window.alias("_w"), "provider", "timezone_status").agg(F.count("*").alias("n"), F.count_if("late").alias("n_late")).select(
+            F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "provider", "timezone_status", "n", "n_late")
+
+    return step
 
 
 # ---- S7: outcomes ---------------------------------------------------------------------------------
