@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, packing, simhash, substring_dedup
 from tidemark.llm.common import table, vocabulary
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, dimension
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows that repeat a doc_id count as one document and one of them stays; rows without a doc_id can't be named and stay.
     """
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    once = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("__row", once).dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+    groups = cut_lineage(simhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), "component_id"))
+    gone = groups.where("__id <> component_id").select("__id").distinct()
+    again = groups.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
+    # lists of ids, broadcast up to a checked size and else joined by shuffle
+    kept = docs.join(dimension(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    again = dimension(cut_lineage(again))
+    once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
+    several = kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(several)
 
 
 def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

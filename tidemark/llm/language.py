@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import slices, small_batches
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample, per language: rows for the regression, and how many of them are landmarks.
@@ -92,6 +92,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARK
     are landmarks. The kernel rows of the sample are computed by Spark; the driver gets ``fit_rows x landmarks`` numbers per language.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
     per_salt = -(-fit_rows // _SALTS)
     order = Window.partitionBy("lang", F.pmod("h", F.lit(_SALTS))).orderBy("h")
@@ -152,6 +153,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
     A null text, a text without a letter, or a model without languages gives ``und`` with score 0. Repeated rows stay repeated.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text, slices
+from tidemark.llm.common import id_and_text, slices, small_batches
 from tidemark.session import cut_lineage
 
 MIN_UNIT_WORDS = 8
@@ -116,6 +116,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     Documents without spans keep their text as it is (null included).
     """
+    small_batches(docs.sparkSession)
     grouped = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(grouped.withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "spans": "__spans"}),
