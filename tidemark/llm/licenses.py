@@ -1,10 +1,10 @@
 """Licence scan: phrases that stand in a text, and an exact set-similarity join of text blocks with licence templates.
 
 DataFrame functions only. A block is a line of a text, as the set of its words; a template matches when the block holds at least
-``CONTAINMENT`` of the template's different words. All template words are ordered by how many blocks of the whole corpus have them,
+``CONTAINMENT`` of the template's different words. All template words are ordered by how often the whole corpus has them,
 rarest first. A block that holds enough of a template must share one of its first ``size - need + 1`` words (prefix filter), must
-have ``need`` words at all (length filter), and the words that follow the first shared one must still suffice on both sides
-(positional filter). What passes is verified by counting the shared words, so no match is missed and none is wrong.
+have ``need`` words at all (length filter), and the words of the template from its first shared one on must still suffice (positional
+filter). What passes is verified by counting the shared words, so no match is missed and none is wrong.
 """
 
 from __future__ import annotations
@@ -37,17 +37,17 @@ TEMPLATES = [
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words where upper-case letters are not lowered yet.
-_ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, before and after A-Z are lowered.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+    """Lower case, the same for words of ASCII as if A-Z alone were lowered: the two other letters that would turn into ASCII are kept apart."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0199")), F.lit("\u0130"), F.lit("\u0131")))
 
 
 def words(text: Column) -> Column:
-    """Words of a lowered text."""
-    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(text, _BETWEEN), "")
 
 
 def phrase_hits(ws: Column, phrase: str) -> Column:
@@ -82,21 +82,27 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, conta
     spark = docs.sparkSession
     every = template_words(spark, templates, containment)
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    literal = F.array(*(F.lit(w) for w in vocabulary))
-    least = min(-(-round(containment * 1000) * len(set(t.split())) // 1000) for _, t in templates)
-    # only words of templates can be shared: the rest of a block counts in its length alone
-    blocks = docs.select("doc_id", "text_key", F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
-    sets = blocks.where(F.length("line") >= 2 * least - 1).select("doc_id", "text_key", "block", F.array_distinct(words(F.col("line"))).alias("ws"))
-    sets = sets.where(F.size("ws") >= least).select(
-        "doc_id", "text_key", "block", F.size("ws").alias("n_words"), F.array_intersect("ws", literal).alias("ws")).where(F.size("ws") >= least)
-    counted = sets.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ordered = every.join(F.broadcast(counted), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    counted = docs.select(F.explode(words(lowered(F.col("text")))).alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count("*").alias("df"))
+    ordered = every.join(counted, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rank = Window.partitionBy("template").orderBy("df", "word")
     prefixes = ordered.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= F.col("size") - F.col("need") + 1)
-    # one small row per template word; the number of rows is the size of the template table
-    prefixes = F.broadcast(prefixes.select("template", "label", "word", "size", "need", "place"))
-    found = sets.select("*", F.posexplode("ws").alias("at", "word")).join(prefixes, "word")
-    found = found.where((F.col("n_words") >= F.col("need")) & (F.size("ws") >= F.col("need")) & (F.col("size") - F.col("place") + 1 >= F.col("need")))
+    # as many rows as the templates have prefix words, whatever the corpus
+    rows = prefixes.select("template", "label", "word", "size", "need", "place").collect()
+    prefixes = local_frame(spark, [tuple(r) for r in rows], "template int, label string, word string, size int, need int, place int")
+    first_words = F.array(*(F.lit(w) for w in sorted({r.word for r in rows})))
+    literal = F.array(*(F.lit(w) for w in vocabulary))
+    least = min((r.need for r in rows), default=1)
+    blocks = docs.select("doc_id", "text_key", F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
+    # the generator keeps the words from being split again by every condition on them
+    split = blocks.select("doc_id", "text_key", "block", F.explode(F.array(words(F.col("line")))).alias("ws"))
+    split = split.where((F.size("ws") >= least) & F.arrays_overlap("ws", first_words))
+    sets = split.select("doc_id", "text_key", "block", F.explode(F.array(F.array_distinct("ws"))).alias("ws")).select(
+        "doc_id", "text_key", "block", F.size("ws").alias("n_words"), F.array_intersect("ws", literal).alias("ws"))
+    # shared words in the global order: what comes before a shared word can't be a part of the overlap counted from it
+    found = sets.select("*", F.explode("ws").alias("word")).join(F.broadcast(prefixes), "word")
+    found = found.where((F.col("n_words") >= F.col("need")) & (F.size("ws") >= F.col("need")))
+    found = found.groupBy("doc_id", "text_key", "block", "template", "label", "size", "need").agg(F.min("place").alias("place"), F.first("ws").alias("ws"))
+    found = found.where(F.col("size") - F.col("place") + 1 >= F.col("need"))
     full = F.broadcast(every.groupBy("template").agg(F.collect_list("word").alias("all")))
     shared = F.size(F.array_intersect("ws", "all"))
     return (
@@ -118,7 +124,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containm
     hinted = F.lit(False)
     for w in ending:
         hinted = hinted | F.contains(lowered(F.col("text")), F.lit(w))
-    base = keyed.select("doc_id", "text_key", F.regexp_count("text", F.lit(_ANY_CASE_WORD)).cast("long").alias("n_words"),
+    base = keyed.select("doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"),
                         F.when(hinted, words(lowered(F.col("text")))).otherwise(F.array().cast("array<string>")).alias("ws"))
     base = base.select("doc_id", "text_key", "n_words", *(phrase_hits(F.col("ws"), p).alias(f"hits{k}") for k, (p, _) in enumerate(PHRASES)))
     hits = [F.col(f"hits{k}") for k in range(len(PHRASES))]
