@@ -66,3 +66,16 @@ def test_keep_first(spark):
     assert got == {(1, "a"), (3, "c")}
     stored = keep_first(df).where("news_id = 3").select("url_hash")
     assert {r["news_id"] for r in keep_first(df, stored=stored).collect()} == {1}
+
+
+@pytest.mark.parametrize("days", [20, 200])
+def test_rounds_do_not_follow_the_calendar(spark, monkeypatch, days):
+    from tidemark.operators import dedup
+
+    rounds = []
+    settle = dedup._settle
+    monkeypatch.setattr(dedup, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    rows = [(i, "Closing bell markets end the day little changed", START + dt.timedelta(hours=24 * i)) for i in range(days)]
+    rows += [(1000 + i, f"Unrelated story number {i} about something else", START + dt.timedelta(hours=24 * i)) for i in range(5)]
+    assert resolve(spark, rows) == sequential(rows)
+    assert len(rounds) <= 2

@@ -9,13 +9,17 @@ without comparing all pairs and without collecting a group:
 * cells meet through signatures (pairs of rare tokens from an extended prefix, plus the whole set), which no similar
   pair can miss; pairs are verified on the token sets;
 * while some signature is shared by so many cells that comparing them pairwise would be quadratic (a flood of near
-  copies), leaders are decided from per-signature minima alone and remove their look-alikes in linear passes.
+  copies), leaders are decided from per-signature minima alone and remove their look-alikes in linear passes;
+* a token set that resembles no other one in its neighbourhood is settled in one streaming pass over its own rows in arrival
+  order, so a headline that comes back every day takes no rounds: those follow conflicts between different sets only.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +27,15 @@ from tidemark.functions.titles import jaccard, title_tokens
 from tidemark.functions.urls import url_hash
 from tidemark.session import cut_lineage
 
-#: Tokens whose frequency is known when ordering signatures; bounds the broadcast table.
-FREQUENT_TOKENS = 50_000
-#: Average pairs per signature entry above which pairwise comparison is postponed.
+#: Cells behind one signature above which comparing them pairwise is put off.
 PAIR_BUDGET = 64
 
 
 def exact_duplicates(articles: DataFrame, url: str = "url", seq: str = "news_id", stored: DataFrame | None = None) -> DataFrame:
     """(seq, url_hash, first_seq, already_stored): the first arrival of every canonical URL.
 
-    The first arrival is a map-side combined minimum, so one URL delivered millions of times never meets in one task.
+    The first arrivals are combined before the shuffle; the way back to the rows is an equi-join whose crowded URLs are split at
+    run time. Where a row per URL is enough, use ``url_groups`` (no join).
     """
     hashed = articles.select(seq, url_hash(F.col(url)).alias("url_hash"))
     first = hashed.groupBy("url_hash").agg(F.min(seq).alias("first_seq"))
@@ -44,6 +47,12 @@ def exact_duplicates(articles: DataFrame, url: str = "url", seq: str = "news_id"
     return hashed.join(first, "url_hash")
 
 
+def url_groups(articles: DataFrame, url: str = "url", seq: str = "news_id") -> DataFrame:
+    """(url_hash, first_seq, copies): one aggregate, combined before the shuffle."""
+    hashed = articles.select(seq, url_hash(F.col(url)).alias("url_hash"))
+    return hashed.groupBy("url_hash").agg(F.min(seq).alias("first_seq"), F.count("*").alias("copies"))
+
+
 def keep_first(articles: DataFrame, url: str = "url", seq: str = "news_id", stored: DataFrame | None = None) -> DataFrame:
     """One row per canonical URL (first arrival), minus URLs already stored. Payload columns travel with the minimum."""
     rest = [c for c in articles.columns if c != seq]
@@ -60,9 +69,9 @@ def signatures(sets: DataFrame, threshold: float) -> DataFrame:
     tokens under one global order (rarest first). Sets too small to resemble a different set only emit themselves.
     """
     words = sets.select("fp", F.explode(F.split("fp", " ")).alias("token"))
-    frequent = words.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "token").limit(FREQUENT_TOKENS)
-    ordered = words.join(F.broadcast(frequent), "token", "left").groupBy("fp").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))), lambda x: x["token"]).alias("t"))
+    # every token's exact frequency; a frequent token's rows are split by run-time skew handling
+    ordered = words.join(words.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("fp").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t"))
     n = F.size("t")
     need = F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int")
     smallest = math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1_000_000
@@ -91,10 +100,35 @@ def _meet(left: DataFrame, right: DataFrame, sigs: DataFrame, threshold: float)
     return met.where(_similar("fp", "o_fp", threshold))
 
 
-def _pair_load(cells: DataFrame, sigs: DataFrame) -> float:
-    groups = cells.join(sigs, "fp").groupBy("key", "bucket").agg(F.count("*").cast("double").alias("n"))
-    r = groups.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("entries")).first()
-    return (r["pairs"] or 0.0) / max(r["entries"] or 0.0, 1.0)
+def _crowd(cells: DataFrame, sigs: DataFrame) -> int:
+    """Most cells that share one signature in one bucket."""
+    groups = cells.join(sigs, "fp").groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    return groups.agg(F.max("n")).first()[0] or 0
+
+
+def _alone(rows: DataFrame, window: int) -> DataFrame:
+    """Leaders (fp, bucket, seq, published_at) of token sets that meet no other set: one pass per set in arrival order.
+
+    A task keeps the leaders' times of the set it is at: at most one per window of the calendar.
+    """
+    names = ["fp", "bucket", "seq", "published_at"]
+    schema = rows.select(*names).schema
+
+    def scan(batches):
+        fp, times = None, []
+        for batch in batches:
+            keep = []
+            for key, at in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                if key != fp:
+                    fp, times = key, []
+                k = bisect_left(times, at - window)
+                keep.append(leads := not (k < len(times) and times[k] <= at + window))
+                if leads:
+                    insort(times, at)
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    timed = rows.select(*names, F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
+    return timed.repartition("fp").sortWithinPartitions("fp", "seq").mapInArrow(scan, schema)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -122,7 +156,7 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.8, hours: int = 48
     """(seq, duplicate_of): ``duplicate_of`` is the matching leader with the earliest published_at, null for leaders.
 
     ``seq`` is the arrival order. Every round decides at least the earliest undecided row; the number of rounds follows
-    the longest chain of neighbouring buckets, not the number of rows.
+    the longest chain of conflicts between different token sets, not the number of rows or the calendar.
     """
     window = hours * 3_600_000_000
     tokens = F.array_sort(title_tokens(F.col(title)))
@@ -134,8 +168,8 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.8, hours: int = 48
     sigs = cut_lineage(signatures(pending.select("fp").distinct(), threshold))
     leaders: list[DataFrame] = []
 
-    # Floods: per-signature minima only, linear in the number of entries.
-    while _pair_load(pending.select("fp", "bucket").distinct(), sigs) > pair_budget:
+    # Floods: per-signature minima only, linear in the number of entries, as long as any signature is crowded.
+    while _crowd(pending.select("fp", "bucket").distinct(), sigs) > pair_budget:
         champions = cut_lineage(_champions(pending))
         entries = champions.join(sigs, "fp")
         least = entries.groupBy("key", "bucket").agg(F.min("seq").alias("least"))
@@ -148,6 +182,10 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.8, hours: int = 48
     # The rest: verified neighbour cells, computed once.
     cells = pending.select("fp", "bucket").distinct()
     adjacent = cut_lineage(_meet(cells, cells, sigs, threshold))
+    contested = cut_lineage(adjacent.where("fp <> o_fp").select("fp").distinct())
+    leaders.append(cut_lineage(_alone(pending.join(contested, "fp", "left_anti"), window)))
+    pending = cut_lineage(pending.join(contested, "fp", "left_semi"))
+    adjacent = adjacent.join(contested, "fp", "left_semi")
     while not pending.isEmpty():
         champions = cut_lineage(_champions(pending))
         other = champions.select(F.col("fp").alias("o_fp"), F.col("bucket").alias("o_bucket"), F.col("seq").alias("o_seq"))
@@ -157,8 +195,6 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.8, hours: int = 48
                                window)
         leaders.append(new)
 
-    if not leaders:
-        return rows.select(F.col("seq").alias(seq), F.lit(None).cast("bigint").alias("duplicate_of"))
     lead = leaders[0]
     for more in leaders[1:]:
         lead = lead.unionByName(more)

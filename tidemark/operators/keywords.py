@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import PHRASE_STOP_WORDS
@@ -20,31 +23,32 @@ def phrase_windows(text: Column, stop_words: list[str], max_words: int) -> Colum
         cut, lambda r: F.transform(F.sequence(F.lit(1), F.size(r), F.lit(max_words)), lambda i: F.slice(r, i, max_words))))
 
 
+def best_phrases(phrases: list[list[str]], top_n: int) -> list[tuple[str, float]]:
+    """Best scored phrases of one document: a word weighs (degree + frequency) / frequency, a phrase the sum of its words."""
+    frequency, degree = Counter(), Counter()
+    for words in phrases:
+        for w in words:
+            frequency[w] += 1
+            degree[w] += len(words) - 1
+    scores = {" ".join(words): round(sum((degree[w] + frequency[w]) / frequency[w] for w in words), 6) for words in map(tuple, phrases)}
+    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:top_n]
+
+
 def rake(df: DataFrame, key: str, text: str, max_words: int = 3, top_n: int = 8,
          stop_words: list[str] | None = None) -> DataFrame:
     """(key, phrase, score, rank): top phrases per document.
 
-    Documents are hashed by key once; word statistics, phrase scores and ranking then reuse that
-    partitioning, so the corpus is shuffled a single time whatever the document lengths.
+    Everything is within one document, so nothing is shuffled: phrases are split in the JVM, Arrow batches of them are scored row by row.
     """
     stops = stop_words or PHRASE_STOP_WORDS
-    phrases = (
-        spread(df.select(key, text)).select(key, phrase_windows(F.col(text), stops, max_words).alias("p"))
-        .repartition(key)
-        # the outer form keeps Spark from re-evaluating the phrase expression as a pushed-down size filter
-        .select(key, F.posexplode_outer("p").alias("n", "words")).where(F.col("words").isNotNull())
-    )
-    words = phrases.select(key, "n", F.array_join("words", " ").alias("phrase"), (F.size("words") - 1).alias("degree"),
-                           F.explode("words").alias("word"))
-    per_word = Window.partitionBy(key, "word")
-    weighted = words.withColumn("weight", (F.sum("degree").over(per_word) + F.count("*").over(per_word))
-                                / F.count("*").over(per_word))
-    per_phrase = (
-        weighted.groupBy(key, "n", "phrase").agg(F.sum("weight").alias("score"))
-        .groupBy(key, "phrase").agg(F.round(F.max("score"), 6).alias("score"))
-    )
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "phrase")
-    return per_phrase.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    phrases = spread(df.select(key, text)).select(key, phrase_windows(F.col(text), stops, max_words).alias("p"))
+
+    @F.pandas_udf("array<struct<phrase: string, score: double>>")
+    def best(column: pd.Series) -> pd.Series:
+        return column.map(lambda p: [] if p is None else [{"phrase": f, "score": x} for f, x in best_phrases([list(w) for w in p], top_n)])
+
+    found = phrases.select(key, F.posexplode(best("p")).alias("at", "b"))
+    return found.select(key, "b.phrase", "b.score", (F.col("at") + 1).alias("rank"))
 
 
 def corpus_rake(df: DataFrame, text: str, max_words: int = 3, top_n: int = 100,

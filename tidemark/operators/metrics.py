@@ -163,6 +163,17 @@ def value_ranks(df: DataFrame, key: str, value: str, buckets: int = 256) -> Data
     )
 
 
+def with_rank(rows: DataFrame, ranks: DataFrame, value: str, out: str) -> DataFrame:
+    """Add the mean rank of ``value`` within its feature. The most frequent value of each feature - zero, for sparse inputs, may hold
+    most rows - gets its rank from a broadcast row per feature, so only the other values are joined by (feature, value)."""
+    mean = (F.col("before") + (F.col("n") + 1) / 2).alias(out)
+    hot = ranks.groupBy("feature").agg(F.max_by(F.struct(F.col(value).alias("_hot"), mean), F.struct("n", value)).alias("_h")).select("feature", "_h._hot", F.col(f"_h.{out}").alias("_rank"))
+    marked = rows.join(F.broadcast(hot), "feature")
+    often = marked.where(F.col(value) == F.col("_hot")).withColumn(out, F.col("_rank"))
+    rest = marked.where(F.col(value) != F.col("_hot")).join(ranks.select("feature", value, mean), ["feature", value])
+    return often.drop("_hot", "_rank").unionByName(rest.drop("_hot", "_rank"))
+
+
 def feature_analysis(records: DataFrame, features: list[str], target: str = "actual") -> DataFrame:
     """Univariate relation of every model input with the realised return (one row per feature)."""
     long = records.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*[
@@ -183,11 +194,7 @@ def feature_analysis(records: DataFrame, features: list[str], target: str = "act
     bounds = sized.groupBy("feature").agg(*[e.alias(f"{n}_{i}") for n, es in quantile.items() for i, e in enumerate(es)])
     bounds = bounds.select("feature", *[(F.col(f"{n}_0") + (F.col(f"{n}_1") - F.col(f"{n}_0")) * F.col(f"{n}_2")).alias(n) for n in quantile])
 
-    ranked = (
-        valid.join(xr.select("feature", "x", (F.col("before") + (F.col("n") + 1) / 2).alias("rx")), ["feature", "x"])
-        .join(yr.select("feature", "y", (F.col("before") + (F.col("n") + 1) / 2).alias("ry")), ["feature", "y"])
-        .join(F.broadcast(bounds), "feature")
-    )
+    ranked = with_rank(with_rank(valid, xr, "x", "rx"), yr, "y", "ry").join(F.broadcast(bounds), "feature")
     nz = (F.col("x") != 0) & (F.col("y") != 0)
     agg = ranked.groupBy("feature").agg(
         F.avg("x").alias("_mean"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"), F.avg((F.col("x") != 0).cast("double")).alias("_nz"),

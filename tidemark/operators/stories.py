@@ -8,7 +8,7 @@ items x cut-offs, and everything downstream aggregates stretches before any cut-
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.availability import visible_at
@@ -74,10 +74,11 @@ def story_states(ranged: DataFrame, extra: tuple[str, ...] = (), scope: tuple[st
         F.max(F.struct(product.alias("product"), (-F.unix_micros(F.col("available_at").cast("timestamp"))).alias("early"),
                        (-F.col("news_id")).alias("low_id"), "relevance", "reliability")).alias("best"),
         F.sum(weight).alias("w"), F.sum(weight * F.col("sentiment")).alias("ws"), F.count("*").alias("articles"))
-    cluster = Window.partitionBy(*key)
-    edges = F.array_sort(F.array_union(F.collect_set("p_from").over(cluster), F.collect_set("p_to").over(cluster)))
+    # edges are cut-off positions, so a story has no more of them than the calendar; the way back to its parts is an equi-join,
+    # which run-time skew handling splits when one story is hot
+    edges = parts.select(*key, F.explode(F.array("p_from", "p_to")).alias("_e")).groupBy(*key).agg(F.array_sort(F.collect_set("_e")).alias("_edges"))
     stretches = (
-        parts.withColumn("_edges", edges)
+        parts.join(edges, list(key))
         .withColumn("_cover", F.filter("_edges", lambda e: (e >= F.col("p_from")) & (e <= F.col("p_to"))))
         .withColumn("_span", F.explode(F.transform(
             F.sequence(F.lit(1), F.size("_cover") - 1),

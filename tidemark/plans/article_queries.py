@@ -107,7 +107,7 @@ def canonical_urls(spark, sf_dir):
 def exact_dedup(spark, sf_dir):
     """D3 over the page URLs: path digits folded so that canonical URLs repeat."""
     p = v.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"\d+", "0").alias("url"))
-    return dedup.exact_duplicates(p, seq="page_id").groupBy("url_hash").agg(F.min("first_seq").alias("first_seq"), F.count("*").alias("copies"))
+    return dedup.url_groups(p, seq="page_id")
 
 
 def page_titles(spark, sf_dir):
