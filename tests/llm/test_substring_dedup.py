@@ -31,11 +31,12 @@ def brute(rows, min_run=sd.MIN_RUN_WORDS):
 
 
 def test_units_keep_offsets_and_content():
-    text = "  One two three four five six seven eight. Short. Next one goes on here for some more words now!\nLast line"
+    text = "  One two three four five six seven eight. Short. Next one goes on here for some more words now!\nAb c. De f g.\nHi j k. End l\nm"
     got = sd.units(text)
     assert [text[a:b] for a, b, _, _ in got] == [
-        "One two three four five six seven eight.", "Short. Next one goes on here for some more words now!", "Last line"]
-    assert sd.units("") == [] and sd.units(" \n ") == []
+        "One two three four five six seven eight.", "Next one goes on here for some more words now!", "Ab c. De f g.\nHi j k. End l\nm"]
+    assert [n for _, _, n, _ in got] == [8, 10, 11]
+    assert sd.units("") == sd.units(" \n ") == sd.units("Too few words.") == []
 
 
 def test_spans_against_brute_force(spark):
@@ -74,7 +75,7 @@ def test_passage_inside_a_line_and_stock_phrases(spark):
     got = sd.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.kept_doc_id) for r in got] == [(4, 1)]
     kept = dict(rows)[4][got[0].span_start : got[0].span_end]
-    assert p.endswith(kept) and len(kept) > len(p) - 120
+    assert kept in p and len(kept) > len(p) - 60
 
 
 def test_cut():

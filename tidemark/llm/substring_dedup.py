@@ -1,8 +1,8 @@
 """Exact repeats of passages: normalised units, one global table of digests, the earliest occurrence stays.
 
-Units are lines, cut further at sentence ends; a sentence of fewer than ``min_unit_words`` words is read together with what
-follows, so the cuts depend on nearby text only and a passage gives the same units wherever it is pasted. Unit rows carry a
-digest and the original code-point offsets, never text. A repeat is removed when the unbroken run of repeats it belongs to has
+Units are lines, cut further at sentence ends; sentences of fewer than ``min_unit_words`` words that follow each other are one
+unit, and too small a unit is passed over. The cuts depend on nearby text only, so a passage gives the same units wherever it is
+pasted. Unit rows carry a digest and the original code-point offsets, never text. A repeat is removed when the unbroken run of repeats it belongs to has
 at least ``min_run_words`` words, which leaves stock phrases and headings of clean documents alone.
 """
 
@@ -26,21 +26,25 @@ _END = re.compile(r"[.!?](?=\s)|\n")
 
 def units(text: str, min_words: int = MIN_UNIT_WORDS) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of a text; offsets are code points of the original text, white space excluded."""
-    out, start, sentence = [], 0, 0
+    out, at, short = [], 0, 0  # ``short``: start of the short sentences not yet read
     ends = [m.end() for m in _END.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    for end in ends:
-        if end < len(text) and len(text[sentence:end].split()) < min_words:
-            sentence = end
-            continue
+
+    def add(start: int, end: int) -> None:
         raw = text[start:end]
         words = raw.lower().split()
-        if words:
-            first = start + len(raw) - len(raw.lstrip())
+        if len(words) >= min_words:
             digest = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
-            out.append((first, start + len(raw.rstrip()), len(words), digest))
-        start = sentence = end
+            out.append((start + len(raw) - len(raw.lstrip()), start + len(raw.rstrip()), len(words), digest))
+
+    for end in ends:
+        if len(text[at:end].split()) >= min_words:
+            add(short, at)
+            add(at, end)
+            short = end
+        at = end
+    add(short, at)
     return out
 
 
