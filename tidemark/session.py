@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,18 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf) -> S
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it.
+
+    On a cluster it is installed on the nodes or sent with ``--py-files``; the extra path then does no harm.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Every stored instant is naive UTC, so the session zone must not shift casts."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

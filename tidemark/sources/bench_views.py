@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.availability import available_at
 from tidemark.functions.timestamps import plus_days
 from tidemark.params import MODEL_PARAMS, NEWS_PARAMS
-from tidemark.session import local_frame, use_utc
+from tidemark.session import local_frame, ship_package, use_utc
 
 # Column rules valid in both SQL dialects.
 ENTITY = "CASE WHEN event_type = 'error' THEN 'MACRO' ELSE event_type END"
@@ -75,6 +75,7 @@ SENSITIVITY = [
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_utc(spark)
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
