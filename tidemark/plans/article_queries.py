@@ -503,6 +503,10 @@ FROM articles a LEFT JOIN sc USING (news_id)""",
 rs AS (SELECT *, (sum(deg) OVER (PARTITION BY t) + count(*) OVER (PARTITION BY t)) / count(*) OVER (PARTITION BY t) AS sc FROM rl),
 rf AS (SELECT k, run, win, string_agg(t, ' ' ORDER BY i) AS phrase, sum(sc) AS score FROM rs GROUP BY 1, 2, 3)
 SELECT phrase, count(*) AS copies, round(max(score), 6) AS score FROM rf GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 100""",
+    "article_keywords": f"""WITH {v.SQL_ARTICLES}, {_HITS}, docs AS (SELECT news_id AS k, title || '. ' || coalesce(summary, '') AS text FROM articles), {_rake_sql('docs')} {_RAKE_DOC},
+known AS (SELECT news_id AS k, flatten(list(string_split(keywords, ',') ORDER BY pos)) AS ws FROM hits GROUP BY 1), best AS (SELECT k, list(phrase ORDER BY rank) AS ps FROM rtop WHERE rank <= 10 GROUP BY 1),
+terms AS (SELECT d.k, list_transform(list_concat(coalesce(ws, []), coalesce(ps, [])), lambda x: [x]) AS ts FROM docs d LEFT JOIN known USING (k) LEFT JOIN best USING (k))
+SELECT k AS news_id, CASE WHEN len(ts) = 0 THEN '' ELSE array_to_string(list_reduce(ts, lambda acc, x: CASE WHEN len(list_filter(acc, lambda s: contains(s, x[1]))) > 0 THEN acc ELSE list_concat(acc, x) END)[:10], '|') END AS keywords FROM terms""",
     "source_reliability": """
 SELECT source, CAST(CASE WHEN contains(source, 'src12') THEN 0.95 WHEN contains(source, 'src19') THEN 0.5 WHEN contains(source, 'src1') THEN 0.8 WHEN contains(source, 'c3') THEN 0.7 ELSE 0.6 END AS DOUBLE) AS reliability,
        count(*) AS n FROM documents GROUP BY 1, 2""",

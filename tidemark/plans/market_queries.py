@@ -283,8 +283,10 @@ def daily_history(spark, sf_dir):
 
 
 def nested_snapshot(spark, sf_dir):
-    """One JSON document per run and horizon."""
-    return snapshots.nested_snapshot(snapshots.latest_snapshot(_snapshots(spark, sf_dir)))
+    """The JSON document of a run's horizon, read back as rows."""
+    docs = snapshots.nested_snapshot(snapshots.latest_snapshot(_snapshots(spark, sf_dir)))
+    company = F.from_json("company_scores", "array<struct<ticker: string, score: double, news_count: bigint>>")
+    return docs.select("run_id", "horizon_type", "target_date", "macro_score", F.explode(company).alias("c")).select("run_id", "horizon_type", "target_date", "macro_score", "c.*")
 
 
 def score_snapshot(spark, sf_dir):
@@ -447,6 +449,8 @@ SELECT ticker, count(*) AS n, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e
     "prediction_lookup": f"""{_STORED} SELECT 'p-' || CAST(session AS VARCHAR) AS run_id, ticker, horizon_type, target_date, predicted_movement, predicted_direction FROM stored
 WHERE NOT is_backtest AND session = (SELECT max(session) FROM stored WHERE NOT is_backtest)""",
     "latest_snapshot": f"WITH {_SNAP} SELECT run_id, entity, score, news_count FROM snap WHERE run_id = (SELECT arg_max(run_id, as_of) FROM snap WHERE day(session) % 5 <> 0)",
+    "nested_snapshot": f"""WITH {_SNAP}, l AS (SELECT * FROM snap WHERE run_id = (SELECT arg_max(run_id, as_of) FROM snap WHERE day(session) % 5 <> 0))
+SELECT run_id, 'today' AS horizon_type, session AS target_date, (SELECT score FROM l WHERE entity = 'MACRO') AS macro_score, entity AS ticker, score, news_count FROM l WHERE entity <> 'MACRO'""",
     "daily_history": f"WITH {_SNAP} SELECT CAST(as_of AS DATE) AS date, arg_max(score, as_of) AS score FROM snap WHERE day(session) % 5 <> 0 AND entity = 'MACRO' GROUP BY 1",
     "score_snapshot": f"""WITH {v.SQL_ITEMS}, {v.SQL_STREAM_BARS}, {nq.SQL_UNI}, {nq.sql_visible()}, {nq.SQL_INDEX}
 SELECT 's1-' || CAST(session AS VARCHAR) AS run_id, entity, score, n AS news_count, NULL::DOUBLE AS weight_coverage FROM sc UNION ALL

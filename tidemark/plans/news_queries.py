@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidemark.functions.timestamps import session_close
 from tidemark.operators import flow as flow_ops
 from tidemark.operators import market, replay
 from tidemark.operators import scores as score_ops
-from tidemark.operators.calendar import Calendar, CutoffGrid
+from tidemark.operators.calendar import Calendar, CutoffGrid, horizons
 from tidemark.operators.stories import enumerate_positions, score_range, story_states, with_visibility
 from tidemark.operators.universe import members_asof
 from tidemark.session import local_frame
@@ -17,6 +19,8 @@ from tidemark.sources import bench_views as v
 
 P = v.STREAM_NEWS_PARAMS
 M = v.STREAM_MODEL_PARAMS
+#: Weekday calendar on which month and quarter ends of the stream are looked up.
+HORIZON_DAYS = (dt.date(2023, 12, 1), dt.date(2026, 12, 31))
 ENTITIES = ("click", "view", "signup", "purchase", "MACRO")
 
 
@@ -61,6 +65,19 @@ def decayed_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir)[1].select("session", "entity", "score", "raw_mean", "evidence_weight", "news_count", "article_count")
 
 
+def decayed_sentiment_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same news scored for the session, the next three month-ends and the next six quarter-ends of a weekday calendar."""
+    grid = stream_calendar(spark, sf_dir).grid()
+    weekdays = Calendar.weekdays(spark, HORIZON_DAYS[0], HORIZON_DAYS[1])
+    ahead = horizons(grid.frame().select(F.col("session").alias("day")), weekdays)
+    targets = score_ops.targets_of(ahead.select(F.col("day").alias("session"), "horizon_type", "target_date"), grid, session_close(F.col("target_date")))
+    states = score_ops.weighted_states(v.items(spark, sf_dir), grid, P, "provider_timestamp")
+    entities = local_frame(spark, [(e,) for e in ENTITIES], "entity string")
+    expected = targets.select("pos", "session", "horizon_type", "target_date").crossJoin(F.broadcast(entities))
+    out = score_ops.entity_scores(score_ops.category_sums(states, targets, grid, P), expected, P)
+    return out.select("session", "horizon_type", "target_date", "entity", "score", "raw_mean", "evidence_weight", "news_count")
+
+
 def decayed_sentiment_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same under the strictest availability policy (A5): only items held before the cut-off."""
     return _scores(spark, sf_dir, "verified")[1].select("session", "entity", "score", "news_count", "article_count")
@@ -217,7 +234,7 @@ def no_lookahead_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    decayed_sentiment, decayed_sentiment_verified, decayed_sentiment_exact, cluster_collapse, sentiment_by_category, top_contributors,
+    decayed_sentiment, decayed_sentiment_horizons, decayed_sentiment_verified, decayed_sentiment_exact, cluster_collapse, sentiment_by_category, top_contributors,
     index_scores, news_flow, pooled_baseline, index_relative, market_features, factor_predictions, factor_predictions_raw, feature_vector,
     replay_records, quality_flags, no_lookahead_violations)}
 
@@ -430,6 +447,22 @@ WITH {v.SQL_ITEMS}, {v.SQL_STREAM_BARS}, {sql_visible()}, {SQL_ENT}
 SELECT c.session, e.entity, {SQL_SCORE} AS score, CASE WHEN ew > 0 THEN round(ws / ew, 2) END AS raw_mean,
        CASE WHEN ew > 0 THEN round(ew, 5) ELSE 0.0 END AS evidence_weight, coalesce(n, 0) AS news_count, CAST(coalesce(a, 0) AS BIGINT) AS article_count
 FROM cutoffs c CROSS JOIN ent e LEFT JOIN agg ON agg.session = c.session AND agg.entity = e.entity""",
+    "decayed_sentiment_horizons": f"""
+WITH {v.SQL_ITEMS}, {v.SQL_STREAM_BARS}, {sql_visible()}, {SQL_ENT},
+wk AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '{HORIZON_DAYS[0]}', DATE '{HORIZON_DAYS[1]}', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6),
+hb AS (SELECT c.session, c.as_of, (SELECT min(d) FROM wk WHERE d >= c.session) AS base FROM cutoffs c),
+hs AS (SELECT hb.*, k, last_day(CAST(date_trunc('month', session) AS DATE) + to_months(CAST(k AS INTEGER))) AS nominal FROM hb CROSS JOIN range(0, 21) r(k)),
+ht AS (SELECT hs.*, (SELECT max(d) FROM wk WHERE d <= nominal) AS target FROM hs),
+hz AS (SELECT session, as_of, 'today' AS horizon_type, base AS target_date FROM hb UNION ALL
+  SELECT session, as_of, 'month_end', target FROM (SELECT * FROM ht WHERE target > base AND k < 5 QUALIFY row_number() OVER (PARTITION BY session ORDER BY k) <= 3) UNION ALL
+  SELECT session, as_of, 'quarter_end', target FROM (SELECT * FROM ht WHERE target > base AND month(nominal) % 3 = 0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY k) <= 6)),
+hw AS (SELECT h.session, h.horizon_type, h.target_date, s.entity, s.sentiment, s.reliability * s.relevance * s.strength
+  * pow(0.5, (epoch_us(greatest(h.as_of, CAST(h.target_date AS TIMESTAMP) + INTERVAL 600 MINUTE)) - epoch_us(s.available_at)) / 86400000000.0 / s.half_life_days)
+  * (1 + 0.15 * ln(s.cluster_size)) * CASE WHEN s.price_report THEN 0.0 ELSE 1.0 END AS w FROM stories s JOIN hz h ON h.session = s.session),
+ha AS (SELECT session, horizon_type, target_date, entity, sum(w) AS ew, sum(w * sentiment) AS ws, count(*) AS n FROM hw GROUP BY 1, 2, 3, 4)
+SELECT h.session, h.horizon_type, h.target_date, e.entity, {SQL_SCORE} AS score, CASE WHEN ew > 0 THEN round(ws / ew, 2) END AS raw_mean,
+  CASE WHEN ew > 0 THEN round(ew, 5) ELSE 0.0 END AS evidence_weight, coalesce(n, 0) AS news_count
+FROM hz h CROSS JOIN ent e LEFT JOIN ha a ON a.session = h.session AND a.horizon_type = h.horizon_type AND a.target_date = h.target_date AND a.entity = e.entity""",
     "decayed_sentiment_verified": sql_policy("i.fetched_at <= c.as_of"),
     "decayed_sentiment_exact": sql_policy(
         "i.fetched_at <= c.as_of OR (i.timestamp_precision <> 'date_only' AND i.timezone_status <> 'unknown' AND i.provider_available_at <= c.as_of)"),

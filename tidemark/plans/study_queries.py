@@ -169,7 +169,7 @@ def walk_forward(spark, sf_dir):
 
 
 def logistic_fit(spark, sf_dir):
-    """L3: Newton steps on distributed gradients (checked against brute force in the tests)."""
+    """L3: Newton steps on distributed gradients."""
     rows = order_records(spark, sf_dir).withColumn("up", (F.col("actual") > 0).cast("int"))
     m = models.fit_logistic(rows, MARKET_PAIR, 0.01, "up")
     return models.model_table(spark, {"logistic": m}).select("term", F.round("coef", 6).alias("coef"))
@@ -289,7 +289,28 @@ SUMS2 = "count(*)::DOUBLE AS n, sum(actual) AS y, sum(x1) AS x1, sum(x2) AS x2,
 _CUM = ", ".join(f"sum({c}) OVER (ORDER BY month) AS {c}" for c in "n y x1 x2 x11 x22 x12 x1y x2y".split())
 _UNPIVOT = " UNION ALL ".join(f"SELECT session, ticker, actual AS y, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM records" for f in FEATURES)
 
+
+
+def sql_logistic(source: str, alpha: float, rounds: int = 9) -> str:
+    """Newton steps of the penalised logistic model with two features, unrolled: each solves a 3 x 3 system by Cramer's rule."""
+    parts = [f"""
+lm AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, count(*) * {alpha}::DOUBLE AS l FROM {source}),
+lz AS (SELECT coalesce((x1 - m1) / s1, 0) AS z1, coalesce((x2 - m2) / s2, 0) AS z2, (actual > 0)::INT AS y, l FROM {source}, lm), w0 AS (SELECT 0.0::DOUBLE AS a0, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2)"""]
+    for i in range(rounds):
+        parts.append(f"""
+g{i} AS (SELECT any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2, sum(p - y) AS b0, sum((p - y) * z1) + any_value(l * a1) AS b1, sum((p - y) * z2) + any_value(l * a2) AS b2,
+  sum(q) AS h00, sum(q * z1) AS h01, sum(q * z2) AS h02, sum(q * z1 * z1) + any_value(l) AS h11, sum(q * z1 * z2) AS h12, sum(q * z2 * z2) + any_value(l) AS h22
+  FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(-(a0 + a1 * z1 + a2 * z2))) AS p FROM lz, w{i}))),
+d{i} AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM g{i}),
+w{i + 1} AS (SELECT a0 - (b0 * (h11 * h22 - h12 * h12) - h01 * (b1 * h22 - h12 * b2) + h02 * (b1 * h12 - h11 * b2)) / det AS a0,
+  a1 - (h00 * (b1 * h22 - h12 * b2) - b0 * (h01 * h22 - h12 * h02) + h02 * (h01 * b2 - b1 * h02)) / det AS a1,
+  a2 - (h00 * (h11 * b2 - b1 * h12) - h01 * (h01 * b2 - b1 * h02) + b0 * (h01 * h12 - h11 * h02)) / det AS a2 FROM d{i})""")
+    names = ["intercept", *MARKET_PAIR]
+    return ",".join(parts) + " " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(a{k}, 6) AS coef FROM w{rounds}" for k, t in enumerate(names))
+
+
 ORACLES = {
+    "logistic_fit": f"WITH {SQL_ORDER_RECORDS}, {sql_logistic('orows', 0.01).lstrip()}",
     "core_metrics": f"{SQL_EVAL} SELECT {SQL_METRICS} FROM ev",
     "metrics_grouping_sets": f"""{SQL_EVAL} SELECT CASE WHEN grouping(horizon_type) = 1 THEN 'ALL' ELSE horizon_type END AS horizon_type,
        CASE WHEN grouping(ticker) = 1 THEN 'ALL' ELSE ticker END AS ticker, CASE WHEN grouping(month) = 1 THEN 'ALL' ELSE month END AS month, {SQL_METRICS}
