@@ -18,11 +18,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id.
+    """One document of each group stays: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id count as one document and one of them stays; rows without a doc_id can't be named and stay.
+    Documents are linked if their SimHashes over three-word shingles differ in two bits or fewer, or if their sets of five-word shingles
+    resemble each other by 0.8 or more. Rows that repeat a doc_id count as one document and one of them stays; rows without a doc_id can't be named and stay.
     """
-    groups = cut_lineage(simhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), "component_id"))
+    groups = cut_lineage(simhash.duplicate_groups(docs).select(F.col("doc_id").alias("__id"), "component_id"))
     gone = groups.where("__id <> component_id").select("__id").distinct()
     again = groups.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
     # lists of ids, broadcast up to a checked size and else joined by shuffle

@@ -122,3 +122,91 @@ def test_hash_equals_the_built_in_one(spark):
     words = ["", "a", "été", "x" * 100]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").cast(T.LongType())).collect()
     assert [r[0] for r in got] == [simhash._signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words]
+
+
+def jaccard(a, b):
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def near_copies(rnd):
+    rows, d = [], 0
+    for _ in range(60):
+        base = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(rnd.randint(60, 200))]
+        for k in range(rnd.choice([1, 2, 4])):
+            words = list(base)
+            for _ in range(k and rnd.choice([0, 1, 1, 2, 3])):
+                words[rnd.randrange(len(words))] = "edit" + str(rnd.randrange(10**6))
+            rows.append((d := d + 7, " ".join(words)))
+    return rows
+
+
+def test_similar_pairs_are_right_and_mostly_found(spark):
+    rnd = random.Random(9)
+    rows = near_copies(rnd)
+    df = spark.createDataFrame([(d, t, "f", 1, "x") for d, t in [*rows, (None, rows[0][1]), (9999, None), (9998, ""), (9998, "")]], DOCS).repartition(3)
+    got = {(r.u, r.v) for r in simhash.similar_pairs(df).collect()}
+    first = {}
+    for d, t in rows:
+        first.setdefault(t, d)
+    texts = {d: t for t, d in first.items()}
+    near = {(max(a, b), min(a, b)): j for a in texts for b in texts if a < b and (j := jaccard(texts[a], texts[b])) >= 0.8}
+    assert got <= set(near) and len(near) > 40
+    group = {d: d for d in texts}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for u, v in got:
+        group[find(u)] = find(v)
+    joined = [find(u) == find(v) for (u, v), j in near.items() if j >= 0.9]
+    assert sum(joined) >= 0.9 * len(joined) > 20
+
+
+def test_groups_join_both_kinds_of_links(spark):
+    rows = near_copies(random.Random(4))
+    df = spark.createDataFrame([(d, t, "f", 1, "x") for d, t in [*rows, (3, rows[0][1].upper()), (None, rows[1][1]), (None, "nobody else has this")]], DOCS)
+    groups = simhash.duplicate_groups(df).collect()
+    assert len(groups) == len(rows) + 3
+    of = {r.doc_id: r.component_id for r in groups if r.doc_id is not None}
+    assert of[7] == of[3] == 3
+    for r in simhash.near_duplicates(df).where("doc_id is not null").collect():
+        assert of[r.doc_id] == of[r.component_id]
+    for r in simhash.similar_pairs(df).collect():
+        assert of[r.u] == of[r.v]
+    text = dict(rows) | {3: rows[0][1]}
+    members = {}
+    for d, c in of.items():
+        members.setdefault(c, []).append(d)
+    for c, ds in members.items():
+        assert c == min(ds)
+        assert all(d == c or max(jaccard(text[d], text[e]) for e in ds if e != d) > 0.7 for d in ds)
+
+
+def test_neighbours_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    key, rep = np.sort(rng.integers(0, 40, 300)), np.arange(300)
+    a, b = np.zeros(300, np.int64), np.where(rep % 5 == 0, -1, 0)  # a fifth differ in 64 bits
+
+    def run(size):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in (key, rep, a, b)], names=["key", "rep", "a", "b"]) for i in range(0, 300, size)]
+        return sorted((u, v) for x in simhash._neighbours(parts) for u, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist()))
+
+    want = []
+    for k in range(40):
+        mine = rep[key == k]
+        for i in range(1, len(mine)):
+            want += [(x, y) for x, y in ((mine[i], mine[0]), (mine[i], mine[i - 1])) if b[x] == b[y]]
+    assert run(300) == run(7) == run(1) == sorted(want)
+
+
+def test_similar_pairs_of_an_empty_table(spark):
+    assert simhash.similar_pairs(spark.createDataFrame([], DOCS)).collect() == [] == simhash.duplicate_groups(spark.createDataFrame([], DOCS)).collect()
