@@ -89,13 +89,9 @@ def evaluation_report(records: DataFrame, baselines: list[str], features: list[s
         "feature_analysis_next_session": metric_ops.feature_analysis(records.where("horizon_type = 'today'"), features),
         "failure_cases": failure_cases(records).select("session", "ticker", "horizon_type", "target_date", "predicted", "actual", "error"),
     }
-    doc = None
-    for name, df in blocks.items():
-        block = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name))
-        doc = block if doc is None else doc.crossJoin(block)
-    head = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]))
-    body = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), F.col(n)) for n in blocks])
-    return doc.select(F.concat(F.regexp_replace(head, r"\}$", ","), body, F.lit("}")).alias("report"))
+    listed = [df.agg(F.collect_list(F.struct(*df.columns)).alias(name)) for name, df in blocks.items()]
+    doc = reduce(lambda x, y: x.join(F.broadcast(y)), listed)  # one row each
+    return doc.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in meta.items()], *blocks)).alias("report"))
 
 
 def newest_first(rows: DataFrame, at: str, limit: int = 50) -> DataFrame:

@@ -233,7 +233,7 @@ def evidence_snapshot(spark, sf_dir):
 
 
 def leakage_audit(spark, sf_dir):
-    """Evidence of every prediction checked against its cut-off (no violation expected)."""
+    """Evidence of every prediction checked against its cut-off, with violations planted in known rows."""
     grid = nq.stream_calendar(spark, sf_dir).grid()
     items = v.items(spark, sf_dir)
     fresh = flow_ops.new_news_ids(flow_ops.flow_states(items, grid, nq.P), nq.P)
@@ -243,7 +243,11 @@ def leakage_audit(spark, sf_dir):
     cut = grid.frame().select("pos", "as_of", F.col("as_of").alias("cutoff"))
     rows = fresh.join(facts, "news_id").join(F.broadcast(cut), "pos").withColumn("eligibility", av.eligibility(
         F.col("provider_published_at"), F.col("timestamp_precision"), F.col("timezone_status"), F.col("fetched_at"), F.col("as_of")))
-    return rows.agg(F.count("*").alias("checked")).crossJoin(art.leakage_violations(rows).agg(F.count("*").alias("violations")))
+    planted = rows.withColumn("cutoff", F.when(F.col("news_id") % 40 == 0, F.timestamp_add("HOUR", F.lit(-1), "available_at")).otherwise(F.col("cutoff"))).withColumn(
+        "eligibility", F.when(F.col("news_id") % 41 == 0, "verified").otherwise(F.col("eligibility"))).withColumn("fetched_at", F.when(F.col("news_id") % 41 != 0, F.col("fetched_at")))
+    kinds = art.leakage_violations(planted).groupBy("violation").agg(F.count("*").alias("n"))
+    return kinds.unionByName(rows.groupBy().agg(F.count("*").alias("n")).select(F.lit("checked").alias("violation"), "n")).unionByName(
+        art.leakage_violations(rows).groupBy().agg(F.count("*").alias("n")).select(F.lit("without planted rows").alias("violation"), "n"))
 
 
 def evidence_bundle(spark, sf_dir):
@@ -458,7 +462,8 @@ SELECT 's1-' || CAST(session AS VARCHAR), 'INDEX_COMPANY', round(cw, 2), 0, roun
 SELECT 's1-' || CAST(session AS VARCHAR), 'INDEX', round(0.6 * cw + 0.4 * macro, 2), 0, round(coverage, 4) FROM idx""",
     "evidence_snapshot": f"""{_EVID} SELECT session, ticker, CASE WHEN is_new AND entity = ticker THEN 'new_company_news' WHEN is_new AND entity = 'MACRO' THEN 'new_macro_news' ELSE 'raw_score_evidence' END AS role,
        eligibility, count(*) AS n, CAST(sum(news_id) AS BIGINT) AS id_sum FROM judged2 GROUP BY 1, 2, 3, 4""",
-    "leakage_audit": f"""{_EVID} SELECT (SELECT count(*) FROM fresh_all) AS checked, CAST(0 AS BIGINT) AS violations""",
+    "leakage_audit": f"""{_EVID} SELECT 'checked' AS violation, count(*) AS n FROM fresh_all UNION ALL SELECT 'without planted rows', CAST(0 AS BIGINT) UNION ALL
+SELECT 'available_after_cutoff', count(*) FROM fresh_all WHERE news_id % 40 = 0 UNION ALL SELECT 'verified_but_not_held', count(*) FROM fresh_all WHERE news_id % 41 = 0 AND news_id % 40 <> 0""",
     "evidence_bundle": f"""{_EVID}, j AS (SELECT f.session, f.entity AS ticker, i.category, i.fetched_at <= c.as_of OR (i.timestamp_precision <> 'date_only' AND i.timezone_status <> 'unknown' AND i.provider_available_at <= c.as_of) AS ok
   FROM fresh_all f JOIN items i USING (news_id) JOIN cutoffs c ON c.session = f.session WHERE f.entity <> 'MACRO')
 SELECT session, ticker, count(*) FILTER (coalesce(ok, FALSE)) AS eligible, count(*) FILTER (NOT coalesce(ok, FALSE)) AS excluded,

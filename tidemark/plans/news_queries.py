@@ -188,6 +188,30 @@ def factor_predictions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast(replay.predictions(x, x.calendar.grid()))
 
 
+#: A fitted model as it would be stored: coefficients of standardised inputs.
+LINEAR_MODEL = {"kind": "linear", "features": ["relative_sentiment", "news_count", "previous_return", "beta"], "coef": [0.21, -0.13, 0.34, 0.07],
+                "mean": [1.5, 2.0, 0.05, 0.4], "std": [12.0, 0.7, 1.1, 0.9], "intercept": 0.043}
+
+
+def linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3, M5: forecasts of a stored linear model with the contribution of every input."""
+    x = stream_inputs(spark, sf_dir)
+    out = replay.predictions(x, x.calendar.grid(), model=LINEAR_MODEL).where("status = 'OK'")
+    parts = [F.col("contributions")[f].alias(f"c_{f}") for f in (*LINEAR_MODEL["features"], "intercept")]
+    return out.select("session", "ticker", "predicted", "predicted_direction", *parts)
+
+
+def linear_predictions_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: further ahead only the shock without the intercept counts, clipped by the horizon's own band."""
+    x = stream_inputs(spark, sf_dir)
+    rows = replay.predictions(x, x.calendar.grid(), model=LINEAR_MODEL).where("status = 'OK'")
+    from tidemark.operators.predict import linear_predict
+
+    inputs = rows.select("session", "ticker", "daily_vol", "previous_close", *LINEAR_MODEL["features"]).withColumn("trading_days_ahead", F.explode(F.array(F.lit(1), F.lit(5), F.lit(21))))
+    out = linear_predict(inputs, LINEAR_MODEL, M)
+    return out.select("session", "ticker", "trading_days_ahead", "predicted", "predicted_direction", F.col("contributions")["intercept"].alias("c_intercept"))
+
+
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 model inputs."""
     from tidemark.operators.predict import FEATURES
@@ -219,7 +243,7 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_lookahead_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts change nowhere when every item and close from 20 January on is altered (empty result)."""
+    """Forecasts change nowhere when every item and close from 20 January on is altered; altering what came before does change them."""
     x = stream_inputs(spark, sf_dir)
     split = F.lit("2024-01-20").cast("date")
     cut = F.lit("2024-01-19 03:45:00").cast("timestamp_ntz")
@@ -229,12 +253,16 @@ def no_lookahead_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     y.bars = y.bars.withColumn("close", F.when(F.col("date") >= split, F.col("close") * 3).otherwise(F.col("close")))
     y.index_bars = y.index_bars.withColumn("close", F.when(F.col("date") >= split, F.col("close") * 3).otherwise(F.col("close")))
     pick = lambda z: _forecast(replay.predictions(z, grid)).select("session", "ticker", "predicted", "sigma_pct", "signal")
-    a, b = pick(x), pick(y)
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).groupBy().agg(F.count("*").alias("changed_predictions"))
+    z = stream_inputs(spark, sf_dir)
+    z.items = z.items.withColumn("sentiment", F.when(F.col("available_at") <= cut, -F.col("sentiment")).otherwise(F.col("sentiment")))
+    a, b, c = pick(x), pick(y), pick(z)
+    changes = lambda other: a.exceptAll(other).unionByName(other.exceptAll(a)).groupBy().agg(F.count("*").alias("n"))
+    return changes(b).select(F.lit("after the cut-off").alias("altered"), (F.col("n") > 0).alias("forecasts_change")).unionByName(
+        changes(c).select(F.lit("before the cut-off").alias("altered"), (F.col("n") > 0).alias("forecasts_change")))
 
 
 QUERIES = {f.__name__: f for f in (
-    decayed_sentiment, decayed_sentiment_horizons, decayed_sentiment_verified, decayed_sentiment_exact, cluster_collapse, sentiment_by_category, top_contributors,
+    linear_predictions, linear_predictions_ahead, decayed_sentiment, decayed_sentiment_horizons, decayed_sentiment_verified, decayed_sentiment_exact, cluster_collapse, sentiment_by_category, top_contributors,
     index_scores, news_flow, pooled_baseline, index_relative, market_features, factor_predictions, factor_predictions_raw, feature_vector,
     replay_records, quality_flags, no_lookahead_violations)}
 
@@ -440,6 +468,9 @@ records AS (
 _FEATURES = ("raw_sentiment relative_sentiment sentiment_zscore news_count news_relevance news_recency macro_sentiment macro_relative index_sentiment "
              "index_relative historical_volatility beta previous_return rolling_return_5d rolling_return_20d").split()
 _SQL_FEATURE_SOURCE = SQL_RECORDS.replace("JOIN bars b ON b.ticker = f.ticker AND b.date = f.session LEFT JOIN", "LEFT JOIN bars b ON b.ticker = f.ticker AND b.date = f.session LEFT JOIN")
+_LINEAR = ", ".join(
+    f"{c}::DOUBLE * coalesce(({f} - {m}::DOUBLE) / {d}::DOUBLE, 0) AS t_{f}" for f, c, m, d in zip(*(LINEAR_MODEL[k] for k in ("features", "coef", "mean", "std")))
+) + f", {LINEAR_MODEL['intercept']}::DOUBLE + " + " + ".join(f"t_{f}" for f in LINEAR_MODEL["features"]) + " AS total"
 
 ORACLES = {
     "decayed_sentiment": f"""
@@ -506,5 +537,15 @@ judged AS (SELECT session, entity, count(*) AS n, count(*) FILTER (fetched_at <=
 SELECT u.session, u.entity AS ticker, CASE WHEN coalesce(j.n, 0) + coalesce(m.n, 0) = 0 THEN 'NO_NEW_NEWS'
        WHEN coalesce(j.n, 0) + coalesce(m.n, 0) = coalesce(j.ok, 0) + coalesce(m.ok, 0) THEN 'VERIFIED' ELSE 'UNCERTAIN' END AS data_quality_flag
 FROM uni u LEFT JOIN judged j ON j.session = u.session AND j.entity = u.entity LEFT JOIN judged m ON m.session = u.session AND m.entity = 'MACRO'""",
-    "no_lookahead_violations": "SELECT CAST(0 AS BIGINT) AS changed_predictions",
+    "no_lookahead_violations": "SELECT 'after the cut-off' AS altered, FALSE AS forecasts_change UNION ALL SELECT 'before the cut-off', TRUE",
+    "linear_predictions": f"""{_SQL_FEATURE_SOURCE}, l AS (SELECT *, {_LINEAR} FROM records)
+SELECT session, ticker, round_even(greatest(-3 * historical_volatility, least(3 * historical_volatility, total)), 4) AS predicted,
+  CASE WHEN greatest(-3 * historical_volatility, least(3 * historical_volatility, total)) > 0.1 * historical_volatility THEN 'UP'
+       WHEN greatest(-3 * historical_volatility, least(3 * historical_volatility, total)) < -0.1 * historical_volatility THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted_direction,
+  {", ".join(f"round_even(t_{f}, 5) AS c_{f}" for f in LINEAR_MODEL["features"])}, {LINEAR_MODEL["intercept"]}::DOUBLE AS c_intercept FROM l""",
+    "linear_predictions_ahead": f"""{_SQL_FEATURE_SOURCE}, l AS (SELECT *, {_LINEAR} FROM records),
+h AS (SELECT *, unnest([1, 5, 21]) AS days FROM l), b AS (SELECT *, historical_volatility * sqrt(days) AS band, CASE WHEN days = 1 THEN total ELSE total - {LINEAR_MODEL["intercept"]} END AS move FROM h),
+c AS (SELECT *, greatest(-3 * band, least(3 * band, move)) AS clipped FROM b)
+SELECT session, ticker, CAST(days AS INTEGER) AS trading_days_ahead, round_even(clipped, 4) AS predicted, CASE WHEN clipped > 0.1 * band THEN 'UP' WHEN clipped < -0.1 * band THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted_direction,
+  CASE WHEN days = 1 THEN {LINEAR_MODEL["intercept"]}::DOUBLE ELSE 0.0 END AS c_intercept FROM c""",
 }

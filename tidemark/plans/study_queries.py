@@ -72,7 +72,7 @@ def confusion_matrix(spark, sf_dir):
 
 def baseline_comparison(spark, sf_dir):
     """Q6."""
-    return metrics.baseline_comparison(records(spark, sf_dir), [b for b in replay.BASELINES if b != "rolling_mean_20d"])
+    return metrics.baseline_comparison(records(spark, sf_dir), replay.BASELINES)
 
 
 def feature_analysis(spark, sf_dir):
@@ -121,12 +121,17 @@ def failure_cases(spark, sf_dir):
 
 def report_observations(spark, sf_dir):
     """R4."""
-    return report.observations(records(spark, sf_dir), ["no_change", "historical_mean", "company_mean"]).select("horizon_type", "rule", F.round("value", 4).alias("value"))
+    return report.observations(records(spark, sf_dir), replay.BASELINES).select("horizon_type", "rule", F.round("value", 4).alias("value"))
 
 
 def evaluation_report(spark, sf_dir):
-    """The machine-readable document."""
-    return report.evaluation_report(records(spark, sf_dir), [b for b in replay.BASELINES if b != "rolling_mean_20d"], FEATURES, {"report_type": "replay"})
+    """The machine-readable document, read back block by block."""
+    doc = report.evaluation_report(records(spark, sf_dir), replay.BASELINES, FEATURES, {"report_type": "replay"})
+    block = lambda name: F.from_json(F.get_json_object("report", f"$.{name}"), "array<struct<mae: double, n: bigint, rule: string>>")
+    names = ["metrics", "metrics_by_horizon", "company_results", "monthly_results", "confusion_matrix", "baseline_comparison", "observations",
+             "feature_analysis_next_session", "failure_cases"]
+    blocks = doc.select(F.get_json_object("report", "$.report_type").alias("report_type"), F.explode(F.array(*[F.struct(F.lit(n).alias("block"), block(n).alias("rows")) for n in names])).alias("b"))
+    return blocks.select("report_type", "b.block", F.size("b.rows").cast("bigint").alias("n_rows"), F.array_max(F.transform("b.rows", lambda r: r["mae"])).alias("largest_mae"))
 
 
 def gram_matrix(spark, sf_dir):
@@ -322,9 +327,10 @@ FROM ev GROUP BY GROUPING SETS ((), (horizon_type), (ticker, horizon_type), (hor
     "confusion_matrix": f"""{SQL_EVAL} SELECT d.predicted_direction, count(*) FILTER (adir = 'UP') AS UP, count(*) FILTER (adir = 'DOWN') AS DOWN,
        count(*) FILTER (adir = 'NEUTRAL') AS NEUTRAL FROM (SELECT unnest(['UP', 'DOWN', 'NEUTRAL']) AS predicted_direction) d
 LEFT JOIN ev ON ev.predicted_direction = d.predicted_direction GROUP BY 1""",
-    "baseline_comparison": f"""{R}, ok AS (SELECT * FROM records WHERE no_change IS NOT NULL AND historical_mean IS NOT NULL AND company_mean IS NOT NULL),
+    "baseline_comparison": f"""{R}, ok AS (SELECT * FROM records WHERE no_change IS NOT NULL AND historical_mean IS NOT NULL AND company_mean IS NOT NULL AND rolling_mean_20d IS NOT NULL),
 f AS (SELECT 'model' AS forecast, predicted AS value, * FROM ok UNION ALL SELECT 'no_change', no_change, * FROM ok UNION ALL
-      SELECT 'historical_mean', historical_mean, * FROM ok UNION ALL SELECT 'company_mean', company_mean, * FROM ok),
+      SELECT 'historical_mean', historical_mean, * FROM ok UNION ALL SELECT 'company_mean', company_mean, * FROM ok UNION ALL
+      SELECT 'rolling_mean_20d', rolling_mean_20d, * FROM ok),
 st AS (SELECT forecast, {sql_stats('value')} FROM f GROUP BY 1)
 SELECT *, CASE WHEN forecast <> 'model' THEN round(1 - (SELECT mae FROM st WHERE forecast = 'model') / mae, 4) END AS model_mae_skill,
        CASE WHEN forecast <> 'model' THEN (SELECT mae FROM st WHERE forecast = 'model') < mae END AS model_beats FROM st""",
@@ -367,8 +373,9 @@ SELECT ticker, horizon_type, n, mae, rmse, bias, no_change_mae, directional_accu
     "failure_cases": f"{R} SELECT session, ticker, predicted, actual, round(predicted - actual, 4) AS error FROM records ORDER BY abs(round(predicted - actual, 4)) DESC, session, ticker LIMIT 10",
     "report_observations": f"""{SQL_EVAL}, m AS (SELECT horizon_type, {SQL_METRICS} FROM ev GROUP BY 1),
 b AS (SELECT horizon_type, round(avg(abs(predicted - actual)), 4) AS mm, round(avg(abs(no_change - actual)), 4) AS b1, round(avg(abs(historical_mean - actual)), 4) AS b2,
-             round(avg(abs(company_mean - actual)), 4) AS b3 FROM records WHERE historical_mean IS NOT NULL AND company_mean IS NOT NULL GROUP BY 1),
-x AS (SELECT m.*, (mm >= b1)::INT + (mm >= b2)::INT + (mm >= b3)::INT AS lost FROM m JOIN b USING (horizon_type)),
+             round(avg(abs(company_mean - actual)), 4) AS b3, round(avg(abs(rolling_mean_20d - actual)), 4) AS b4
+      FROM records WHERE historical_mean IS NOT NULL AND company_mean IS NOT NULL AND rolling_mean_20d IS NOT NULL GROUP BY 1),
+x AS (SELECT m.*, (mm >= b1)::INT + (mm >= b2)::INT + (mm >= b3)::INT + (mm >= b4)::INT AS lost FROM m JOIN b USING (horizon_type)),
 o AS (
   SELECT horizon_type, 'small_sample' AS rule, n::DOUBLE AS value FROM x WHERE n < 100 UNION ALL
   SELECT horizon_type, 'no_mae_skill', mae_skill FROM x WHERE mae_skill <= 0 UNION ALL SELECT horizon_type, 'mae_skill', mae_skill FROM x WHERE mae_skill > 0 UNION ALL
@@ -437,3 +444,14 @@ def _exact_rounding(sql: str) -> str:
 
 
 ORACLES = {name: _exact_rounding(sql) for name, sql in ORACLES.items()}
+
+_SETS = ORACLES["metrics_grouping_sets"]
+_BLOCKS = {
+    "metrics": (ORACLES["core_metrics"], "TRUE", True), "metrics_by_horizon": (_SETS, "horizon_type <> 'ALL' AND ticker = 'ALL' AND month = 'ALL'", True),
+    "company_results": (ORACLES["company_summary"], "TRUE", True), "monthly_results": (_SETS, "month <> 'ALL'", True), "confusion_matrix": (ORACLES["confusion_matrix"], "TRUE", False),
+    "baseline_comparison": (ORACLES["baseline_comparison"], "TRUE", True), "observations": (ORACLES["report_observations"], "TRUE", False),
+    "feature_analysis_next_session": (ORACLES["feature_analysis"], "TRUE", False), "failure_cases": (ORACLES["failure_cases"], "TRUE", False),
+}
+ORACLES["evaluation_report"] = " UNION ALL ".join(
+    f"SELECT 'replay' AS report_type, '{name}' AS block, count(*) AS n_rows, {'max(mae)' if mae else 'NULL::DOUBLE'} AS largest_mae FROM ({sql}) WHERE {where}"
+    for name, (sql, where, mae) in _BLOCKS.items())
