@@ -189,8 +189,8 @@ def factor_predictions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A fitted model as it would be stored: coefficients of standardised inputs.
-LINEAR_MODEL = {"kind": "linear", "features": ["relative_sentiment", "news_count", "previous_return", "beta"], "coef": [0.21, -0.13, 0.34, 0.07],
-                "mean": [1.5, 2.0, 0.05, 0.4], "std": [12.0, 0.7, 1.1, 0.9], "intercept": 0.043}
+LINEAR_MODEL = {"kind": "linear", "features": ["relative_sentiment", "news_count", "previous_return", "beta"], "coef": [0.2137, -0.1319, 0.3371, 0.0713],
+                "mean": [1.5, 2.0, 0.05, 0.4], "std": [11.71, 0.73, 1.13, 0.97], "intercept": 0.043}
 
 
 def linear_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
