@@ -64,11 +64,61 @@ def test_query_against_brute_force(spark, partitions):
         e = t[: len(t) - half] + n[:half]
         s = [mh.signature(mh.shingles(x)) for x in (t, e, n)]
         want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), mh.text_of(s[0]), mh.text_of(s[1]), mh.likeness(s[0], s[1]), mh.likeness(s[0], s[2])))
+    assert {r.class_id for r in out if r.doc_id is None} == {None} and all(r.class_id <= r.doc_id for r in out if r.doc_id is not None)
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(tuple, out), key=key) == sorted(want, key=key)
+    assert sorted((tuple(r)[:7] for r in out), key=key) == sorted(want, key=key)
 
 
 def test_one_and_no_rows(spark):
     one = mh.fingerprints(spark.createDataFrame([(1, "abcd", "k", 1, "n")], DOCS)).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert mh.fingerprints(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_classes_against_brute_force(spark):
+    rnd = random.Random(7)
+    rows, d = [], 0
+    for _ in range(50):
+        base = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(rnd.randint(40, 150))]
+        for k in range(rnd.choice([1, 2, 5])):
+            words = list(base)
+            for _ in range(k and rnd.choice([0, 1, 2, 4])):
+                words[rnd.randrange(len(words))] = f"edit{rnd.randrange(10**6)}"
+            rows.append((d := d + 3, " ".join(words)))
+    df = spark.createDataFrame([(*r, "k", 1, "n") for r in [*rows, (900, None), (901, ""), (None, rows[0][1])]], DOCS).repartition(3)
+    group = {d: d for d, _ in rows}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, (a, t) in enumerate(rows):
+        for b, u in rows[:i]:
+            if jaccard(t, u) >= 0.8:
+                x, y = find(a), find(b)
+                group[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in mh.near_duplicate_links(df).collect()}
+    want = {d: find(d) for d, _ in rows if find(d) != d} | {901: 900}
+    assert got == want and len(want) > 20
+    out = {r.doc_id: r.class_id for r in mh.fingerprints(df).collect() if r.doc_id is not None}
+    assert out == {d: want.get(d, d) for d, _ in rows} | {900: 900, 901: 900}
+
+
+def test_first_and_previous():
+    import pyarrow as pa
+
+    from tidemark.llm.common import first_and_previous
+
+    rng = np.random.default_rng(2)
+    key, rep = np.sort(rng.integers(-20, 20, 200)), np.arange(200)
+
+    def run(size):
+        parts = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(rep[i : i + size])], names=["key", "rep"]) for i in range(0, 200, size)]
+        return {(u, v) for x in first_and_previous(parts) for u, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+
+    want = set()
+    for k in set(key.tolist()):
+        mine = rep[key == k].tolist()
+        want |= {(a, b) for i, a in enumerate(mine) if i for b in (mine[0], mine[i - 1])}
+    assert run(200) == run(9) == run(1) == want

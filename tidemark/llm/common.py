@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, ship_package
+from tidemark.session import cut_lineage, dimension, ship_package
 
 #: Rows decoded to Python objects at once, so that a batch of long texts is never held twice as a whole.
 SLICE_ROWS = 256
@@ -63,6 +64,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = cut_lineage(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
 
 
+def first_and_previous(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, rep) sorted by both: every rep with the first and the previous one of its key, as (u, v).
+
+    Nothing of a key is held but two rows, however many it has, and it gets no more than two links a row.
+    """
+    held = None  # key, its first rep, its last rep
+    for batch in batches:
+        key, rep = (batch.column(i).to_numpy() for i in range(2))
+        if not len(key):
+            continue
+        key = np.concatenate([[held[0]] * 2 if held else [key[0]] * 2, key])
+        rep = np.concatenate([held[1:] if held else [rep[0]] * 2, rep])
+        at = np.arange(len(key))
+        first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+        u, same = np.r_[rep, rep], np.r_[key[first] == key, np.r_[True, key[1:] == key[:-1]]]
+        v = np.r_[rep[first], np.r_[rep[0], rep[:-1]]]
+        ok = same & (u != v)
+        held = (key[-1], rep[first[-1]], rep[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], names=["u", "v"])
+
+
+def verified_pairs(texts: DataFrame, pairs: DataFrame, elements: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+    """Of ``pairs`` (u, v) of doc_ids, those whose texts' sets of 64-bit ``elements`` have at least that Jaccard similarity.
+
+    Only the sets of documents that are in a pair are built.
+    """
+    def sets(batches):
+        for part in slices(batches):
+            values = [elements(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "s"])
+
+    ids = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    wanted = texts.join(dimension(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    s = cut_lineage(wanted.mapInArrow(sets, "id long, s array<long>"))
+    both = pairs.join(s.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(s.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, as installed on every node."""
     import public_tokenizers

@@ -6,20 +6,23 @@ mod 2^64 >> 32 with odd a, the smallest value over the set; the share of equal c
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, id_and_text, slices
-from tidemark.session import cut_lineage
+from tidemark.llm.common import connected_components, first_and_previous, id_and_text, slices, verified_pairs
+from tidemark.session import cut_lineage, dimension
 
 SHINGLE = 5
 PERMUTATIONS = 128
 SIMILARITY = 0.8
-#: Bands for the pairs: 32 bands of 4 rows find a pair at 0.8 with probability 1 - (1 - 0.8^4)^32 > 0.9999999.
-BANDS = 32
+#: Bands of four components: a pair at 0.8 shares one with probability 1 - (1 - 0.8^4)^20 > 0.9999.
+BANDS, BAND_ROWS = 20, 4
 _CHUNK = 512
 
 
@@ -69,18 +72,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def bands(sig: np.ndarray) -> list[int]:
+    """One 64-bit key per band: the band's number and its four components, mixed."""
+    parts = sig[: BANDS * BAND_ROWS].astype("<u2").view("<u8")
+    keys = (parts + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64).tolist()
+
+
+def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id): the documents that are not their class's smallest doc_id.
+
+    Classes are linked by pairs that share a signature band and whose shingle sets have a Jaccard similarity of at least
+    ``similarity``. Equal texts are one text with its smallest doc_id. Within a band's key a text is held against the first and the previous one,
+    so a crowd of near copies gets links in proportion to its size. Empty texts form a class of their own; null ids are left out.
+    """
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keyed(batches):
+        for part in slices(batches):
+            rows = []
+            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if d is not None:
+                    rows.append((d, hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest(), bands(signature(shingles(t)))))
+            columns = list(zip(*rows)) or [[]] * 3
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "digest", "keys"])
+
+    texts = id_and_text(docs, id_col, text_col)
+    rows = cut_lineage(texts.mapInArrow(keyed, "doc_id long, digest binary, keys array<long>"))
+    reps = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
+    postings = reps.select(F.explode("keys").alias("key"), "rep").repartition(tasks, "key").sortWithinPartitions("key", "rep")
+    pairs = postings.mapInArrow(first_and_previous, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links = verified_pairs(texts, cut_lineage(pairs.distinct()), shingles, similarity)
+    roots = connected_components(links)
+    named = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest")
+    classes = named.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    return classes.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+
+
 _LOWEST = -(2**63)
 
 
 def in_descending_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, copy, key, doc_id, tie, text): documents dealt by ranges of ids, sorted within tasks, each range followed by a copy of what comes next.
+    """(bucket, copy, key, doc_id, tie, class_id, text): documents dealt by ranges of ids, sorted within tasks, each range followed by a copy of what
+    comes next; texts are compressed for the way.
 
     Ranges are bounded by ids that occur, so that the document after a range is known to be the one with the bound below; it is
     sent to both. Equal ids follow each other by the hash of their text; a null id comes last. The largest id is also sent behind
     the smallest one.
     """
     spark = docs.sparkSession
-    keyed = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(_LOWEST)))
+    extra = docs["class_id"] if "class_id" in docs.columns else docs[id_col].cast("long")
+    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), extra.alias("class_id"))
+    keyed = keyed.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), F.xxhash64("text").alias("tie"), "class_id")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 4 * tasks
     cuts = keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 8 * n)).first()[0]
@@ -99,7 +144,8 @@ def in_descending_order(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tops = np.array(sorted(r.top for r in tops), np.int64)  # one per range that has documents
 
     def deal(batches):
-        names = ["bucket", "copy", "key", "doc_id", "tie", "text"]
+        names = ["bucket", "copy", "key", "doc_id", "tie", "class_id", "text"]
+        pack = zstandard.ZstdCompressor(level=1).compress
         for part in slices(batches):
             key = part.column(2).to_numpy()
             bucket = np.searchsorted(tops, key)
@@ -107,15 +153,14 @@ def in_descending_order(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = pa.array(np.r_[np.arange(len(key)), again])
             copy = np.r_[np.zeros(len(key), np.int32), np.ones(len(again), np.int32)]
             to = np.r_[bucket, (bucket[again] + 1) % len(tops)].astype(np.int32)
-            tie = part.column(3)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to), pa.array(copy), part.column(2).take(rows), part.column(0).take(rows), tie.take(rows), part.column(1).take(rows)], names=names)
+            text = pa.array([pack(t.encode("utf-8", "replace")) for t in part.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(copy), *(c.take(rows) for c in (part.column(2), part.column(0), part.column(3), part.column(4), text))], names=names)
 
-    dealt = keyed.withColumn("tie", F.xxhash64("text")).mapInArrow(deal, "bucket int, copy int, key long, doc_id long, tie long, text string")
+    dealt = keyed.mapInArrow(deal, "bucket int, copy int, key long, doc_id long, tie long, class_id long, text binary")
     return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "copy", F.desc("key"), "tie")
 
 
-_FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,28 +168,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The next document is the one with the next smaller doc_id (after the last: the first), equal ids in the order of their texts'
     hashes, null ids last. Null text is empty text; an empty text's fingerprint is all zero, and two empty texts are alike (1).
-    A single document is its own next one. No rows: no rows.
+    A single document is its own next one. No rows: no rows. ``class_id`` is the smallest doc_id of the document's near-duplicate class (see
+    ``near_duplicate_links``), its own where it has no other, null for a null id.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                        ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+                        ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
 
     def run(batches):
-        import hashlib
-
-        last = None  # (bucket, doc_id, text, signature) that waits for the next document
+        unpack = zstandard.ZstdDecompressor().decompress
+        last = None  # (bucket, doc_id, text, signature, class_id) that waits for the next document
         for part in slices(batches):
             rows = []
-            for bucket, copy, doc, text in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 5))):
+            for bucket, copy, doc, class_id, packed in zip(*(part.column(i).to_pylist() for i in (0, 1, 3, 5, 6))):
                 if copy and (last is None or last[0] != bucket):
                     continue
+                text = unpack(packed).decode()
                 sig = signature(shingles(text))
                 if last is not None and last[0] == bucket:
                     changed = edited(last[2], text)
                     other = signature(shingles(changed))
                     rows.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), text_of(last[3]), text_of(other),
-                                 likeness(last[3], other), likeness(last[3], sig)))
-                last = None if copy else (bucket, doc, text, sig)
+                                 likeness(last[3], other), likeness(last[3], sig), last[4]))
+                last = None if copy else (bucket, doc, text, sig, class_id)
             columns = list(zip(*rows)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return in_descending_order(docs, id_col, text_col).mapInArrow(run, _FINGERPRINTS)
+    links = cut_lineage(near_duplicate_links(docs, SIMILARITY, id_col, text_col)).withColumnsRenamed({"doc_id": "__id", "class_id": "__class"})
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    # documents that have an earlier near copy, broadcast up to a checked size and else joined by shuffle
+    classed = own.join(dimension(links), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__class", "doc_id").alias("class_id"))
+    return in_descending_order(classed).mapInArrow(run, _FINGERPRINTS)

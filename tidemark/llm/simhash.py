@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, id_and_text, slices
-from tidemark.session import cut_lineage, dimension
+from tidemark.llm.common import connected_components, id_and_text, slices, verified_pairs
+from tidemark.session import cut_lineage
 
 SEED = 42
 #: Largest number of differing bits that the index guarantees: two bytes of eight may differ.
@@ -238,17 +238,7 @@ def similar_pairs(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     near = postings.repartition(tasks, "key").sortWithinPartitions("key", "rep").mapInArrow(_neighbours, "u long, v long")
     pairs = cut_lineage(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
-    def sets(batches):
-        for part in slices(batches):
-            values = [shingle_set(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "s"])
-
-    ids = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    wanted = texts.join(dimension(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    s = cut_lineage(wanted.mapInArrow(sets, "id long, s array<long>"))
-    both = pairs.join(s.select(F.col("id").alias("u"), F.col("s").alias("su")), "u").join(s.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
+    return verified_pairs(texts, pairs, lambda t: shingle_set(t, shingle), similarity)
 
 
 def duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
