@@ -12,6 +12,8 @@ from tidemark.operators.models import chronological_split
 from tidemark.operators.predict import factor_predict
 from tidemark.session import local_frame
 
+#: Fewest dates to train and to validate on.
+MIN_DATES = (5, 3)
 MODEL_KEYS = ["w_company", "w_macro", "w_index", "sensitivity", "drift_weight", "max_sigma_clip", "neutral_threshold_sigma"]
 
 
@@ -50,11 +52,17 @@ def sweep(make_inputs, trials: list[dict[str, dict]], spark, objective: str = "m
     candidate is chosen on train, gated on validation against the base set and no-change, and vetoed by the test.
     """
     groups: dict[tuple, list[int]] = {}
+    enough = False
     for i, t in enumerate(trials):
         groups.setdefault(tuple(sorted((k, str(v)) for k, v in t["news"].items())), []).append(i)
     scored = None
     for members in groups.values():
         rows = chronological_split(make_inputs(trials[members[0]]["news"]), train_end, valid_end, fractions)
+        if not enough:
+            dates = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.countDistinct("as_of_date").alias("n")).collect()}
+            if dates.get("train", 0) < MIN_DATES[0] or dates.get("validation", 0) < MIN_DATES[1]:
+                raise ValueError(f"a search needs {MIN_DATES[0]} dates to train and {MIN_DATES[1]} to validate on, not {dates}")
+            enough = True
         part = score_trials(rows, trial_table(spark, trials, members))
         scored = part if scored is None else scored.unionByName(part)
     results = metric_ops.objective(metric_ops.metrics(scored, "trial", "part"), objective)

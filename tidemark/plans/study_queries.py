@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import market, metrics, models, replay, report, tuning
 from tidemark.operators.calendar import Calendar
 from tidemark.operators.predict import FEATURES
-from tidemark.params import MODEL_PARAMS
+from tidemark.params import MODEL_PARAMS, SEARCH_SPACE
 from tidemark.plans import news_queries as nq
 from tidemark.session import cut_lineage, local_frame
 from tidemark.sources import bench_views as v
@@ -202,14 +202,13 @@ def param_sweep(spark, sf_dir):
     return metrics.metrics(tuning.score_trials(records(spark, sf_dir), t), "trial").select("trial", "n", "mae", "rmse", "bias", "no_change_mae")
 
 
+#: Seeded trials over the model parameters; trial 0 is the base set.
+SEARCHED = tuning.sample_trials({"news": nq.P, "model": nq.M}, {k: b for k, b in SEARCH_SPACE.items() if k.startswith("model.")}, 12)
+
+
 def param_search(spark, sf_dir):
     """Seeded random search with train / validation / test gates (one summary row)."""
-    from tidemark.params import SEARCH_SPACE
-
-    base = {"news": nq.P, "model": nq.M}
-    space = {k: b for k, b in SEARCH_SPACE.items() if k.startswith("model.")}
-    trials = tuning.sample_trials(base, space, 12)
-    out = tuning.sweep(lambda news: records(spark, sf_dir), trials, spark)
+    out = tuning.sweep(lambda news: records(spark, sf_dir), SEARCHED, spark)
     return tuning.verdict(out["results"], out["tests"])
 
 
@@ -420,6 +419,25 @@ x AS (
 y AS (SELECT trial, actual, round((exp(greatest(-3 * daily_vol, least(3 * daily_vol, raw))) - 1) * 100, 4) AS predicted FROM x)
 SELECT trial, count(*) AS n, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 4) AS rmse, round(avg(predicted - actual), 4) AS bias,
        round(avg(abs(actual)), 4) AS no_change_mae FROM y GROUP BY 1""",
+    "param_search": f"""{nq.SQL_RECORDS},
+t AS (SELECT * FROM (VALUES {v._values([(float(i), *(float(x["model"][k]) for k in ("w_company", "w_macro", "w_index", "sensitivity", "drift_weight"))) for i, x in enumerate(SEARCHED)])}) t(trial, wc, wm, wi, se, dw)),
+x AS (
+  SELECT CAST(t.trial AS INTEGER) AS trial, f.session, f.daily_vol, se * f.daily_vol / 100 * (wc * f.sc + wm * f.macro_sens * f.sm + wi * f.beta * f.si) + dw * f.daily_drift AS raw,
+         round((b.close / f.previous_close - 1) * 100, 4) AS actual
+  FROM forecast f JOIN bars b ON b.ticker = f.ticker AND b.date = f.session CROSS JOIN t WHERE f.status = 'OK'),
+y AS (SELECT trial, session, actual, round((exp(greatest(-3 * daily_vol, least(3 * daily_vol, raw))) - 1) * 100, 4) AS predicted FROM x),
+dy AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS k, count(*) OVER () AS nd FROM (SELECT DISTINCT session FROM y)),
+pt AS (SELECT y.*, CASE WHEN k < floor(nd * 0.6) THEN 'train' WHEN k < floor(nd * (0.6 + 0.2)) THEN 'validation' ELSE 'test' END AS part FROM y JOIN dy USING (session)),
+mt AS (SELECT trial, part, round(avg(abs(predicted - actual)), 4) AS mae, round(avg(abs(actual)), 4) AS zero FROM pt GROUP BY 1, 2),
+dl AS (SELECT trial, session, avg(abs(predicted - actual) - abs(actual)) AS d FROM pt WHERE part = 'test' GROUP BY 1, 2),
+ds AS (SELECT trial, count(*) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM dl GROUP BY 1), dt AS (SELECT *, CASE WHEN n >= 5 AND sd > 0 THEN m / (sd / sqrt(n)) END AS tt FROM ds),
+dp AS (SELECT trial, coalesce(m < 0 AND {sql_t_upper('(-tt)', '(n - 1)')} < 0.05, FALSE) AS significant FROM dt),
+w AS (SELECT trial, max(mae) FILTER (part = 'train') AS tr, max(mae) FILTER (part = 'validation') AS va, max(zero) FILTER (part = 'validation') AS vz, max(mae) FILTER (part = 'test') AS te,
+  max(zero) FILTER (part = 'test') AS tz FROM mt GROUP BY 1),
+z AS (SELECT w.*, significant, (SELECT va FROM w WHERE trial = 0) AS bv FROM w LEFT JOIN dp USING (trial) ORDER BY tr, trial LIMIT 1)
+SELECT trial, tr AS train_objective, va AS validation_objective, bv AS base_validation, te AS test_objective, trial <> 0 AND va < bv AND va < vz AND te < tz AND significant AS recommended,
+  CASE WHEN trial = 0 THEN 'no trial beat the active parameters on train' WHEN NOT va < bv THEN 'did not improve on validation' WHEN NOT va < vz THEN 'does not beat no-change on validation'
+       WHEN te IS NULL THEN 'no test period' WHEN NOT (te < tz AND significant) THEN 'does not significantly beat no-change on test' ELSE 'passed validation and test' END AS reason FROM z""",
 }
 
 
