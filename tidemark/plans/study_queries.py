@@ -173,6 +173,10 @@ def walk_forward(spark, sf_dir):
     return models.walk_forward(order_records(spark, sf_dir), MARKET_PAIR).select("month", "alpha", "n", "mae", "rmse", "bias", "directional_accuracy")
 
 
+#: The 30 days of the stream leave too few rows with a 20-session mean to split three ways.
+THREE = [b for b in replay.BASELINES if b != "rolling_mean_20d"]
+
+
 def logistic_fit(spark, sf_dir):
     """L3: Newton steps on distributed gradients."""
     rows = order_records(spark, sf_dir).withColumn("up", (F.col("actual") > 0).cast("int"))
@@ -182,16 +186,21 @@ def logistic_fit(spark, sf_dir):
 
 def experiment_scores(spark, sf_dir):
     """All feature sets, selection on validation, scores per split."""
-    out = models.experiment(records(spark, sf_dir), ["no_change", "historical_mean", "company_mean"])
+    out = models.experiment(records(spark, sf_dir), THREE)
     return out["scores"]
 
 
 def experiment_tests(spark, sf_dir):
     """Paired tests of the selected model against each baseline."""
-    out = models.experiment(records(spark, sf_dir), ["no_change", "historical_mean", "company_mean"])
+    out = models.experiment(records(spark, sf_dir), THREE)
     return out["paired_tests"]
 
 
+def recommendation(spark, sf_dir):
+    """Whether the selected model beats every baseline on validation and on test."""
+    return models.recommended(models.experiment(records(spark, sf_dir), THREE)["paired_tests"])
+
+
 TRIALS = [(0, 1.0, 0.5, 0.3, 0.8, 0.0), (1, 2.0, 0.1, 0.0, 0.4, 0.3), (2, 0.0, 1.5, 1.1, 1.2, 0.0), (3, 0.7, 0.9, 0.2, 0.1, 0.9), (4, 1.3, 0.0, 0.6, 1.5, 0.1)]
 
 
@@ -215,7 +224,7 @@ def param_search(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     core_metrics, metrics_grouping_sets, direction_distribution, confusion_matrix, baseline_comparison, feature_analysis, paired_test, metric_objectives,
     classifier_scores, contribution_summary, company_summary, failure_cases, report_observations, evaluation_report, gram_matrix, ridge_fit,
-    chronological_split, alpha_selection, walk_forward, logistic_fit, experiment_scores, experiment_tests, param_sweep, param_search)}
+    chronological_split, alpha_selection, walk_forward, logistic_fit, experiment_scores, experiment_tests, recommendation, param_sweep, param_search)}
 
 
 # ---- SQL checks -----------------------------------------------------------------------------------
@@ -313,7 +322,51 @@ w{i + 1} AS (SELECT a0 - (b0 * (h11 * h22 - h12 * h12) - h01 * (b1 * h22 - h12 *
     return ",".join(parts) + " " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(a{k}, 6) AS coef FROM w{rounds}" for k, t in enumerate(names))
 
 
+def sql_experiment() -> str:
+    """Ridge for every feature set and penalty: moments on the training rows, Gauss-Jordan elimination on lists, one step per input."""
+    number = {f: i for i, f in enumerate(FEATURES)}
+    sets = ", ".join(f"({k}, '{name}', {[number[f] for f in fs]})" for k, (name, fs) in enumerate(models.FEATURE_SETS.items()) if fs)
+    trivial = list(models.FEATURE_SETS).index(models.TRIVIAL_SET)
+    long = " UNION ALL ".join(f"SELECT rid, part, actual, {i} AS fi, CAST({f} AS DOUBLE) AS x FROM er" for f, i in number.items())
+    steps = "".join(f"""
+mx{k} AS (SELECT set_no, alpha, CASE WHEN {k} > len(m) THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda x: x / r[{k}])
+  ELSE list_transform(r, lambda x, j: x - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) END AS m FROM mx{k - 1}),""" for k in range(1, len(FEATURES) + 1))
+    return f"""{R}, eo AS (SELECT * FROM records WHERE {" AND ".join(f"{b} IS NOT NULL" for b in THREE)}),
+ed AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS k, count(*) OVER () AS nd FROM (SELECT DISTINCT session FROM eo)),
+er AS (SELECT row_number() OVER (ORDER BY session, ticker) AS rid, eo.*, CASE WHEN k < floor(nd * 0.6) THEN 'train' WHEN k < floor(nd * (0.6 + 0.2)) THEN 'validation' ELSE 'test' END AS part FROM eo JOIN ed USING (session)),
+xl AS ({long}),
+sd AS (SELECT fi, coalesce(avg(x), 0) AS m, CASE WHEN coalesce(stddev_pop(x), 0) < 1e-12 OR coalesce(var_pop(x), 0) < 1e-13 * (1 + pow(avg(x), 2)) THEN 1 ELSE stddev_pop(x) END AS s FROM xl WHERE part = 'train' GROUP BY 1),
+zl AS (SELECT rid, part, actual, fi, coalesce((x - m) / s, 0) AS z FROM xl JOIN sd USING (fi)),
+my AS (SELECT avg(actual) AS b0, count(*)::DOUBLE AS n FROM er WHERE part = 'train'),
+gg AS (SELECT a.fi AS i, b.fi AS j, sum(a.z * b.z) AS v FROM zl a JOIN zl b USING (rid) WHERE a.part = 'train' GROUP BY 1, 2),
+gt AS (SELECT fi AS i, sum(z * (actual - b0)) AS v FROM zl, my WHERE part = 'train' GROUP BY 1),
+fs(set_no, name, fis) AS (VALUES {sets}), sf AS (SELECT set_no, unnest(fis) AS fi, unnest(range(1, len(fis) + 1)) AS k FROM fs), al AS (SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0])::DOUBLE AS alpha),
+mx0 AS (SELECT set_no, alpha, list(r ORDER BY k) AS m FROM (SELECT p.set_no, alpha, p.k, list_append(list(gg.v + CASE WHEN p.k = q.k THEN alpha * n ELSE 0 END ORDER BY q.k), any_value(gt.v)) AS r
+  FROM sf p JOIN sf q USING (set_no) JOIN gg ON gg.i = p.fi AND gg.j = q.fi JOIN gt ON gt.i = p.fi CROSS JOIN my CROSS JOIN al GROUP BY 1, 2, 3) GROUP BY 1, 2),{steps}
+cf AS (SELECT set_no, alpha, unnest(range(1, len(m) + 1)) AS k, unnest(list_transform(m, lambda r: r[len(r)])) AS c FROM mx{len(FEATURES)}),
+pv AS (SELECT cf.set_no, cf.alpha, zl.rid, any_value(b0) + sum(c * z) AS value FROM cf JOIN sf ON sf.set_no = cf.set_no AND sf.k = cf.k JOIN zl ON zl.fi = sf.fi CROSS JOIN my GROUP BY 1, 2, 3
+  UNION ALL SELECT {trivial}, 0.0, rid, b0 FROM er, my),
+va AS (SELECT set_no, alpha, avg(abs(value - actual)) AS mae FROM pv JOIN er USING (rid) WHERE part = 'validation' GROUP BY 1, 2),
+ch AS (SELECT set_no, alpha FROM va QUALIFY row_number() OVER (PARTITION BY set_no ORDER BY mae, alpha) = 1),
+names(set_no, feature_set) AS (VALUES {", ".join(f"({k}, '{name}')" for k, name in enumerate(models.FEATURE_SETS))}),
+sv AS (SELECT er.*, feature_set, names.set_no, pv.value FROM ch JOIN pv USING (set_no, alpha) JOIN er USING (rid) JOIN names ON names.set_no = ch.set_no),
+scores AS (SELECT feature_set, part, {sql_stats('value')} FROM sv GROUP BY 1, 2)"""
+
+
+def sql_experiment_tests() -> str:
+    loss = " UNION ALL ".join(f"SELECT part, session, '{b}' AS baseline, avg(abs(value - actual) - abs({b} - actual)) AS d FROM best WHERE part <> 'train' GROUP BY 1, 2" for b in THREE)
+    return f"""{sql_experiment()},
+pick AS (SELECT feature_set FROM scores JOIN names USING (feature_set) WHERE part = 'validation' AND feature_set <> '{models.TRIVIAL_SET}' ORDER BY mae, set_no LIMIT 1),
+best AS (SELECT * FROM sv JOIN pick USING (feature_set)), loss AS ({loss}),
+pa AS (SELECT part, baseline, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s FROM loss GROUP BY 1, 2), pb AS (SELECT *, CASE WHEN n >= 5 AND s > 0 THEN m / (s / sqrt(n)) END AS tt FROM pa),
+pc AS (SELECT *, CASE WHEN tt IS NOT NULL THEN {sql_t_upper('(-tt)', '(n - 1)')} END AS pv FROM pb)"""
+
+
 ORACLES = {
+    "experiment_scores": f"{sql_experiment()} SELECT * FROM scores",
+    "experiment_tests": f"""{sql_experiment_tests()} SELECT part, n AS n_dates, CASE WHEN n >= 5 THEN round(m, 5) END AS mean_loss_diff, round(tt, 4) AS t, round(pv, 4) AS p_value_improvement,
+  coalesce(m < 0 AND pv < 0.05, FALSE) AS significant, baseline, (SELECT feature_set FROM pick) AS feature_set FROM pc""",
+    "recommendation": f"""{sql_experiment_tests()} SELECT (SELECT feature_set FROM pick) AS feature_set, bool_and(coalesce(m < 0 AND pv < 0.05, FALSE)) AND count(DISTINCT part) = 2 AS recommended FROM pc""",
     "logistic_fit": f"WITH {SQL_ORDER_RECORDS}, {sql_logistic('orows', 0.01).lstrip()}",
     "core_metrics": f"{SQL_EVAL} SELECT {SQL_METRICS} FROM ev",
     "metrics_grouping_sets": f"""{SQL_EVAL} SELECT CASE WHEN grouping(horizon_type) = 1 THEN 'ALL' ELSE horizon_type END AS horizon_type,
