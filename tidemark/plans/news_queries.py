@@ -188,6 +188,23 @@ def factor_predictions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast(replay.predictions(x, x.calendar.grid()))
 
 
+#: Last day to which the observed sessions are continued with weekdays, so that month and quarter ends lie ahead.
+PROJECTED_TO = dt.date(2024, 7, 1)
+
+
+def replay_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay with news for the session, month ends and quarter ends."""
+    x = stream_inputs(spark, sf_dir)
+    observed = x.calendar
+    ahead = Calendar.weekdays(spark, observed.last + dt.timedelta(days=1), PROJECTED_TO)
+    x.calendar = Calendar(spark, observed.sessions + ahead.sessions, "price-data", observed.last)
+    x.horizon_types = ("today", "month_end", "quarter_end")
+    grid = CutoffGrid(spark, tuple(r for r in x.calendar.grid().rows if r[0] <= observed.last))
+    out = replay.predictions(x, grid).where("status = 'OK'")
+    return out.select("session", "ticker", "horizon_type", "target_date", F.col("trading_days_ahead").cast("bigint").alias("trading_days_ahead"), F.round("score", 2).alias("score"),
+                      F.round("macro_sens", 4).alias("macro_sens"), "predicted", "sigma_pct", "predicted_direction")
+
+
 #: A fitted model as it would be stored: coefficients of standardised inputs.
 LINEAR_MODEL = {"kind": "linear", "features": ["relative_sentiment", "news_count", "previous_return", "beta"], "coef": [0.2137, -0.1319, 0.3371, 0.0713],
                 "mean": [1.5, 2.0, 0.05, 0.4], "std": [11.71, 0.73, 1.13, 0.97], "intercept": 0.043}
@@ -262,7 +279,7 @@ def no_lookahead_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    linear_predictions, linear_predictions_ahead, decayed_sentiment, decayed_sentiment_horizons, decayed_sentiment_verified, decayed_sentiment_exact, cluster_collapse, sentiment_by_category, top_contributors,
+    replay_horizons, linear_predictions, linear_predictions_ahead, decayed_sentiment, decayed_sentiment_horizons, decayed_sentiment_verified, decayed_sentiment_exact, cluster_collapse, sentiment_by_category, top_contributors,
     index_scores, news_flow, pooled_baseline, index_relative, market_features, factor_predictions, factor_predictions_raw, feature_vector,
     replay_records, quality_flags, no_lookahead_violations)}
 
@@ -494,6 +511,32 @@ ha AS (SELECT session, horizon_type, target_date, entity, sum(w) AS ew, sum(w *
 SELECT h.session, h.horizon_type, h.target_date, e.entity, {SQL_SCORE} AS score, CASE WHEN ew > 0 THEN round(ws / ew, 2) END AS raw_mean,
   CASE WHEN ew > 0 THEN round(ew, 5) ELSE 0.0 END AS evidence_weight, coalesce(n, 0) AS news_count
 FROM hz h CROSS JOIN ent e LEFT JOIN ha a ON a.session = h.session AND a.horizon_type = h.horizon_type AND a.target_date = h.target_date AND a.entity = e.entity""",
+    "replay_horizons": f"""{_BASE}, {SQL_FLOW}, {SQL_MARKET},
+pc AS (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT session FROM calendar UNION ALL
+  SELECT CAST(d AS DATE) FROM generate_series(DATE '2024-01-01', DATE '{PROJECTED_TO}', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6 AND d > (SELECT max(session) FROM calendar))),
+hb AS (SELECT c.session, c.as_of, (SELECT count(*) FROM pc WHERE pc.session < c.session) AS before FROM cutoffs c),
+hs AS (SELECT hb.*, k, last_day(CAST(date_trunc('month', session) AS DATE) + to_months(CAST(k AS INTEGER))) AS nominal FROM hb CROSS JOIN range(0, 21) r(k)),
+ht AS (SELECT hs.*, (SELECT max(session) FROM pc WHERE pc.session <= nominal) AS target FROM hs WHERE nominal <= (SELECT max(session) FROM pc)),
+hz AS (SELECT session, as_of, 'today' AS horizon_type, session AS target_date, 1 AS h FROM hb UNION ALL
+  SELECT x.session, as_of, 'month_end', target, greatest(1, idx - before) FROM (SELECT * FROM ht WHERE target > session AND k < 5 QUALIFY row_number() OVER (PARTITION BY session ORDER BY k) <= 3) x JOIN pc ON pc.session = target UNION ALL
+  SELECT x.session, as_of, 'quarter_end', target, greatest(1, idx - before) FROM (SELECT * FROM ht WHERE target > session AND month(nominal) % 3 = 0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY k) <= 6) x JOIN pc ON pc.session = target),
+hw AS (SELECT z.session, z.horizon_type, z.target_date, s.entity, s.category, s.sentiment, s.reliability * s.relevance * s.strength
+  * pow(0.5, (epoch_us(greatest(z.as_of, CAST(z.target_date AS TIMESTAMP) + INTERVAL 600 MINUTE)) - epoch_us(s.available_at)) / 86400000000.0 / s.half_life_days)
+  * (1 + 0.15 * ln(s.cluster_size)) * CASE WHEN s.price_report THEN 0.0 ELSE 1.0 END AS w FROM stories s JOIN hz z ON z.session = s.session),
+ha AS (SELECT session, horizon_type, target_date, entity, sum(w) AS ew, sum(w * sentiment) AS ws FROM hw GROUP BY 1, 2, 3, 4),
+hc AS (SELECT session, horizon_type, target_date, category, round(sum(w), 5) AS weight FROM hw WHERE entity = 'MACRO' AND w > 0 GROUP BY 1, 2, 3, 4),
+hm AS (SELECT b.session, b.horizon_type, b.target_date, k.sector, sum(b.weight * coalesce(t.multiplier, 1.0)) / sum(b.weight) AS macro_sens
+  FROM hc b CROSS JOIN (SELECT DISTINCT sector FROM catalog) k LEFT JOIN sensitivity t ON t.sector = k.sector AND t.category = b.category GROUP BY 1, 2, 3, 4),
+hi AS (SELECT z.session, u.entity AS ticker, z.horizon_type, z.target_date, z.h, {SQL_SCORE} AS score, coalesce(q.macro_sens, 1.0) AS ms, m.daily_vol, m.beta,
+    coalesce(f.relative_sentiment, 0) AS sc, coalesce(mf.relative_sentiment, 0) AS sm, coalesce(ir.index_relative, 0) AS si
+  FROM hz z JOIN uni u ON u.session = z.session LEFT JOIN ha a ON a.session = z.session AND a.horizon_type = z.horizon_type AND a.target_date = z.target_date AND a.entity = u.entity
+  LEFT JOIN hm q ON q.session = z.session AND q.horizon_type = z.horizon_type AND q.target_date = z.target_date AND q.sector = u.sector
+  JOIN market m ON m.session = z.session AND m.ticker = u.entity AND m.n_obs >= {M['min_history_days'] + 1} AND m.daily_vol > 0
+  LEFT JOIN flows f ON f.session = z.session AND f.entity = u.entity LEFT JOIN flows mf ON mf.session = z.session AND mf.entity = 'MACRO' LEFT JOIN index_rel ir ON ir.session = z.session),
+hf AS (SELECT *, daily_vol * sqrt(h) AS sg, {M['sensitivity']} * daily_vol / 100 * ({M['w_company']} * sc + {M['w_macro']} * ms * sm + {M['w_index']} * beta * si) AS raw FROM hi),
+hp AS (SELECT *, (exp(greatest(-3 * sg, least(3 * sg, raw))) - 1) * 100 AS pct FROM hf)
+SELECT session, ticker, horizon_type, target_date, CAST(h AS BIGINT) AS trading_days_ahead, score, round(ms, 4) AS macro_sens, round(pct, 4) + 0.0 AS predicted, round(sg * 100, 4) AS sigma_pct,
+  CASE WHEN pct > 0.1 * sg * 100 THEN 'UP' WHEN pct < -0.1 * sg * 100 THEN 'DOWN' ELSE 'NEUTRAL' END AS predicted_direction FROM hp""",
     "decayed_sentiment_verified": sql_policy("i.fetched_at <= c.as_of"),
     "decayed_sentiment_exact": sql_policy(
         "i.fetched_at <= c.as_of OR (i.timestamp_precision <> 'date_only' AND i.timezone_status <> 'unknown' AND i.provider_available_at <= c.as_of)"),

@@ -22,16 +22,26 @@ KEEP = ["session", "as_of_date", "month", "ticker", "horizon_type", "target_date
         "c_company_sentiment", "c_macro_sentiment", "c_index_sentiment", "c_drift", *FEATURES]
 
 
-def _stored(spark: SparkSession, key: str, sf_dir: str, build) -> DataFrame:
-    """Replayed records are written once per session (reliable checkpoint) and shared by the report queries."""
-    full = (spark.sparkContext.applicationId, key, sf_dir)
+def _stored(spark: SparkSession, key: str, sf_dir: str, build, table: str) -> DataFrame:
+    """Replayed records are written once per session (reliable checkpoint) and shared by the report queries.
+
+    The names, sizes and modification times of the table's files are part of the key, so data that was written anew is replayed anew.
+    """
+    files = v.table(spark, sf_dir, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.bit_xor(F.xxhash64(*files.columns))).first()[0]
+    full = (spark.sparkContext.applicationId, key, sf_dir, state)
     if full not in _STORED:
         _STORED[full] = cut_lineage(build())
     return _STORED[full]
 
 
+def forget() -> None:
+    """Drop the shared records, so that the next query pays for its own replay."""
+    _STORED.clear()
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, "stream", sf_dir, lambda: nq.stream_records(spark, sf_dir).select(*KEEP))
+    return _stored(spark, "stream", sf_dir, lambda: nq.stream_records(spark, sf_dir).select(*KEEP), "events")
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +57,7 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "rolling_return_5d", F.lit("today").alias("horizon_type"), F.round((F.col("actual_close") / F.col("previous_close") - 1) * 100, 4).alias("actual"),
             (F.round(F.col("daily_vol") * 100, 4) * 0.1).alias("neutral_threshold_pct"))
 
-    return _stored(spark, "orders", sf_dir, build)
+    return _stored(spark, "orders", sf_dir, build, "orders")
 
 
 def core_metrics(spark, sf_dir):
