@@ -11,7 +11,6 @@ from tidemark.functions.timestamps import parse_timestamp
 # Character references that occur in feed text.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“",
             "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
-MAX_NUMERIC_REFERENCES = 2
 
 
 def unescape(text: Column) -> Column:
