@@ -23,7 +23,7 @@ PERMUTATIONS = 128
 SIMILARITY = 0.8
 #: Bands of four components: a pair at 0.8 shares one with probability 1 - (1 - 0.8^4)^20 > 0.9999.
 BANDS, BAND_ROWS = 20, 4
-_CHUNK = 512
+_CHUNK = 256
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,23 +35,33 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 _A, _B = _functions(PERMUTATIONS)
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles of a lower-cased text; fewer words are one shingle, no words none."""
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the word shingles of a lower-cased text, repeats included; fewer words are one shingle, no words none."""
     words = text.lower().encode("utf-8", "replace").split()
     if not words:
         return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)
+
+
+def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
+    """The distinct ones of ``shingle_hashes``, sorted."""
+    return np.unique(shingle_hashes(text, size))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """16-bit MinHash components; all zero for an empty set, never all zero otherwise."""
+    """16-bit MinHash components (repeats don't matter); all zero for an empty set, never all zero otherwise."""
     if not len(hashes):
         return np.zeros(PERMUTATIONS, "<u2")
-    low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
+    low = np.full(PERMUTATIONS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    values = np.empty((min(_CHUNK, len(hashes)), PERMUTATIONS), np.uint64)
     for start in range(0, len(hashes), _CHUNK):
-        values = (_A[:, None] * hashes[None, start : start + _CHUNK] + _B[:, None]) >> np.uint64(32)
-        np.minimum(low, values.min(axis=1), out=low)
+        part = hashes[start : start + _CHUNK, None]
+        v = values[: len(part)]
+        np.multiply(part, _A, out=v)
+        np.add(v, _B, out=v)
+        np.minimum(low, v.min(axis=0), out=low)
+    low >>= np.uint64(32)  # as if every value had been shifted first
     # the smallest values of a large set all have few leading digits, so the kept part is mixed
     mixed = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
     return np.maximum(mixed, 1).astype("<u2")
@@ -94,7 +104,7 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY, id_col
             rows = []
             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if d is not None:
-                    rows.append((d, hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest(), bands(signature(shingles(t)))))
+                    rows.append((d, hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest(), bands(signature(shingle_hashes(t)))))
             columns = list(zip(*rows)) or [[]] * 3
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "digest", "keys"])
@@ -183,10 +193,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if copy and (last is None or last[0] != bucket):
                     continue
                 text = unpack(packed).decode()
-                sig = signature(shingles(text))
+                sig = signature(shingle_hashes(text))
                 if last is not None and last[0] == bucket:
                     changed = edited(last[2], text)
-                    other = signature(shingles(changed))
+                    other = signature(shingle_hashes(changed))
                     rows.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), text_of(last[3]), text_of(other),
                                  likeness(last[3], other), likeness(last[3], sig), last[4]))
                 last = None if copy else (bucket, doc, text, sig, class_id)
