@@ -5,6 +5,7 @@ The same composition serves a live run: a grid with a single cut-off and ``enfor
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,7 +59,9 @@ def predictions(x: Inputs, grid: CutoffGrid, enforce_previous: bool = False, wit
         "pos", "version", F.col("ticker").alias("entity"), "weight")
     uni = cut_lineage(uni.join(x.catalog.select(F.col("ticker").alias("entity"), "sector"), "entity"))
 
-    # sentiment side: everything below is bounded by cut-offs x universe x horizons
+    # sentiment side: everything below is bounded by cut-offs x universe x horizons; the news flow reads the items as well and does not wait
+    side_job = ThreadPoolExecutor(1)
+    flow_rows = side_job.submit(lambda: cut_lineage(flow_ops.news_flow(x.items, grid, uni.select("pos", "entity"), p1, x.policy)))
     states = scores.weighted_states(x.items, grid, p1, x.policy)
     sums = cut_lineage(scores.category_sums(states, asked, grid, p1))
     wanted = asked.select("pos", "session", "horizon_type", "target_date")
@@ -68,7 +71,8 @@ def predictions(x: Inputs, grid: CutoffGrid, enforce_previous: bool = False, wit
     index = scores.index_scores(scored, p1).select("pos", "horizon_type", "target_date", F.col("company_weighted").alias("index_score"),
                                                    F.col("overall").alias("index_overall"))
     sens = predict.macro_sensitivity(scores.category_breakdown(sums), x.catalog, x.sensitivity, x.default_sensitivity)
-    flow = cut_lineage(flow_ops.news_flow(x.items, grid, uni.select("pos", "entity"), p1, x.policy))
+    flow = flow_rows.result()
+    side_job.shutdown()
     rel = flow_ops.index_relative(flow, uni.select("pos", "entity", "weight"))
 
     hkeys = ["pos", "horizon_type", "target_date"]
