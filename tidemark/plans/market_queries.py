@@ -155,8 +155,7 @@ def long_horizon_predictions(spark, sf_dir):
     cal = order_calendar(spark, sf_dir)
     x = replay.Inputs(items, v.order_bars(spark, sf_dir), v.order_index(spark, sf_dir), members, catalog, v.sensitivity(spark), cal, nq.P,
                       {**MODEL_PARAMS, "drift_weight": 1.0}, horizon_types=("today", "month_end", "quarter_end"))
-    grid = cal.grid().between(dt.date(1996, 1, 1), dt.date(1999, 12, 31), 20)
-    r = replay.records(x, grid)
+    r = replay.records(x, cal.grid())
     return r.select("session", "ticker", "horizon_type", "target_date", F.col("trading_days_ahead").cast("bigint").alias("trading_days_ahead"),
                     "sigma_pct", "predicted", "actual")
 
@@ -437,12 +436,11 @@ a AS (SELECT t.ticker, c.session FROM (SELECT DISTINCT ticker FROM bars) t CROSS
 x AS (SELECT a.*, o.cm, o.rm FROM a ASOF LEFT JOIN o ON o.ticker = a.ticker AND o.date < a.session)
 SELECT x.ticker, x.session, round(d.hm, 5) AS historical_mean, round(x.cm, 5) AS company_mean, round(x.rm, 5) AS rolling_mean_20d FROM x ASOF LEFT JOIN d ON d.date < x.session""",
     "long_horizon_predictions": f"""{_horizon_sql(_FY)},
-ev AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS k FROM calendar WHERE session BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'),
 r AS (SELECT ticker, date, close, ln(close) - ln(lag(close) OVER w) AS lr, (close / lag(close) OVER w - 1) * 100 AS sr, row_number() OVER w AS k FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 st AS (SELECT *, stddev_samp(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS vol, avg(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) AS drift,
               avg(sr) OVER (PARTITION BY ticker ORDER BY date) AS cm FROM r),
-h AS (SELECT hz.*, t.ticker FROM hz JOIN ev ON ev.session = hz.day AND ev.k % 20 = 0 CROSS JOIN (SELECT DISTINCT ticker FROM bars) t WHERE hz.calendar_date <= (SELECT max(session) FROM calendar)),
-p AS (SELECT h.session, h.ticker, h.horizon_type, h.target_date, h.trading_days_ahead AS n, s.close, s.vol * sqrt(h.trading_days_ahead) AS sg, s.drift * h.trading_days_ahead AS raw, s.cm FROM h ASOF JOIN st s ON s.ticker = h.ticker AND s.date < h.session)
+h AS (SELECT hz.*, t.ticker FROM hz JOIN calendar ON calendar.session = hz.day CROSS JOIN (SELECT DISTINCT ticker FROM bars) t WHERE hz.calendar_date <= (SELECT max(session) FROM calendar)),
+p AS (SELECT h.session, h.ticker, h.horizon_type, h.target_date, h.trading_days_ahead AS n, s.close, s.vol * sqrt(h.trading_days_ahead) AS sg, s.drift * h.trading_days_ahead AS raw, s.cm FROM h ASOF JOIN st s ON s.ticker = h.ticker AND s.date < h.session WHERE s.k >= 21 AND s.vol > 0)
 SELECT p.session, p.ticker, horizon_type, target_date, n AS trading_days_ahead, round(sg * 100, 4) AS sigma_pct, round((exp(greatest(-3 * sg, least(3 * sg, raw))) - 1) * 100, 4) AS predicted,
        round((b.close / p.close - 1) * 100, 4) AS actual FROM p JOIN bars b ON b.ticker = p.ticker AND b.date = p.target_date""",
     "outcome_maturity": f"{_STORED} SELECT session, ticker, target_date, maturity FROM mat",

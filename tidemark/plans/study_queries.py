@@ -14,7 +14,6 @@ from tidemark.session import cut_lineage, local_frame
 from tidemark.sources import bench_views as v
 
 _STORED: dict[tuple, DataFrame] = {}
-PAIR = ["relative_sentiment", "previous_return"]
 MARKET_PAIR = ["previous_return", "rolling_return_5d"]
 KEEP = ["session", "as_of_date", "month", "ticker", "horizon_type", "target_date", "trading_days_ahead", "universe_version", "predicted", "actual",
         "actual_close", "previous_close", "sigma_pct", "predicted_direction", "neutral_threshold_pct", *replay.BASELINES,
@@ -157,8 +156,8 @@ def gram_matrix(spark, sf_dir):
 
 
 def ridge_fit(spark, sf_dir):
-    """L1-L2: two-feature ridge for every penalty from one set of moments."""
-    fitted = models.fit_ridge(records(spark, sf_dir), PAIR)
+    """L1-L2: ridge on all inputs for every penalty from one set of moments."""
+    fitted = models.fit_ridge(records(spark, sf_dir), FEATURES)
     return models.model_table(spark, {f"ridge-{m['alpha']}": m for m in fitted}).select(
         "alpha", "term", *[metrics.half_up(F.col(c), 5).alias(c) for c in ("coef", "mean", "std")])
 
@@ -332,15 +331,35 @@ w{i + 1} AS (SELECT a0 - (b0 * (h11 * h22 - h12 * h12) - h01 * (b1 * h22 - h12 *
     return ",".join(parts) + " " + " UNION ALL ".join(f"SELECT '{t}' AS term, round(a{k}, 6) AS coef FROM w{rounds}" for k, t in enumerate(names))
 
 
+def sql_elimination(n: int) -> str:
+    """Gauss-Jordan steps on mx0(set_no, alpha, m), m being the rows of a symmetric system with its right side; mx<n> holds the solution."""
+    return "".join(f"""
+mx{k} AS (SELECT set_no, alpha, CASE WHEN {k} > len(m) THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda x: x / r[{k}])
+  ELSE list_transform(r, lambda x, j: x - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) END AS m FROM mx{k - 1}),""" for k in range(1, n + 1))
+
+
+def sql_ridge_all() -> str:
+    """Ridge on all inputs for every penalty."""
+    long = " UNION ALL ".join(f"SELECT rid, actual, {i} AS fi, '{f}' AS term, CAST({f} AS DOUBLE) AS x FROM er" for i, f in enumerate(FEATURES, 1))
+    return f"""{R}, er AS (SELECT row_number() OVER (ORDER BY session, ticker) AS rid, * FROM records), xl AS ({long}),
+sd AS (SELECT fi, term, coalesce(avg(x), 0) AS m, CASE WHEN coalesce(stddev_pop(x), 0) < 1e-12 OR coalesce(var_pop(x), 0) < 1e-13 * (1 + pow(avg(x), 2)) THEN 1 ELSE stddev_pop(x) END AS s FROM xl GROUP BY 1, 2),
+zl AS (SELECT rid, actual, fi, coalesce((x - m) / s, 0) AS z FROM xl JOIN sd USING (fi)), my AS (SELECT avg(actual) AS b0, count(*)::DOUBLE AS n FROM er),
+gg AS (SELECT a.fi AS i, b.fi AS j, sum(a.z * b.z) AS v FROM zl a JOIN zl b USING (rid) GROUP BY 1, 2), gt AS (SELECT fi AS i, sum(z * (actual - b0)) AS v FROM zl, my GROUP BY 1),
+al AS (SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0])::DOUBLE AS alpha),
+mx0 AS (SELECT 0 AS set_no, alpha, list(r ORDER BY i) AS m FROM (SELECT alpha, gg.i, list_append(list(gg.v + CASE WHEN gg.i = gg.j THEN alpha * n ELSE 0 END ORDER BY gg.j), any_value(gt.v)) AS r
+  FROM gg JOIN gt ON gt.i = gg.i CROSS JOIN my CROSS JOIN al GROUP BY 1, 2) GROUP BY 2),{sql_elimination(len(FEATURES))}
+cf AS (SELECT alpha, unnest(range(1, len(m) + 1)) AS fi, unnest(list_transform(m, lambda r: r[len(r)])) AS c FROM mx{len(FEATURES)})
+SELECT alpha, 'intercept' AS term, round(b0, 5) AS coef, NULL::DOUBLE AS mean, NULL::DOUBLE AS std FROM my, al UNION ALL
+SELECT alpha, term, round(c, 5), round(m, 5), round(s, 5) FROM cf JOIN sd USING (fi)"""
+
+
 def sql_experiment() -> str:
     """Ridge for every feature set and penalty: moments on the training rows, Gauss-Jordan elimination on lists, one step per input."""
     number = {f: i for i, f in enumerate(FEATURES)}
     sets = ", ".join(f"({k}, '{name}', {[number[f] for f in fs]})" for k, (name, fs) in enumerate(models.FEATURE_SETS.items()) if fs)
     trivial = list(models.FEATURE_SETS).index(models.TRIVIAL_SET)
     long = " UNION ALL ".join(f"SELECT rid, part, actual, {i} AS fi, CAST({f} AS DOUBLE) AS x FROM er" for f, i in number.items())
-    steps = "".join(f"""
-mx{k} AS (SELECT set_no, alpha, CASE WHEN {k} > len(m) THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda x: x / r[{k}])
-  ELSE list_transform(r, lambda x, j: x - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) END AS m FROM mx{k - 1}),""" for k in range(1, len(FEATURES) + 1))
+    steps = sql_elimination(len(FEATURES))
     return f"""{R}, eo AS (SELECT * FROM records WHERE {" AND ".join(f"{b} IS NOT NULL" for b in THREE)}),
 ed AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS k, count(*) OVER () AS nd FROM (SELECT DISTINCT session FROM eo)),
 er AS (SELECT row_number() OVER (ORDER BY session, ticker) AS rid, eo.*, CASE WHEN k < floor(nd * 0.6) THEN 'train' WHEN k < floor(nd * (0.6 + 0.2)) THEN 'validation' ELSE 'test' END AS part FROM eo JOIN ed USING (session)),
@@ -451,15 +470,7 @@ SELECT horizon_type, rule, round(value, 4) AS value FROM o""",
     "gram_matrix": f"""{R}, long AS ({_UNPIVOT})
 SELECT a.feature AS feature_a, b.feature AS feature_b, count(a.x + b.x) AS both_present, round(coalesce(sum(a.x) FILTER (b.x IS NOT NULL), 0), 4) AS sum_a,
        round(coalesce(sum(a.x * b.x), 0), 3) AS sum_ab FROM long a JOIN long b USING (session, ticker) GROUP BY 1, 2""",
-    "ridge_fit": f"""{R}, src AS (SELECT relative_sentiment AS x1, previous_return AS x2, actual FROM records),
-m AS (SELECT coalesce(avg(x1), 0) AS m1, CASE WHEN coalesce(stddev_pop(x1), 0) < 1e-12 THEN 1 ELSE stddev_pop(x1) END AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(actual) AS my, count(*)::DOUBLE AS n FROM src),
-z AS (SELECT coalesce((x1 - m1) / s1, 0) AS z1, coalesce((x2 - m2) / s2, 0) AS z2, actual - my AS yc FROM src, m),
-g AS (SELECT sum(z1 * z1) AS g11, sum(z2 * z2) AS g22, sum(z1 * z2) AS g12, sum(z1 * yc) AS t1, sum(z2 * yc) AS t2 FROM z),
-f AS (SELECT a.alpha, m.*, (t1 * (g22 + alpha * n) - t2 * g12) / ((g11 + alpha * n) * (g22 + alpha * n) - g12 * g12) AS b1,
-             (t2 * (g11 + alpha * n) - t1 * g12) / ((g11 + alpha * n) * (g22 + alpha * n) - g12 * g12) AS b2
-      FROM g, m, (SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0])::DOUBLE AS alpha) a)
-SELECT alpha, 'intercept' AS term, round(my, 5) AS coef, NULL::DOUBLE AS mean, NULL::DOUBLE AS std FROM f UNION ALL
-SELECT alpha, 'relative_sentiment', round(b1, 5), round(m1, 5), round(s1, 5) FROM f UNION ALL SELECT alpha, 'previous_return', round(b2, 5), round(m2, 5), round(s2, 5) FROM f""",
+    "ridge_fit": sql_ridge_all(),
     "chronological_split": f"""WITH {SQL_ORDER_RECORDS} SELECT part, min(session) AS "start", max(session) AS "end", count(*) AS n, count(DISTINCT session) AS sessions
 FROM orows JOIN oparts USING (session) GROUP BY 1""",
     "alpha_selection": f"""WITH {SQL_ORDER_RECORDS}, s AS (SELECT {SUMS2} FROM orows JOIN oparts USING (session) WHERE part = 'train'), {sql_ridge2('fit', 's', '')}
