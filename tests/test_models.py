@@ -203,3 +203,29 @@ def test_outcome_classification(spark):
     assert {r["prediction_id"]: r["maturity"] for r in state.collect()} == {1: "scored", 2: "not_matured", 3: "missing_target_price", 4: "awaiting_price"}
     r = rows.first()
     assert (r["actual_movement"], r["error"], r["abs_error"], r["squared_error"], r["direction_correct"]) == (1.5, -0.5, 0.5, 0.25, True)
+
+
+def test_ranks_of_a_mostly_zero_feature(spark):
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = [("f", 0.0 if rng.random() < 0.9 else float(rng.randint(-3, 3)), rng.gauss(0, 1)) for _ in range(400)] + [("g", 1.0, float(i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "feature string, x double, y double")
+    ranks = metrics.value_ranks(df, "feature", "x")
+    got = metrics.with_rank(df, ranks, "x", "rx").toPandas()
+    want = pd.DataFrame(rows, columns=["feature", "x", "y"])
+    want["rx"] = want.groupby("feature")["x"].rank()
+    key = ["feature", "x", "y", "rx"]
+    assert got[key].sort_values(key).reset_index(drop=True).equals(want[key].sort_values(key).reset_index(drop=True))
+
+
+def test_parameters_flatten_as_rows(spark):
+    sets = spark.createDataFrame([("v", '{"a": {"x": 1.0, "b": {"c": "t"}, "source_reliability": {"m": 0.5}}, "n": null, "l": [1, 2]}')], "version string, params string")
+    got = {r["name"]: r["value"] for r in snapshots.flatten(sets).collect()}
+    assert got == {"a.x": "1.0", "a.b.c": '"t"', "a.source_reliability": '{"m":0.5}', "n": "null", "l": "[1,2]"}
+
+
+def test_a_search_needs_enough_dates(spark):
+    rows = spark.createDataFrame([(dt.date(2026, 1, d), 0.1) for d in range(1, 5)], "as_of_date date, actual double")
+    with pytest.raises(ValueError, match="dates to train"):
+        tuning.sweep(lambda news: rows, [{"news": {}, "model": {}}], spark)
