@@ -90,3 +90,23 @@ def test_micro_batches_resolve_like_one_batch(spark):
     leaders = first.where(F.col("news_id").isin([k for k, d in a.items() if d is None]))
     b = {r["news_id"]: r["duplicate_of"] for r in jobs.near_duplicates_in(lambda: leaders)(second).collect()}
     assert {**a, **b} == whole == {1: None, 2: 1, 3: None, 4: 3}
+
+
+def test_late_rows_are_labelled_and_counted(spark, tmp_path):
+    """Three deliveries through a stream: the totals hold every row, the label tells the late ones."""
+    at = lambda d, h=0: dt.datetime(2026, 1, d, h)
+    schema = "entity string, available_at timestamp_ntz, sentiment double"
+    deliveries = [[("A", at(1), 1.0), ("A", at(10), 2.0)], [("A", at(1, 5), 4.0), ("A", at(9), 8.0), ("B", at(12), 1.0)], [("B", at(11), 3.0), ("A", at(2), 5.0)]]
+    out = f"{tmp_path}/out"
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/source")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/source")
+        jobs.start(stream, jobs.labelled(out, "available_at", 48, jobs.daily_statistics), f"{tmp_path}/offsets").awaitTermination()
+    got = {(r["entity"], r["day"].day): (r["n"], r["n_late"], r["s"]) for r in jobs.totals(spark.read.parquet(out), "entity", "day").collect()}
+    assert got == {("A", 1): (2, 1, 5.0), ("A", 10): (1, 0, 2.0), ("A", 9): (1, 0, 8.0), ("B", 12): (1, 0, 1.0), ("B", 11): (1, 0, 3.0), ("A", 2): (1, 1, 5.0)}
+
+
+def test_one_url_over_several_batches(spark):
+    raw = spark.createDataFrame([(2, "h2"), (1, "h1"), (3, "h2"), (4, "h9")], "news_id long, url_hash string")
+    step = jobs.first_deliveries(lambda: spark.createDataFrame([("h9",)], "url_hash string"))
+    assert {(r["url_hash"], r["news_id"]) for r in step(raw).collect()} == {("h1", 1), ("h2", 2)}
