@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from tidemark.operators import entities, market, report, snapshots
 from tidemark.operators import universe as uni
 from tidemark.params import default_params
 from tidemark.plans import article_queries as aq
-from tidemark.session import local_frame
+from tidemark.session import ensure_checkpoint_dir, local_frame
+from tidemark.sources import bars, feeds
 from tidemark.sources import bench_views as v
-from tidemark.sources import feeds
 
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _LO, _HI = "2024-01-05 00:00:00", "2024-01-20 03:45:00"
@@ -85,6 +87,27 @@ def first_seen_urls(spark, sf_dir):
     return feeds.first_seen(p, "page_id")
 
 
+def bars_ingest(spark, sf_dir):
+    """Bars delivered as CSV files, read with their schema; those without a positive close are dropped."""
+    o = v.table(spark, sf_dir, "orders")
+    prices = o.groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("date")).agg(
+        F.min("o_orderkey").cast("double").alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("close"),
+        F.count("*").cast("double").alias("volume"))
+    folder = f"{ensure_checkpoint_dir(spark)}/bars-{uuid.uuid4().hex}"
+    prices.withColumn("close", F.when(F.dayofmonth("date") % 7 == 0, 0.0).otherwise(F.col("close"))).write.option("header", "true").csv(folder)
+    return market.validate_bars(bars.read_bars(spark, folder, "csv")).groupBy("ticker").agg(
+        F.count("*").alias("bars"), F.sum("volume").cast("bigint").alias("volume"), F.min("date").alias("first_date"), F.max("high").alias("high"))
+
+
+def bars_stored(spark, sf_dir):
+    """Two deliveries stored by year, the later one replacing what it brings anew."""
+    base = v.order_bars(spark, sf_dir).select("ticker", "date", F.round("close", 4).alias("close"))
+    folder = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    bars.store_bars(base.withColumn("fetched_at", _ntz("2024-01-01 00:00:00")), folder)
+    bars.store_bars(base.where("year(date) = 1997 AND day(date) < 10").withColumn("close", F.lit(1.5)).withColumn("fetched_at", _ntz("2024-02-01 00:00:00")), folder)
+    return spark.read.parquet(folder).groupBy("ticker", F.col("year").cast("bigint").alias("year")).agg(F.count("*").alias("bars"), F.count_if(F.col("close") == 1.5).alias("replaced"))
+
+
 def closes_range(spark, sf_dir):
     """I15."""
     return market.closes(v.order_bars(spark, sf_dir), ["1-URGENT", "3-MEDIUM"], "1996-02-01", "1997-01-31").select("ticker", "date", F.round("close", 6).alias("close"))
@@ -98,8 +121,8 @@ def replay_price_window(spark, sf_dir):
 
 def new_bars(spark, sf_dir):
     """Bars of a delivery that are not stored yet."""
-    bars = v.order_bars(spark, sf_dir)
-    return market.new_bar_count(bars.where("day(date) % 3 = 0"), bars.where("day(date) % 2 = 0"))
+    held = v.order_bars(spark, sf_dir)
+    return market.new_bar_count(held.where("day(date) % 3 = 0"), held.where("day(date) % 2 = 0"))
 
 
 def reannotated(spark, sf_dir):
@@ -121,8 +144,7 @@ def window_quality_items(spark, sf_dir):
     """Analyses and price reports behind a window, sessions, missing bars and the coverage ratio."""
     q = art.item_quality(v.items(spark, sf_dir), _ntz(_LO), _ntz(_HI))
     cal = aq.stream_calendar(spark, sf_dir)
-    bars = v.stream_bars(spark, sf_dir)
-    held = market.sessions_held(bars, cal, "2024-01-05", "2024-01-20")
+    held = market.sessions_held(v.stream_bars(spark, sf_dir), cal, "2024-01-05", "2024-01-20")
     return q.join(F.broadcast(held))
 
 
@@ -224,7 +246,7 @@ def parameter_fingerprint(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_feed_items, publisher_feed_items, json_feed_items, query_list, first_seen_urls, closes_range, replay_price_window, new_bars, reannotated, provider_audit,
+    bars_ingest, bars_stored, search_feed_items, publisher_feed_items, json_feed_items, query_list, first_seen_urls, closes_range, replay_price_window, new_bars, reannotated, provider_audit,
     window_quality_items, pending_analysis, event_strengths, engine_scores, article_analysis, confirmed_members, universe_history, seeded_versions, catalog_upsert,
     mirrored_weights, newest_runs, failure_titles, parameter_fingerprint)}
 
@@ -240,6 +262,9 @@ _VERSIONS = """ver AS (SELECT 'r' || n_regionkey AS version, n_name AS ticker, n
   CASE WHEN n_regionkey % 2 = 0 THEN 'confirmed' ELSE 'requires_confirmation' END AS status FROM nation)"""
 
 ORACLES = {
+    "bars_ingest": """WITH b AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS high, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT ticker, count(*) AS bars, CAST(sum(n) AS BIGINT) AS volume, min(date) AS first_date, max(high) AS high FROM b WHERE day(date) % 7 <> 0 GROUP BY 1""",
+    "bars_stored": f"""WITH {v.SQL_ORDER_BARS} SELECT ticker, year(date) AS year, count(*) AS bars, count(*) FILTER (year(date) = 1997 AND day(date) < 10) AS replaced FROM bars GROUP BY 1, 2""",
     "search_feed_items": f"""WITH {_ITEM} SELECT CASE WHEN s = '' THEN 'unknown' ELSE s END AS source, CASE WHEN s = '' AND event_id % 2 = 0 THEN t || ' -' ELSE t END AS title,
   'http://x.example/' || event_id AS url, strftime(u, '%Y-%m-%d %H:%M:%S.%f') AS published_at, CAST(NULL AS VARCHAR) AS summary, coalesce(g, '') AS provider_article_id, raw AS published_raw, {_ZONE}, {_MARKED} AS timestamp_precision
 FROM i WHERE u IS NULL OR u BETWEEN TIMESTAMP '{_LO}' AND TIMESTAMP '{_HI}'""",
