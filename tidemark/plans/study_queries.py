@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import market, metrics, models, replay, report, tuning
+from tidemark.operators import market, metrics, models, replay, report, snapshots, tuning
 from tidemark.operators.calendar import Calendar
 from tidemark.operators.predict import FEATURES
 from tidemark.params import MODEL_PARAMS, SEARCH_SPACE
 from tidemark.plans import news_queries as nq
-from tidemark.session import cut_lineage, local_frame
+from tidemark.session import cut_lineage, ensure_checkpoint_dir, local_frame
 from tidemark.sources import bench_views as v
 
 _STORED: dict[tuple, DataFrame] = {}
@@ -116,6 +119,20 @@ def contribution_summary(spark, sf_dir):
     return report.contribution_summary(records(spark, sf_dir), "horizon_type")
 
 
+def stored_runs(spark, sf_dir):
+    """Two replays kept under their run ids; a run that is stored can't be written again."""
+    rows = records(spark, sf_dir).select("session", "ticker", "predicted", "actual")
+    folder = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    snapshots.append_run(rows.where("ticker <> 'view'"), folder, "bt-1")
+    snapshots.append_run(rows.where("day(session) < 20"), folder, "bt-2")
+    try:
+        snapshots.append_run(rows, folder, "bt-1")
+        again = True
+    except AnalysisException:
+        again = False
+    return spark.read.parquet(folder).groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("predicted"), 3).alias("predicted_sum")).withColumn("rewritten", F.lit(again))
+
+
 def company_summary(spark, sf_dir):
     """R2."""
     return report.company_summary(records(spark, sf_dir)).select(
@@ -232,7 +249,7 @@ def param_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     core_metrics, metrics_grouping_sets, direction_distribution, confusion_matrix, baseline_comparison, feature_analysis, paired_test, metric_objectives,
-    classifier_scores, contribution_summary, company_summary, failure_cases, report_observations, evaluation_report, gram_matrix, ridge_fit,
+    stored_runs, classifier_scores, contribution_summary, company_summary, failure_cases, report_observations, evaluation_report, gram_matrix, ridge_fit,
     chronological_split, alpha_selection, walk_forward, logistic_fit, experiment_scores, experiment_tests, recommendation, param_sweep, param_search)}
 
 
@@ -444,6 +461,8 @@ WITH x AS (SELECT d.source, l.quality AS y, 0.2::DOUBLE + 0.6::DOUBLE * least(1.
 SELECT source, count(*) AS n, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS log_loss, round(avg(pow(p - y, 2)), 6) AS brier,
        round(avg(pow(0.7::DOUBLE - y, 2)), 6) AS brier_base_rate, round(count(*) FILTER ((p >= 0.5) = (y = 1)) / count(*), 4) AS accuracy,
        round(count(*) FILTER (y = 1) / count(*), 4) AS majority_accuracy, round(count(*) FILTER (p >= 0.5) / count(*), 4) AS share_predicted_up FROM x GROUP BY 1""",
+    "stored_runs": f"""{R} SELECT 'bt-1' AS run_id, count(*) AS n, round(sum(predicted), 3) AS predicted_sum, FALSE AS rewritten FROM records WHERE ticker <> 'view'
+UNION ALL SELECT 'bt-2', count(*), round(sum(predicted), 3), FALSE FROM records WHERE day(session) < 20""",
     "contribution_summary": f"""{R}, l AS (""" + " UNION ALL ".join(f"SELECT horizon_type, '{c}' AS component, c_{c} AS value FROM records" for c in ("company_sentiment", "macro_sentiment", "index_sentiment", "drift")) +
     """) SELECT horizon_type, component, round(avg(value), 5) AS mean, round(count(*) FILTER (value > 0) / count(*), 4) AS share_positive,
        round(count(*) FILTER (value < 0) / count(*), 4) AS share_negative, count(*) AS n FROM l GROUP BY 1, 2""",
