@@ -103,6 +103,99 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, elements: Callable[[str],
     return both.where(common >= F.lit(similarity) * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
 
 
+#: Members of a key whose sets a task holds at once, and members that are held against them there.
+HELD, STREAMED = 128, 8192
+
+
+def cross_links(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(u, v) of verified pairs from rows (key, block, part, side, rep, root, s) sorted by the first four.
+
+    Side 0 of a block is held (and in part 0 compared with itself), side 1 streams past it. Only members of different components are
+    compared, and what a task has linked before counts as one component, so links follow the number of members, not of pairs.
+    """
+    place, reps, roots, sets, index, chief = None, [], [], [], None, {}
+
+    def find(x: int) -> int:
+        while (y := chief.get(x, x)) != x:
+            chief[x] = chief.get(y, y)
+            x = y
+        return x
+
+    def against(rep: int, root: int, s: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Links of a member to the first ``n`` held ones."""
+        nonlocal index
+        mine = find(root)
+        others = [i for i in range(n) if find(roots[i]) != mine]
+        if len(others) > 8:
+            if index is None:
+                elements = np.concatenate(sets)
+                order = np.argsort(elements, kind="stable")
+                index = elements[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+            first, last = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
+            counts = last - first
+            at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            common = np.bincount(index[1][at], minlength=len(sets))
+        else:
+            common = {i: len(np.intersect1d(sets[i], s, assume_unique=True)) for i in others}
+        for i in others:
+            if common[i] >= similarity * (len(sets[i]) + len(s) - common[i]) and find(roots[i]) != find(root):
+                chief[find(roots[i])] = find(root)
+                yield rep, reps[i]
+
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for k, (key, block, part, side, rep, root) in enumerate(zip(*columns)):
+            s = batch.column(6)[k].values.to_numpy().view(np.uint64)
+            if (key, block, part) != place:
+                place, reps, roots, sets, index, chief = (key, block, part), [], [], [], None, {}
+            if side or part == 0:
+                out += against(rep, root, s, len(sets))
+            if not side:
+                reps.append(rep)
+                roots.append(root)
+                sets.append(s)
+                index = None
+        yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in out], pa.int64()), pa.array([min(x) for x in out], pa.int64())], names=["u", "v"])
+
+
+def linked_by_keys(texts: DataFrame, reps: DataFrame, elements: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
+    """(u, v), u > v: verified links whose components are those of *all* pairs of ``reps`` (rep, keys) that share a key.
+
+    First every text is held against the first and the previous one of each key, which contracts crowds of near copies. A key whose
+    members are in several components after that has all its pairs between components compared: its largest component streams past
+    the others, these are held in blocks, and the members of a crowded key are dealt over blocks and parts. ``texts``: doc_id, text.
+    """
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = reps.select(F.explode("keys").alias("key"), "rep").repartition(tasks, "key").sortWithinPartitions("key", "rep")
+    pairs = postings.mapInArrow(first_and_previous, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    links = cut_lineage(verified_pairs(texts, cut_lineage(pairs.distinct()), elements, similarity))
+    roots = connected_components(links)
+    members = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.explode("keys").alias("key"), "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    several = sizes.where("roots > 1").select(
+        F.col("key").alias("k"), F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / HELD).cast("int").alias("blocks"),
+        F.ceil(F.col("n") / STREAMED).cast("int").alias("parts"))
+    mixed = cut_lineage(members.join(several, F.col("key") == F.col("k")).select(
+        "key", "rep", "root", "blocks", "parts", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("own")))
+
+    def sets(batches):
+        for part in slices(batches):
+            values = [elements(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], names=["id", "s"])
+
+    wanted = texts.join(dimension(cut_lineage(mixed.select(F.col("rep").alias("id")).distinct())), F.col("doc_id") == F.col("id"), "left_semi")
+    s = cut_lineage(wanted.mapInArrow(sets, "id long, s array<long>"))
+    held = mixed.where("own is not null").select("key", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "rep", "root")
+    past = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int").alias("part"),
+                        F.lit(1).alias("side"), "rep", "root", "own").where("own is null or own > block").drop("own")
+    dealt = held.union(past).join(s, F.col("rep") == F.col("id")).select("key", "block", "part", "side", "rep", "root", "s")
+    more = dealt.repartition(tasks, "key", "block", "part").sortWithinPartitions("key", "block", "part", "side").mapInArrow(
+        lambda batches: cross_links(batches, similarity), "u long, v long")
+    return links.union(cut_lineage(more.distinct()))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file, as installed on every node."""
     import public_tokenizers

@@ -6,9 +6,9 @@ here are the 28 ways of choosing six positions with their bytes; a common postin
 posting differ in two known bytes only, hence a list has at most 65,536 different fingerprints at any corpus size. Verified
 members are linked to one of their group instead of pairwise, so a crowd of near copies stays linear.
 
-``similar_pairs`` uses the same index further out, for texts whose five-word shingle sets resemble each other by 0.8 or more: several
-64-bit SimHashes differ then in about ten bits each, so most pairs still share three of some hash's eight bytes. Postings of three
-bytes find them, the tally of differing bits filters, and the exact similarity of the shingle sets decides.
+``similar_pairs`` reaches further out, to texts whose five-word shingle sets resemble each other by 0.8 or more. Their SimHashes differ in
+about ten bits, beyond any guarantee of shared bytes, so it finds them by the MinHash bands of ``minhash`` (a pair at 0.8 shares one with
+probability over 0.9999) and the exact similarity of the shingle sets decides.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, id_and_text, slices, verified_pairs
+from tidemark.llm.common import connected_components, id_and_text, linked_by_keys, slices
+from tidemark.llm.minhash import bands, signature
 from tidemark.session import cut_lineage
 
 SEED = 42
@@ -31,13 +32,8 @@ _CHUNK = 1 << 16
 _PAIRS = list(combinations(range(8), 2))
 SHINGLE = 5
 SIMILARITY = 0.8
-#: SimHashes that postings are made of; the first two are compared bit by bit. More find more pairs near the threshold, but give every
-#: member of a crowd of near copies more links to verify.
-HASHES = 2
-_TRIPLES = list(combinations(range(8), 3))
 #: Differing bits of the 128 of two hashes, four standard deviations above what sets at 0.8 have.
 _FAR = 36
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -158,36 +154,10 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
 
 
-def _hashes(values: np.ndarray) -> list[int]:
-    """SimHashes of a set of shingle hashes, each over the hashes of the one before mixed once more."""
-    out = []
-    for _ in range(HASHES):
-        ones = np.zeros(64, np.int64)
-        for start in range(0, len(values), _CHUNK):
-            part = values[start : start + _CHUNK].astype("<u8")
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(_signed(int.from_bytes(np.packbits(ones * 2 > len(values), bitorder="little").tobytes(), "little")))
-        values = values * _MIX
-        values = (values ^ (values >> np.uint64(32))) * _MIX
-    return out
-
-
-def _postings(batches):
-    """Three bytes of every hash with their positions, packed into one number, for every text; and the hashes that are compared."""
-    for part in slices(batches, 2048):
-        rep, *hashes = (part.column(i).to_numpy() for i in range(1 + HASHES))
-        keys = []
-        for h, fp in enumerate(hashes):
-            byte = fp.astype("<i8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-            keys += [((h * len(_TRIPLES) + k) << 24) | byte[:, x] << 16 | byte[:, y] << 8 | byte[:, z] for k, (x, y, z) in enumerate(_TRIPLES)]
-        n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys, axis=1).ravel()), *(pa.array(np.repeat(c, n)) for c in (rep, *hashes[:2]))], names=["key", "rep", "a", "b"])
-
-
 def _neighbours(batches):
     """Of rows sorted by posting: every text with the first and the previous one of its posting, if few bits differ.
 
-    Nothing of a posting is held but two rows, however many texts it has.
+    Nothing of a posting is held but two rows, however many texts it has. ``similar_pairs`` does not use it any more.
     """
     held = None  # key, and (rep, a, b) of the posting's first row and of the last row
     for batch in batches:
@@ -217,34 +187,26 @@ def _neighbours(batches):
 def similar_pairs(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(u, v), u > v: links between documents whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Equal texts are represented by their smallest doc_id; texts without one, or without words, are left out. Within a posting a text
-    is held against the first and the previous one, not against all, so a crowd of near copies gets a number of links that follows its
-    size. Every link is verified; a pair is missed if no posting brings it together (about two in five at 0.8, one in twelve at 0.9).
+    Equal texts are represented by their smallest doc_id; texts without one, or without words, are left out. Every link is verified, and
+    every such pair that shares a signature band is connected by links; a pair is missed if it shares none (three in 100,000 at 0.8).
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    names = [f"h{k}" for k in range(HASHES)]
-
-    def hashes(batches):
+    def keyed(batches):
         for part in slices(batches):
             rows = []
             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 values = shingle_set(t, shingle)
                 if d is not None and len(values):
-                    rows.append((d, *_hashes(values), xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "replace").lower().split()))))
-            columns = list(zip(*rows)) or [[]] * (2 + HASHES)
-            kinds = [pa.int64()] * (1 + HASHES) + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", *names, "digest"])
+                    digest = xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "replace").lower().split()))
+                    rows.append((d, digest, bands(signature(values))))
+            columns = list(zip(*rows)) or [[]] * 3
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "digest", "keys"])
 
     texts = id_and_text(docs, id_col, text_col)
-    hashed = texts.mapInArrow(hashes, f"doc_id long, {' long, '.join(names)} long, digest binary")
-    reps = hashed.groupBy("digest").agg(F.min("doc_id").alias("rep"), *(F.min(n).alias(n) for n in names))
-    postings = reps.select("rep", *names).repartition(tasks).mapInArrow(_postings, "key long, rep long, a long, b long")
-    near = postings.repartition(tasks, "key").sortWithinPartitions("key", "rep").mapInArrow(_neighbours, "u long, v long")
-    pairs = cut_lineage(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    return verified_pairs(texts, pairs, lambda t: shingle_set(t, shingle), similarity)
+    hashed = texts.mapInArrow(keyed, "doc_id long, digest binary, keys array<long>")
+    reps = hashed.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
+    return linked_by_keys(texts, cut_lineage(reps), lambda t: shingle_set(t, shingle), similarity)
 
 
 def duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
