@@ -83,6 +83,30 @@ def test_planted_and_edited_passages(spark):
     assert left == sorted([d for d in range(150) if d % 5] + [900, 901] , key=str)
 
 
+def test_edited_copies_in_hundreds_of_documents(spark):
+    rnd = random.Random(5)
+    items = [words(rnd, rnd.randint(15, 59)) for _ in range(12)]
+    copies = []
+    for item in items:  # one version of each, a tenth of its words changed, that all its documents have
+        at = set(rnd.sample(range(len(item)), round(len(item) / 10)))
+        copies.append([f"changed{k}" if k in at else w for k, w in enumerate(item)])
+    rows = [(400 * k + d, " ".join(words(rnd, 20) + copies[k] + words(rnd, 20))) for k in range(12) for d in range(300)] + [(9000, " ".join(words(rnd, 80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w), 1, "x") for k, w in enumerate(items)], ITEMS)
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()} == {(400 * k + d, k) for k in range(12) for d in range(300)}
+    assert [r.doc_id for r in dc.without_leaks(docs, bench).collect()] == [9000]
+
+
+def test_seeds_in_every_stretch():
+    rnd = random.Random(6)
+    phrase = [1, 2, 3, 4, 5]
+    items = [(k, " ".join(f"w{x}" for x in [*phrase, *(rnd.randint(100, 10**6) for _ in range(12))])) for k in range(6)]
+    block = dc.Block.of([*items, (99, items[0][1])])
+    df = {int(c.view(np.int64)): n for c, n in zip(block.codes, [900, 800, 900] + [0] * 12)}
+    codes, owner, place = block.rare(df)
+    assert {(o, p) for o, p in zip(owner.tolist(), place.tolist())} == {(o, p) for o in range(7) for p in range(15) if p not in (0, 2)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     _, _, planted, docs, bench = case(spark)
     monkeypatch.setattr(dc, "BLOCK_CHARS", 900)

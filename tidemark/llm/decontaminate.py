@@ -2,9 +2,11 @@
 
 The test items are the stated query set: they are read in blocks of bounded size, and every block meets every document in two
 narrow scans without a shuffle of text. The first counts in how many documents each n-gram of an item occurs; the second looks
-for the n-grams that are rare by the item's own measure - up to ``RARE`` times the lower quartile of its counts - and aligns the
-surroundings of every hit with the item, word by word. Stock phrases that an item quotes therefore start no alignment, while an
-item that leaked often, and so made all its n-grams frequent, keeps all its seeds.
+for the seeds and aligns the surroundings of every hit with the item, word by word. Seeds are the n-grams that few documents have by the
+item's own measure - up to ``RARE`` times the lower quartile of its counts -, those that few different items have, and the rarer one of
+any two that follow each other. The last two don't depend on how often an item leaked: edited copies make the n-grams that they hold
+frequent and leave those that they break rare, and must be found by the former. A stock phrase starts few alignments, since the words that
+a place has in common with the item bound its score, and only where the bound suffices it is aligned.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tidemark.llm.common import id_and_text, slices
 
 SEED_WORDS = 3
 RARE = 8
+#: An n-gram that at most so many different items have is a seed however many documents have it.
+FEW_ITEMS = 4
 #: Items with fewer words identify nothing and never match.
 MIN_ITEM_WORDS = 5
 #: Alignment score over the score of a perfect copy, from which a passage counts as a leak of the item.
@@ -88,12 +92,24 @@ class Block:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def rare(self, documents: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, owner, place) of the seeds, sorted by code: per item the n-grams that are rare for it."""
+        """(codes, owner, place) of the seeds, sorted by code: per item the n-grams that are rare for it.
+
+        Whatever the counts, any two n-grams in a row have a seed among them, so that a copy with ``SEED_WORDS + 1`` words in a row is found.
+        """
         df = np.array([documents.get(int(c.view(np.int64)), 0) for c in self.codes], np.int64)
-        keep = np.zeros(len(df), bool)
-        for i in range(len(self.items)):
-            mine = np.flatnonzero(self.owner == i) if len(self.items) < 64 else np.arange(*np.searchsorted(self.owner, [i, i + 1]))
-            keep[mine] = df[mine] <= RARE * (1 + np.quantile(df[mine], 0.25))
+        different: dict[bytes, int] = {}  # equal items count as one
+        same = np.array([different.setdefault(x.tobytes(), k) for k, (_, x) in enumerate(self.items)], np.int64)
+        _, code = np.unique(self.codes, return_inverse=True)
+        pairs = np.unique(np.stack([code, same[self.owner]], axis=1), axis=0)
+        keep = np.bincount(pairs[:, 0])[code] <= FEW_ITEMS
+        bounds = np.searchsorted(self.owner, np.arange(len(self.items) + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            mine = df[a:b]
+            if not len(mine):
+                continue
+            keep[a:b] |= mine <= RARE * (1 + np.quantile(mine, 0.25))
+            keep[a : b - 1] |= mine[:-1] <= mine[1:]
+            keep[a + 1 : b] |= mine[1:] <= mine[:-1]
         order = np.argsort(self.codes[keep], kind="stable")
         return self.codes[keep][order], self.owner[keep][order], self.place[keep][order]
 
@@ -122,6 +138,11 @@ def _present(codes: np.ndarray, sorted_codes: np.ndarray) -> np.ndarray:
     return some[sorted_codes[at] == codes[some]]
 
 
+def _shared(item: np.ndarray, window: np.ndarray) -> int:
+    """Most words of the item that an alignment can match in the window."""
+    return int(np.isin(item, window, kind="sort").sum())
+
+
 def find(block: Block, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], text: str, min_score: float = MIN_SCORE) -> list[tuple]:
     """(item_id, score, start, end) of the places of a text that copy an item; offsets are code points."""
     words = _WORD.findall(text.lower())
@@ -145,6 +166,8 @@ def find(block: Block, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], text: s
         item_id, own = block.items[item[a]]
         slack = max(8, len(own) // 2)
         low, high = max(0, int(start[a]) - slack), min(len(words), int(start[b - 1]) + len(own) + slack)
+        if MATCH * _shared(own, numbers[low:high]) < min_score * MATCH * len(own):
+            continue
         score, x, y = align(own, numbers[low:high])
         if score >= min_score * MATCH * len(own):
             if offsets is None:
