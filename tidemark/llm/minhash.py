@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, first_and_previous, id_and_text, slices, verified_pairs
+from tidemark.llm.common import connected_components, id_and_text, linked_by_keys, slices
 from tidemark.session import cut_lineage, dimension
 
 SHINGLE = 5
@@ -93,11 +93,10 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY, id_col
     """(doc_id, class_id): the documents that are not their class's smallest doc_id.
 
     Classes are linked by pairs that share a signature band and whose shingle sets have a Jaccard similarity of at least
-    ``similarity``. Equal texts are one text with its smallest doc_id. Within a band's key a text is held against the first and the previous one,
-    so a crowd of near copies gets links in proportion to its size. Empty texts form a class of their own; null ids are left out.
+    ``similarity``; every such pair is in one class. Equal texts are one text with its smallest doc_id. Within a band's key a text is held against
+    the first and the previous one, so a crowd of near copies gets links in proportion to its size, and then against all that are not in its
+    class by these links (``linked_by_keys``). Empty texts form a class of their own; null ids are left out.
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches):
         for part in slices(batches):
@@ -112,10 +111,7 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY, id_col
     texts = id_and_text(docs, id_col, text_col)
     rows = cut_lineage(texts.mapInArrow(keyed, "doc_id long, digest binary, keys array<long>"))
     reps = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
-    postings = reps.select(F.explode("keys").alias("key"), "rep").repartition(tasks, "key").sortWithinPartitions("key", "rep")
-    pairs = postings.mapInArrow(first_and_previous, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    links = verified_pairs(texts, cut_lineage(pairs.distinct()), shingles, similarity)
-    roots = connected_components(links)
+    roots = connected_components(linked_by_keys(texts, reps, shingles, similarity))
     named = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest")
     classes = named.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     return classes.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
