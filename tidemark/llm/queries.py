@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_extract, language, licenses, minhash, packing, quality, simhash, substring_dedup, wordpiece
+from tidemark.llm import decontaminate, html_extract, language, licenses, minhash, packing, periodic, quality, simhash, substring_dedup, wordpiece
 from tidemark.llm.common import table, vocabulary
 
 
@@ -50,6 +50,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
