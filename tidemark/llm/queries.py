@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_extract, language, licenses, minhash, packing, periodic, quality, simhash, substring_dedup, wordpiece
+from tidemark.llm import decontaminate, html_extract, language, licenses, minhash, packing, periodic, quality, simhash, substring_dedup, toxicity, wordpiece
 from tidemark.llm.common import table, vocabulary
 
 
@@ -54,6 +54,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
