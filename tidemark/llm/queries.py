@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_extract, language, licenses, minhash, packing, periodic, quality, simhash, substring_dedup, toxicity, wordpiece
+from tidemark.llm import decontaminate, hard_negatives, html_extract, language, licenses, minhash, packing, periodic, quality, simhash, substring_dedup, toxicity, wordpiece
 from tidemark.llm.common import table, vocabulary
 
 
@@ -58,6 +58,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -71,6 +75,7 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_toxicity": op12_toxicity,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op5_license_scan": licenses.scan_sql()}
+ORACLES: dict[str, str] = {"op5_license_scan": licenses.scan_sql(), "op13_hard_negatives": hard_negatives.report_sql()}
