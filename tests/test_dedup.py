@@ -68,14 +68,51 @@ def test_keep_first(spark):
     assert {r["news_id"] for r in keep_first(df, stored=stored).collect()} == {1}
 
 
-@pytest.mark.parametrize("days", [20, 200])
-def test_rounds_do_not_follow_the_calendar(spark, monkeypatch, days):
+@pytest.mark.parametrize("seed", [4, 5])
+def test_large_components_in_slices(spark, monkeypatch, seed):
     from tidemark.operators import dedup
 
-    rounds = []
-    settle = dedup._settle
-    monkeypatch.setattr(dedup, "_settle", lambda *a: rounds.append(1) or settle(*a))
-    rows = [(i, "Closing bell markets end the day little changed", START + dt.timedelta(hours=24 * i)) for i in range(days)]
-    rows += [(1000 + i, f"Unrelated story number {i} about something else", START + dt.timedelta(hours=24 * i)) for i in range(5)]
-    assert resolve(spark, rows) == sequential(rows)
-    assert len(rounds) <= 2
+    monkeypatch.setattr(dedup, "CUTS", 8)
+    rng = random.Random(seed)
+    vocab = [f"t{i}" for i in range(12)]
+    rows = [(i * 7 + rng.randint(0, 6), " ".join(rng.sample(vocab, 10)), START + dt.timedelta(hours=2 * i + rng.randint(-60, 60))) for i in range(160)]
+    assert resolve(spark, rows, slice_rows=25, pair_budget=rng.choice([3, 64])) == sequential(rows)
+
+
+def chained(days, a_day):
+    """A daily report whose headline changes by a number, several a day."""
+    return [(a_day * d + k, f"Closing bell markets end the day little changed number {a_day * d + k}", START + dt.timedelta(hours=24 * d + k)) for d in range(days) for k in range(a_day)]
+
+
+@pytest.mark.parametrize("a_day", [1, 40])
+def test_rounds_do_not_follow_the_calendar(spark, monkeypatch, a_day):
+    """As many passes on 200 days as on 20, also when every bucket is crowded; contraction takes a logarithm of rounds."""
+    from tidemark.operators import dedup
+
+    counts = []
+    for days in (20, 200):
+        passes, cuts = [], []
+        with monkeypatch.context() as m:
+            resolve_, cut = dedup._resolve, dedup.cut_lineage
+            m.setattr(dedup, "_resolve", lambda *a: passes.append(1) or resolve_(*a))
+            m.setattr("tidemark.operators.graph.cut_lineage", lambda df: cuts.append(1) or cut(df))
+            rows = chained(days, a_day) + [(100_000 + i, f"Unrelated story {i} about something else", START + dt.timedelta(hours=24 * i)) for i in range(5)]
+            got = resolve(spark, rows)
+            if a_day == 1 or days == 20:
+                assert got == sequential(rows)
+        counts.append((len(passes), len(cuts)))
+    assert counts[0][0] == counts[1][0] == 1
+    assert counts[1][1] <= counts[0][1] + 3 * 4
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    from tidemark.operators.graph import components
+
+    rng = random.Random(2)
+    names = rng.sample(range(-(10**9), 10**9), 500)
+    pairs = [(names[i], names[i + 1]) for i in range(150)] + [(names[200], names[i]) for i in range(201, 300)] + [(names[300 + i], names[300 + (i + 1) % 40]) for i in range(40)]
+    pairs += [(names[400], names[400]), (names[401], names[402]), (names[402], names[401])]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    for group in ([names[i] for i in range(151)], names[200:300], names[300:340], [names[400]], names[401:403]):
+        assert {got.pop(x) for x in group} <= set(group)
+    assert not got

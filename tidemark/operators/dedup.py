@@ -7,11 +7,12 @@ without comparing all pairs and without collecting a group:
 * identical token sets published at one instant act as one row; identical token sets inside one window-long bucket form
   a *cell*, whose rows all resemble each other, so a cell has at most one leader;
 * cells meet through signatures (pairs of rare tokens from an extended prefix, plus the whole set), which no similar
-  pair can miss; pairs are verified on the token sets;
-* while some signature is shared by so many cells that comparing them pairwise would be quadratic (a flood of near
-  copies), leaders are decided from per-signature minima alone and remove their look-alikes in linear passes;
-* a token set that resembles no other one in its neighbourhood is settled in one streaming pass over its own rows in arrival
-  order, so a headline that comes back every day takes no rounds: those follow conflicts between different sets only.
+  pair can miss; pairs are verified on the token sets. Where a signature is crowded (a flood of near copies), its cells are
+  tied to one hub instead of being compared pairwise;
+* the components of that graph are independent of each other. Each is resolved in one pass in arrival order, in which a row meets the
+  leaders so far through their signatures. The number of Spark rounds follows the logarithm of the longest chain of conflicts (contraction), not
+  the calendar. Components with very many rows go through in slices of the arrival order that carry their leaders over;
+* a token set that meets no other one is its own component and needs no contraction.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.titles import jaccard, title_tokens
 from tidemark.functions.urls import url_hash
+from tidemark.operators.graph import components
 from tidemark.session import cut_lineage
 
-#: Cells behind one signature above which comparing them pairwise is put off.
+#: Cells behind one signature (in a bucket and the two next to it) above which they are tied to a hub instead of being compared.
 PAIR_BUDGET = 64
+#: Rows of one component that a pass takes, and the parts by which a larger component's arrival order is cut.
+SLICE_ROWS, CUTS = 500_000, 1024
 
 
 def exact_duplicates(articles: DataFrame, url: str = "url", seq: str = "news_id", stored: DataFrame | None = None) -> DataFrame:
@@ -100,63 +104,110 @@ def _meet(left: DataFrame, right: DataFrame, sigs: DataFrame, threshold: float)
     return met.where(_similar("fp", "o_fp", threshold))
 
 
-def _crowd(cells: DataFrame, sigs: DataFrame) -> int:
-    """Most cells that share one signature in one bucket."""
-    groups = cells.join(sigs, "fp").groupBy("key", "bucket").agg(F.count("*").alias("n"))
-    return groups.agg(F.max("n")).first()[0] or 0
+def _linked(cells: DataFrame, sigs: DataFrame, threshold: float, pair_budget: float) -> DataFrame:
+    """Edges (fp, bucket, o_fp, o_bucket, u, v) that connect all cells whose rows may depend on each other.
 
-
-def _alone(rows: DataFrame, window: int) -> DataFrame:
-    """Leaders (fp, bucket, seq, published_at) of token sets that meet no other set: one pass per set in arrival order.
-
-    A task keeps the leaders' times of the set it is at: at most one per window of the calendar.
+    Verified pairs where a signature has few cells. The cells of a crowded one are tied to its hub unverified: that joins more than
+    has to be, which costs parallelism only.
+    """
+    entries = cut_lineage(cells.join(sigs, "fp"))
+    around = entries.select("key", _near_buckets(F.col("bucket")).alias("bucket")).groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    crowded = cut_lineage(around.where(F.col("n") > pair_budget).select("key", "bucket"))
+    quiet = entries.join(crowded, ["key", "bucket"], "left_anti")
+    left = quiet.select("fp", "bucket", "key", _near_buckets(F.col("bucket")).alias("_at"))
+    right = quiet.select(F.col("fp").alias("o_fp"), F.col("bucket").alias("o_bucket"), "key")
+    met = left.join(right, (left["key"] == right["key"]) & (left["_at"] == right["o_bucket"])).select("fp", "bucket", "o_fp", "o_bucket").distinct()
+    pairs = met.where(_similar("fp", "o_fp", threshold)).withColumns({"u": F.xxhash64("fp", "bucket"), "v": F.xxhash64("o_fp", "o_bucket")})
+    reach = entries.select("fp", "bucket", "key", _near_buckets(F.col("bucket")).alias("_at"))
+    hubs = reach.join(crowded.withColumnRenamed("bucket", "_at"), ["key", "_at"]).select(
+        "fp", "bucket", F.lit(None).cast("string").alias("o_fp"), F.col("_at").alias("o_bucket"), F.xxhash64("fp", "bucket").alias("u"), F.xxhash64(F.lit("hub"), "key", "_at").alias("v"))
+    return pairs.unionByName(hubs)
+
+
+def _resolve(rows: DataFrame, window: int, threshold: float) -> DataFrame:
+    """Leaders (root, fp, bucket, seq, published_at) of rows (root, fp, bucket, seq, published_at, keys, led): one pass per root in arrival order.
+
+    Rows with ``led`` are leaders of earlier slices and are not returned again. A task keeps the leaders of the root it is at, by signature and time.
     """
-    names = ["fp", "bucket", "seq", "published_at"]
+    names = ["root", "fp", "bucket", "seq", "published_at"]
     schema = rows.select(*names).schema
 
     def scan(batches):
-        fp, times = None, []
+        root, index, sets = None, {}, {}
         for batch in batches:
             keep = []
-            for key, at in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
-                if key != fp:
-                    fp, times = key, []
-                k = bisect_left(times, at - window)
-                keep.append(leads := not (k < len(times) and times[k] <= at + window))
-                if leads:
-                    insort(times, at)
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 5, 6, 7)]
+            for key, fp, at, keys, led in zip(*columns):
+                if key != root:
+                    root, index, sets = key, {}, {}
+                words = sets.get(fp) or frozenset(fp.split(" "))
+                blocked = False
+                if not led:
+                    seen = {fp}
+                    for k in keys:
+                        times = index.get(k, ())
+                        i = bisect_left(times, (at - window,))
+                        while not blocked and i < len(times) and times[i][0] <= at + window:
+                            other = times[i][1]
+                            if other == fp:
+                                blocked = True
+                            elif other not in seen:
+                                seen.add(other)
+                                common = len(words & sets[other])
+                                blocked = common / (len(words) + len(sets[other]) - common) >= threshold
+                            i += 1
+                        if blocked:
+                            break
+                if not blocked:
+                    sets[fp] = words
+                    for k in keys:
+                        insort(index.setdefault(k, []), (at, fp))
+                keep.append(not blocked and not led)
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    timed = rows.select(*names, F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"))
-    return timed.repartition("fp").sortWithinPartitions("fp", "seq").mapInArrow(scan, schema)
+    timed = rows.select(*names, F.unix_micros(F.col("published_at").cast("timestamp")).alias("at"), "keys", "led")
+    return timed.repartition("root").sortWithinPartitions("root", F.desc("led"), "seq").mapInArrow(scan, schema)
+
+
+def _sliced(rows: DataFrame, window: int, threshold: float, slice_rows: int) -> DataFrame:
+    """``_resolve`` for rows (root, fp, bucket, seq, published_at, keys), the roots with more than ``slice_rows`` rows in slices of their arrival order."""
+    fresh = rows.withColumn("led", F.lit(False))
+    sizes = cut_lineage(rows.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows))
+    if sizes.isEmpty():
+        return _resolve(fresh, window, threshold)
+    out = [_resolve(fresh.join(sizes, "root", "left_anti"), window, threshold)]
+    # cut at 1/CUTS steps of each root's arrival order, as many of them together as make up a slice
+    large = fresh.join(sizes, "root")
+    steps = [i / CUTS for i in range(1, CUTS)]
+    cuts = large.groupBy("root").agg(F.percentile_approx("seq", steps).alias("cuts"))
+    place = F.size(F.filter("cuts", lambda c: c < F.col("seq")))
+    large = cut_lineage(large.join(cuts, "root").withColumn("slice", F.floor(place * F.ceil(F.col("n") / slice_rows) / CUTS).cast("int")).drop("cuts", "n"))
+    carried: DataFrame | None = None
+    for k in range(large.agg(F.max("slice")).first()[0] + 1):
+        part = large.where(F.col("slice") == k).drop("slice")
+        if carried is not None:
+            span = part.groupBy("root").agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
+            near = carried.join(span, "root").where((_apart("published_at", "lo") <= window) | (_apart("published_at", "hi") <= window) | F.col("published_at").between(F.col("lo"), F.col("hi")))
+            part = part.unionByName(near.select(*part.columns))
+        found = cut_lineage(_resolve(part, window, threshold))
+        out.append(found)
+        led = found.join(part.select("root", "seq", "keys"), ["root", "seq"]).withColumn("led", F.lit(True))
+        carried = cut_lineage(led if carried is None else carried.unionByName(led.select(*carried.columns)))
+    lead = out[0]
+    for more in out[1:]:
+        lead = lead.unionByName(more)
+    return lead
 
 
 def _apart(a: str, b: str) -> Column:
     return F.abs(F.timestamp_diff("MICROSECOND", F.col(a), F.col(b)))
 
 
-def _settle(pending: DataFrame, champions: DataFrame, blockers: DataFrame, links, window: int):
-    """Promote unblocked champions and drop the rows they cover. Returns (new leaders, still pending)."""
-    free = champions.join(blockers, ["fp", "bucket"], "left").where(F.col("m").isNull() | (F.col("m") >= F.col("seq")))
-    leaders = cut_lineage(free.select("fp", "bucket", "seq", "published_at"))
-    cover = links(leaders).join(
-        leaders.select(F.col("fp").alias("o_fp"), F.col("bucket").alias("o_bucket"), F.col("published_at").alias("l_at")), ["o_fp", "o_bucket"])
-    dead = pending.join(cover, ["fp", "bucket"]).where(_apart("published_at", "l_at") <= window).select("fp", "bucket", "published_at").distinct()
-    rest = cut_lineage(pending.join(dead, ["fp", "bucket", "published_at"], "left_anti"))
-    return leaders, rest
-
-
-def _champions(pending: DataFrame) -> DataFrame:
-    return pending.groupBy("fp", "bucket").agg(F.min(F.struct("seq", "published_at")).alias("c")).select(
-        "fp", "bucket", F.col("c.seq").alias("seq"), F.col("c.published_at").alias("published_at"))
-
-
 def near_duplicates(articles: DataFrame, threshold: float = 0.8, hours: int = 48, seq: str = "news_id", title: str = "title",
-                    pair_budget: float = PAIR_BUDGET) -> DataFrame:
+                    pair_budget: float = PAIR_BUDGET, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(seq, duplicate_of): ``duplicate_of`` is the matching leader with the earliest published_at, null for leaders.
 
-    ``seq`` is the arrival order. Every round decides at least the earliest undecided row; the number of rounds follows
-    the longest chain of conflicts between different token sets, not the number of rows or the calendar.
+    ``seq`` is the arrival order.
     """
     window = hours * 3_600_000_000
     tokens = F.array_sort(title_tokens(F.col(title)))
@@ -164,41 +215,17 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.8, hours: int = 48
         "bucket", F.floor(F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(window)))
     rows = cut_lineage(rows)
     worded = rows.where("fp <> ''")
-    pending = cut_lineage(worded.groupBy("fp", "bucket", "published_at").agg(F.min("seq").alias("seq")))
-    sigs = cut_lineage(signatures(pending.select("fp").distinct(), threshold))
-    leaders: list[DataFrame] = []
-
-    # Floods: per-signature minima only, linear in the number of entries, as long as any signature is crowded.
-    while _crowd(pending.select("fp", "bucket").distinct(), sigs) > pair_budget:
-        champions = cut_lineage(_champions(pending))
-        entries = champions.join(sigs, "fp")
-        least = entries.groupBy("key", "bucket").agg(F.min("seq").alias("least"))
-        around = entries.select("fp", "bucket", "key", _near_buckets(F.col("bucket")).alias("_at"))
-        blockers = around.join(least.withColumnRenamed("bucket", "_at"), ["key", "_at"]).groupBy("fp", "bucket").agg(F.min("least").alias("m"))
-        cells = champions
-        new, pending = _settle(pending, champions, blockers, lambda found: _meet(cells, found, sigs, threshold), window)
-        leaders.append(new)
-
-    # The rest: verified neighbour cells, computed once.
-    cells = pending.select("fp", "bucket").distinct()
-    adjacent = cut_lineage(_meet(cells, cells, sigs, threshold))
-    contested = cut_lineage(adjacent.where("fp <> o_fp").select("fp").distinct())
-    leaders.append(cut_lineage(_alone(pending.join(contested, "fp", "left_anti"), window)))
-    pending = cut_lineage(pending.join(contested, "fp", "left_semi"))
-    adjacent = adjacent.join(contested, "fp", "left_semi")
-    while not pending.isEmpty():
-        champions = cut_lineage(_champions(pending))
-        other = champions.select(F.col("fp").alias("o_fp"), F.col("bucket").alias("o_bucket"), F.col("seq").alias("o_seq"))
-        blockers = adjacent.join(other, ["o_fp", "o_bucket"]).groupBy("fp", "bucket").agg(F.min("o_seq").alias("m"))
-        new, pending = _settle(pending, champions, blockers,
-                               lambda found: adjacent.join(found.select(F.col("fp").alias("o_fp"), F.col("bucket").alias("o_bucket")), ["o_fp", "o_bucket"]),
-                               window)
-        leaders.append(new)
-
-    lead = leaders[0]
-    for more in leaders[1:]:
-        lead = lead.unionByName(more)
-    lead = cut_lineage(lead)
+    units = cut_lineage(worded.groupBy("fp", "bucket", "published_at").agg(F.min("seq").alias("seq")))
+    sigs = cut_lineage(signatures(units.select("fp").distinct(), threshold))
+    links = cut_lineage(_linked(units.select("fp", "bucket").distinct(), sigs, threshold, pair_budget))
+    contested = cut_lineage(links.where("o_fp IS NULL OR fp <> o_fp").select("fp").distinct())
+    roots = components(links.join(contested, "fp", "left_semi").select("u", "v"))
+    met = units.join(contested, "fp", "left_semi").withColumn("node", F.xxhash64("fp", "bucket")).join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node")).drop("node")
+    # a set that meets no other one is looked up by its own signature only
+    alone = units.join(contested, "fp", "left_anti").withColumn("root", F.xxhash64("fp")).withColumn("keys", F.array("root"))
+    keys = sigs.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+    lead = cut_lineage(_sliced(met.join(keys, "fp").unionByName(alone), window, threshold, slice_rows).select("fp", "bucket", "seq", "published_at"))
     followers = worded.join(lead.select("seq"), "seq", "left_anti")
     links = _meet(followers.select("fp", "bucket").distinct(), lead, sigs, threshold).join(
         lead.select(F.col("fp").alias("o_fp"), F.col("bucket").alias("o_bucket"), F.col("seq").alias("l_seq"), F.col("published_at").alias("l_at")),
