@@ -105,7 +105,7 @@ def bars_stored(spark, sf_dir):
     folder = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
     bars.store_bars(base.withColumn("fetched_at", _ntz("2024-01-01 00:00:00")), folder)
     bars.store_bars(base.where("year(date) = 1997 AND day(date) < 10").withColumn("close", F.lit(1.5)).withColumn("fetched_at", _ntz("2024-02-01 00:00:00")), folder)
-    return spark.read.parquet(folder).groupBy("ticker", F.col("year").cast("bigint").alias("year")).agg(F.count("*").alias("bars"), F.count_if(F.col("close") == 1.5).alias("replaced"))
+    return bars.stored_bars(spark, folder).groupBy("ticker", F.col("year").cast("bigint").alias("year")).agg(F.count("*").alias("bars"), F.count_if(F.col("close") == 1.5).alias("replaced"))
 
 
 def closes_range(spark, sf_dir):

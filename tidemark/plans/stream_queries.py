@@ -12,6 +12,7 @@ from tidemark.plans import market_queries as mq
 from tidemark.plans.news_queries import stream_calendar
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import bench_views as v
+from tidemark.sources.commits import CommitLog, exactly_once
 from tidemark.streaming import jobs
 
 #: Deliveries that the source is split into, by a key: each covers the whole period, so later ones bring late rows.
@@ -31,8 +32,8 @@ def _deliver(spark: SparkSession, rows: DataFrame, key: Column, folder: str, wri
         jobs.start(stream, writer, f"{folder}/offsets").awaitTermination()
 
 
-def _table(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/out")
+def _table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return CommitLog(spark, f"{folder}/out").read(schema)
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +45,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("http://x.com/a?id="), (F.col("user_id") % 97).cast("string"), F.lit("&k="), F.col("event_type"), F.lit("&utm_source="), e.cast("string")).alias("url"),
         F.when(e % 19 != 0, F.col("ts")).alias("published_at"))
     folder = _folder(spark)
-    known = lambda: jobs.stored(spark, f"{folder}/out", "url_hash string")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    step = jobs.first_deliveries(known)
-    _deliver(spark, raw, e_of(F.col("news_id")), folder, jobs.exactly_once(f"{folder}/out", lambda batch: step(jobs.accepted_articles(batch, now))))
-    return _table(spark, folder).select("url_hash", "news_id")
+    step = jobs.first_deliveries()
+    _deliver(spark, raw, e_of(F.col("news_id")), folder, exactly_once(f"{folder}/out", lambda batch, earlier: step(jobs.accepted_articles(batch, now), earlier), partition_by=("prefix",)))
+    return _table(spark, folder, "url_hash string, news_id long")
 
 
 def e_of(news_id: Column) -> Column:
@@ -61,9 +61,8 @@ def stream_near_duplicates(spark, sf_dir):
     a = v.articles(spark, sf_dir)
     rows = a.select(((F.col("news_id") % DELIVERIES) * 10**12 + F.col("news_id")).alias("news_id"), "title", "published_at")
     folder = _folder(spark)
-    leaders = lambda: jobs.stored(spark, f"{folder}/out", "news_id long, title string, published_at timestamp_ntz, duplicate_of long").where("duplicate_of IS NULL")
-    _deliver(spark, rows, e_of(F.col("news_id")), folder, jobs.exactly_once(f"{folder}/out", jobs.near_duplicates_in(leaders)))
-    return _table(spark, folder).select("news_id", "duplicate_of", F.coalesce("duplicate_of", "news_id").alias("cluster_id"))
+    _deliver(spark, rows, e_of(F.col("news_id")), folder, exactly_once(f"{folder}/out", jobs.near_duplicates_in()))
+    return _table(spark, folder, "news_id long, duplicate_of long").select("news_id", "duplicate_of", F.coalesce("duplicate_of", "news_id").alias("cluster_id"))
 
 
 def stream_session_flow(spark, sf_dir):
@@ -71,7 +70,7 @@ def stream_session_flow(spark, sf_dir):
     folder = _folder(spark)
     writer = jobs.labelled(f"{folder}/out", "available_at", DELAY_HOURS, jobs.story_sums(stream_calendar(spark, sf_dir)))
     _deliver(spark, v.items(spark, sf_dir), F.col("news_id"), folder, writer)
-    out = jobs.session_flow(_table(spark, folder), 7)
+    out = jobs.session_flow(_table(spark, folder, "session date, entity string, cluster_id long, n long, n_late long, w double, ws double"), 7)
     rounded = [F.round(c, 6).alias(c) for c in ("mean", "baseline_mean", "relative")]
     return out.select("session", "entity", "stories", "articles", "late_articles", "baseline_n", *rounded)
 
@@ -80,7 +79,7 @@ def stream_arrivals(spark, sf_dir):
     """Sliding daily counts every six hours."""
     folder = _folder(spark)
     _deliver(spark, v.news(spark, sf_dir), F.col("news_id"), folder, jobs.labelled(f"{folder}/out", "published_at", DELAY_HOURS, jobs.arrivals("1 day", "6 hours")))
-    rows = jobs.totals(_table(spark, folder), "window_start", "provider", "timezone_status")
+    rows = jobs.totals(_table(spark, folder, "window_start timestamp_ntz, provider string, timezone_status string, n long, n_late long"), "window_start", "provider", "timezone_status")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "provider", "timezone_status", "n", "n_late")
 
 
@@ -88,7 +87,7 @@ def stream_baseline(spark, sf_dir):
     """Trailing seven-day mean and deviation per entity from streamed daily statistics."""
     folder = _folder(spark)
     _deliver(spark, v.items(spark, sf_dir), F.col("news_id"), folder, jobs.labelled(f"{folder}/out", "available_at", DELAY_HOURS, jobs.daily_statistics))
-    daily = jobs.totals(_table(spark, folder), "entity", "day")
+    daily = jobs.totals(_table(spark, folder, "entity string, day date, n long, n_late long, s double, ss double"), "entity", "day")
     return jobs.trailing_baseline(daily, 7).select("entity", "day", "n", F.round("mean", 9).alias("mean"), F.round("std", 7).alias("std"))
 
 
@@ -97,10 +96,9 @@ def stream_outcomes(spark, sf_dir):
     folder = _folder(spark)
     p = mq._predictions(spark, sf_dir)
     held = mq._known(p).select("prediction_id")
-    known = lambda: held.unionByName(jobs.stored(spark, f"{folder}/out", "prediction_id long").select("prediction_id"))
-    step = jobs.outcome_step(lambda: p, known, lambda: mq._thresholds(spark), F.lit(mq._NOW).cast("timestamp_ntz"))
-    _deliver(spark, v.stream_bars(spark, sf_dir), F.day("date"), folder, jobs.exactly_once(f"{folder}/out", step))
-    rows = _table(spark, folder).drop("batch")
+    step = jobs.outcome_step(lambda: p, lambda: held, lambda: mq._thresholds(spark), F.lit(mq._NOW).cast("timestamp_ntz"))
+    _deliver(spark, v.stream_bars(spark, sf_dir), F.day("date"), folder, exactly_once(f"{folder}/out", step))
+    rows = _table(spark, folder, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in step(v.stream_bars(spark, sf_dir), lambda schema: spark.createDataFrame([], schema)).schema))
     return rows.join(p.select("prediction_id", "session", "ticker"), "prediction_id").drop("prediction_id").withColumn("actual_close", F.round("actual_close", 6))
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import market
+from tidemark.sources.commits import CommitLog
+
+#: Columns of a stored bar that every reader knows.
+STORED = "ticker string, date date, close double, fetched_at timestamp_ntz"
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -24,20 +28,27 @@ def counted(bars: DataFrame, name: str = "bars") -> tuple[DataFrame, object]:
     return market.validate_bars(bars.observe(seen, F.count("*").alias("bars"), F.count_if(bad).alias("dropped"))), seen
 
 
-def store_bars(new: DataFrame, path: str) -> None:
-    """Upsert by (ticker, date). Only the years present in ``new`` are read back and rewritten."""
-    spark = new.sparkSession
+def _log(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, path, by="year")
+
+
+def stored_bars(spark: SparkSession, path: str, columns: str = STORED) -> DataFrame:
+    """The bars of the store: of every year the files that wrote it last."""
+    return _log(spark, path).read(f"{columns}, year int")
+
+
+def store_bars(new: DataFrame, path: str, delivery: int | None = None) -> None:
+    """Upsert by (ticker, date). Only the years present in ``new`` are read and written anew, beside the files they supersede.
+
+    The new files count from their commit on, so a writer that dies leaves the store as it was. A numbered ``delivery`` that is in the store already changes nothing.
+    """
+    log = _log(new.sparkSession, path)
+    entries = log.entries()
+    if delivery is not None and any(e.owner == "bars" and e.batch == delivery for e in entries):
+        return
     incoming = market.validate_bars(new).withColumn("year", F.year("date"))
-    years = [r["year"] for r in incoming.select("year").distinct().collect()]
-    try:
-        stored = spark.read.parquet(path).where(F.col("year").isin(years))
-    except Exception as e:  # first write: the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = None
-    merged = market.upsert_bars(stored, incoming) if stored is not None else market.upsert_bars(incoming.limit(0), incoming)
-    from tidemark.session import cut_lineage
-
-    # The checkpoint separates reading the partitions from overwriting them.
-    cut_lineage(merged).repartition("year").sortWithinPartitions("ticker", "date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    years = sorted(str(r["year"]) for r in incoming.select("year").distinct().collect())
+    held = log.read(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in incoming.schema), entries).where(F.col("year").cast("string").isin(years))
+    merged = market.upsert_bars(held, incoming)
+    number = max((e.batch for e in entries), default=-1) + 1 if delivery is None else delivery
+    log.write(merged.repartition("year").sortWithinPartitions("ticker", "date"), "bars", number, ("year",), tuple(years))

@@ -1,55 +1,41 @@
 """Structured Streaming versions of ingestion, news flow, baselines and outcome matching.
 
 Everything that a stream adds up is a sum over rows, so each micro-batch writes its own partial sums and the totals are read by
-adding them: no row is too late to count, no state grows, and a batch that is replayed overwrites its own output. What depends on
-earlier batches (uniqueness, duplicates, outcomes) is looked up in the stored table. Late rows are kept and labelled.
+adding them: no row is too late to count and no state grows. Each batch is one commit of its table, and what depends on earlier
+batches (uniqueness, duplicates, outcomes) looks up the commits before it, so a batch that is delivered again leaves the table
+as it is. Late rows are kept and labelled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import url_hash
 from tidemark.operators import dedup, outcomes
 from tidemark.operators.calendar import Calendar
 from tidemark.sources import validation
+from tidemark.sources.commits import CommitLog
 
 
-def exactly_once(path: str, transform=None):
-    """foreachBatch sink: each batch owns the partition ``batch=<id>`` of a parquet table."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch) if transform else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
-
-
-def labelled(path: str, event_time: str, delay_hours: int, transform=None):
+def labelled(path: str, event_time: str, delay_hours: int, transform=None, owner: str = "stream"):
     """Like ``exactly_once``, with a column ``late``: older than the newest row of earlier batches by more than the delay.
 
-    The newest event time of every batch is kept in a side table (one row a batch), written after the batch's rows.
+    The newest event time of a batch is a note in its commit.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = stored(batch.sparkSession, f"{path}-progress", "newest timestamp_ntz, batch int").where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        log = CommitLog(batch.sparkSession, path)
+        if log.has(owner, batch_id):
+            return
+        seen = max((e.notes["newest"] for e in log.before(owner, batch_id) if "newest" in e.notes), default=None)
         horizon = F.timestamp_add("HOUR", F.lit(-delay_hours), F.lit(seen).cast("timestamp_ntz"))
         marked = batch.withColumn("late", F.coalesce(F.col(event_time) < horizon, F.lit(False)))
-        (transform(marked) if transform else marked).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.agg(F.max(event_time).alias("newest")).write.mode("overwrite").parquet(f"{path}-progress/batch={batch_id}")
+        newest = batch.agg(F.date_format(F.max(event_time), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        log.write(transform(marked) if transform else marked, owner, batch_id, notes={"newest": newest} if newest else {})
 
     return write
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that earlier batches wrote; empty before the first one."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def start(stream: DataFrame, writer, checkpoint: str, mode: str = "append", available_now: bool = True):
     """Run a stream into a foreachBatch writer (all available data once, or continuously)."""
     w = stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", checkpoint)
@@ -65,31 +51,37 @@ def totals(table: DataFrame, *keys: str) -> DataFrame:
 def accepted_articles(raw: DataFrame, now: Column) -> DataFrame:
     """Validated articles with their URL hash."""
     ok, _ = validation.split(validation.validate(raw, now))
-    return ok.withColumn("url_hash", url_hash(F.col("url")))
+    return ok.withColumn("url_hash", url_hash(F.col("url"))).withColumn("prefix", F.substring("url_hash", 1, 2))
 
 
-def first_deliveries(stored_hashes, seq: str = "news_id"):
-    """Batch step: the first article of every URL that no earlier batch has. ``stored_hashes()`` reads the URL hashes of the table."""
-    def step(batch: DataFrame) -> DataFrame:
+def first_deliveries(seq: str = "news_id"):
+    """Batch step: the first article of every URL that no earlier batch has.
+
+    The table is partitioned by the first two digits of the URL hash, and only the partitions that the batch touches are looked up.
+    """
+    def step(batch: DataFrame, earlier) -> DataFrame:
         rest = [c for c in batch.columns if c not in (seq, "url_hash")]
         first = batch.groupBy("url_hash").agg(F.min(F.struct(seq, *rest)).alias("_r")).select("url_hash", "_r.*")
-        return first.join(stored_hashes().select("url_hash"), "url_hash", "left_anti")
+        touched = [r[0] for r in batch.select("prefix").distinct().collect()]  # at most 256
+        known = earlier("url_hash string, prefix string").where(F.col("prefix").isin(touched))
+        return first.join(known.select("url_hash"), "url_hash", "left_anti")
 
     return step
 
 
-def near_duplicates_in(stored_leaders, hours: int = 48, threshold: float = 0.8, seq: str = "news_id"):
-    """Batch step: resolve a micro-batch against the stored non-duplicates within the window of the batch.
+def near_duplicates_in(hours: int = 48, threshold: float = 0.8, seq: str = "news_id"):
+    """Batch step: resolve a micro-batch against the non-duplicates of earlier batches within the window of the batch.
 
     Stored leaders precede the batch and do not resemble one another, so resolving both together reproduces the order of
-    arrival exactly while reading only the recent partitions.
+    arrival exactly while reading only the recent rows.
     """
-    def step(batch: DataFrame) -> DataFrame:
+    def step(batch: DataFrame, earlier) -> DataFrame:
         bounds = batch.agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi")).first()
         if bounds["lo"] is None:
             return batch.withColumn("duplicate_of", F.lit(None).cast("bigint"))
         lo, hi = (F.timestamp_add("HOUR", F.lit(s * hours), F.lit(x).cast("timestamp_ntz")) for s, x in ((-1, bounds["lo"]), (1, bounds["hi"])))
-        recent = stored_leaders().where(F.col("published_at").between(lo, hi)).select(seq, "title", "published_at")
+        leaders = earlier(f"{seq} long, title string, published_at timestamp_ntz, duplicate_of long").where("duplicate_of IS NULL")
+        recent = leaders.where(F.col("published_at").between(lo, hi)).select(seq, "title", "published_at")
         both = recent.unionByName(batch.select(seq, "title", "published_at"))
         return batch.join(dedup.near_duplicates(both, threshold, hours, seq), seq)
 
@@ -152,11 +144,12 @@ def arrivals(size: str = "1 day", slide: str | None = None):
 
 
 # ---- S7: outcomes ---------------------------------------------------------------------------------
-def outcome_step(predictions, known, thresholds, now: Column):
-    """Batch step: new bars mature pending predictions. ``predictions()`` and ``known()`` read the stored tables."""
-    def step(bars: DataFrame) -> DataFrame:
+def outcome_step(predictions, held, thresholds, now: Column):
+    """Batch step: new bars mature pending predictions, each once. ``predictions()`` and ``held()`` (prediction_id) read the stored tables."""
+    def step(bars: DataFrame, earlier) -> DataFrame:
+        known = held().select("prediction_id").unionByName(earlier("prediction_id long").select("prediction_id"))
         touched = predictions().join(bars.select("ticker", F.col("date").alias("target_date")).distinct(), ["ticker", "target_date"], "left_semi")
-        rows, _ = outcomes.match_outcomes(touched, known(), bars, thresholds(), now)
+        rows, _ = outcomes.match_outcomes(touched, known, bars, thresholds(), now)
         return rows
 
     return step
