@@ -229,3 +229,52 @@ def test_a_search_needs_enough_dates(spark):
     rows = spark.createDataFrame([(dt.date(2026, 1, d), 0.1) for d in range(1, 5)], "as_of_date date, actual double")
     with pytest.raises(ValueError, match="dates to train"):
         tuning.sweep(lambda news: rows, [{"news": {}, "model": {}}], spark)
+
+
+def test_all_direction_models_match_separate_newton_fits(spark):
+    """Models of several feature lists and penalties fitted together equal single dense fits, missing values included."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    x[rng.random((300, 3)) < 0.1] = np.nan
+    y = (np.nan_to_num(x[:, 0]) - 0.5 * np.nan_to_num(x[:, 2]) + rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(*(None if math.isnan(v) else float(v) for v in r), int(t)) for r, t in zip(x, y)], "a double, b double, c double, up int").repartition(3)
+    asked = [(["a"], 0.01), (["a", "c"], 0.1), ([], 0.0), (["c", "b", "a"], 1.0)]
+    for (features, alpha), got in zip(asked, models.fit_logistics(rows, asked, "up")):
+        at = ["abc".index(f) for f in features]
+        z = np.nan_to_num((x[:, at] - np.nanmean(x[:, at], axis=0)) / np.nanstd(x[:, at], axis=0)) if at else np.zeros((300, 0))
+        d, w = np.c_[np.ones(300), z], np.zeros(1 + len(at))
+        pen = np.diag([0.0] + [alpha * 300] * len(at))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-d @ w))
+            w = w - np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + pen + 1e-12 * np.eye(len(w)), d.T @ (p - y) + pen @ w)
+        assert got["features"] == features and np.allclose([got["intercept"], *got["coef"]], w, atol=1e-6)
+
+
+def test_directions_choose_the_penalty_on_validation_only(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        part = "train" if i < 140 else "validation" if i < 190 else "test"
+        a = float(rng.normal())
+        rows.append((part, a, float(rng.normal()), float(a + rng.normal() * 0.7) if part != "test" else float(-a)))
+    df = spark.createDataFrame(rows, "part string, a double, b double, actual double")
+    sets = {"none": [], "a": ["a"], "both": ["a", "b"]}
+    got = {(r.feature_set, r.part): r for r in models.directions(df, sets).collect()}
+    assert set(got) == {(s, p) for s in sets for p in ("validation", "test")}
+    for name, features in sets.items():
+        losses = []
+        for alpha in models.ALPHAS if features else (0.0,):
+            m = models.fit_logistic(df.where("part = 'train'").withColumn("up", (F.col("actual") > 0).cast("int")), features, alpha, "up")
+            losses.append((logloss(m, [r for r in rows if r[0] == "validation"]), alpha))
+        assert got[name, "validation"].alpha == min(losses)[1]
+        assert abs(got[name, "validation"].log_loss - min(losses)[0]) < 1e-5
+    assert got["a", "validation"].accuracy > 0.7 and got["a", "test"].accuracy < 0.4
+    assert got["none", "test"].accuracy == got["none", "test"].majority_accuracy
+
+
+def logloss(model, rows):
+    total = 0.0
+    for _, a, b, actual in rows:
+        s = model["intercept"] + sum(c * ({"a": a, "b": b}[f] - m) / sd for f, c, m, sd in zip(model["features"], model["coef"], model["mean"], model["std"]))
+        total -= math.log(1 / (1 + math.exp(-s)) if actual > 0 else 1 - 1 / (1 + math.exp(-s)))
+    return total / len(rows)

@@ -122,6 +122,12 @@ def error_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
                       _ratio(F.col("_hits"), F.col("sign_n")).alias("sign_accuracy"), "sign_n")
 
 
+def direction_counts(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """How often a forecast column says up, down and neutral, and how often each came true to be."""
+    sides = {"predicted": direction(F.col(value), F.col("neutral_threshold_pct")), "actual": direction(F.col("actual"), F.col("neutral_threshold_pct"))}
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(c == d).alias(f"{side}_{d.lower()}") for side, c in sides.items() for d in DIRECTIONS])
+
+
 def with_all_baselines(records: DataFrame, baselines: list[str]) -> DataFrame:
     """Records that no baseline lacks: the common sample of every comparison."""
     return records.dropna(subset=baselines)

@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.tails import normal_p
 from tidemark.operators import metrics as metric_ops
 from tidemark.operators.predict import FEATURES, linear_value
 from tidemark.session import cut_lineage, local_frame
@@ -137,44 +138,97 @@ def fit_ridge(records: DataFrame, features: list[str], alphas=ALPHAS, target: st
     return [ridge(m, a) for a in alphas]
 
 
-def fit_logistic(records: DataFrame, features: list[str], alpha: float, target: str, iterations: int = 50) -> dict:
-    """Newton steps for the L2-penalised logistic model; each step aggregates a gradient and a Hessian."""
-    rows = records.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
-    m = Moments.from_rows(features, moments(rows, features, target="_y").collect())
-    base = {"kind": "logistic", "features": list(features), "alpha": alpha, "n_train": int(m.n)}
-    if not features:
-        p = min(max(m.y / m.n, 1e-6), 1 - 1e-6)
-        return {**base, "coef": [], "mean": [], "std": [], "intercept": float(np.log(p / (1 - p)))}
+def fit_logistics(records: DataFrame, models: list[tuple[list[str], float]], target: str, iterations: int = 50) -> list[dict]:
+    """L2-penalised logistic models of several feature lists and penalties, ``models`` being (features, alpha), fitted together.
+
+    Every Newton step is one pass over the rows: a task adds up the gradients and Hessians of all models that have not settled, Spark
+    sums them, and the driver solves one small system a model. Missing values are zero after standardisation; the intercept is not penalised.
+    """
+    names = sorted({f for features, _ in models for f in features})
+    rows = cut_lineage(records.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in names]))
+    m = Moments.from_rows(names, moments(rows, names, target="_y").collect())
     mean, std = m.standardisation()
-    rows = cut_lineage(rows)
-    k = len(features)
-    w = np.zeros(k + 1)
-    penalty = alpha * m.n * np.eye(k + 1)
-    penalty[0, 0] = 0.0
+    places = [[0] + [1 + names.index(f) for f in features] for features, _ in models]
+    share = min(max(m.y / m.n, 1e-6), 1 - 1e-6) if m.n else 0.5
+    weights = [np.zeros(len(p)) for p in places]
+    penalties = [np.diag([0.0] + [alpha * m.n] * (len(p) - 1)) for p, (_, alpha) in zip(places, models)]
+    left = [i for i, p in enumerate(places) if len(p) > 1 and m.n]
+    for i, p in enumerate(places):
+        if len(p) == 1:
+            weights[i][0] = np.log(share / (1 - share))
+
+    def step_sums(active: list[int]) -> dict[int, np.ndarray]:
+        current = [(i, places[i], weights[i]) for i in active]
 
-    def step_sums(weights: np.ndarray):
         def reduce(batches):
+            sums = {i: np.zeros(len(w) * (len(w) + 1)) for i, _, w in current}
             for pdf in batches:
-                z = np.nan_to_num((pdf[list(features)].to_numpy(dtype="float64") - mean) / std, nan=0.0)
-                x = np.hstack([np.ones((len(z), 1)), z])
-                p = 1 / (1 + np.exp(-(x @ weights)))
-                grad = x.T @ (p - pdf["_y"].to_numpy())
-                hess = x.T @ (x * (p * (1 - p))[:, None])
-                yield pd.DataFrame({"pos": range((k + 1) * (k + 2)), "value": np.concatenate([grad, hess.ravel()])})
-
-        sums = rows.mapInPandas(reduce, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).collect()
-        flat = np.zeros((k + 1) * (k + 2))
-        for r in sums:
-            flat[r["pos"]] = r["value"]
-        return flat[: k + 1], flat[k + 1:].reshape(k + 1, k + 1)
+                z = np.nan_to_num((pdf[names].to_numpy(dtype="float64") - mean) / std, nan=0.0)
+                z, y = np.hstack([np.ones((len(z), 1)), z]), pdf["_y"].to_numpy()
+                for i, p, w in current:
+                    x = z[:, p]
+                    prob = 1 / (1 + np.exp(-(x @ w)))
+                    sums[i][: len(w)] += x.T @ (prob - y)
+                    sums[i][len(w):] += (x.T @ (x * (prob * (1 - prob))[:, None])).ravel()
+            yield pd.DataFrame({"model": np.repeat(list(sums), [len(v) for v in sums.values()]), "pos": np.concatenate([np.arange(len(v)) for v in sums.values()]),
+                                "value": np.concatenate(list(sums.values()))})
+
+        out = {i: np.zeros(len(w) * (len(w) + 1)) for i, _, w in current}
+        for r in rows.mapInPandas(reduce, "model int, pos int, value double").groupBy("model", "pos").agg(F.sum("value").alias("value")).collect():
+            out[r["model"]][r["pos"]] = r["value"]
+        return out
 
     for _ in range(iterations):
-        grad, hess = step_sums(w)
-        step = np.linalg.solve(hess + penalty + 1e-9 * np.eye(k + 1), grad + penalty @ w)
-        w = w - step
-        if np.max(np.abs(step)) < 1e-8:
+        if not left:
             break
-    return {**base, "coef": w[1:].round(8).tolist(), "intercept": float(w[0]), "mean": mean.tolist(), "std": std.tolist()}
+        sums, still = step_sums(left), []
+        for i in left:
+            k = len(weights[i])
+            grad, hess = sums[i][:k], sums[i][k:].reshape(k, k)
+            step = np.linalg.solve(hess + penalties[i] + 1e-9 * np.eye(k), grad + penalties[i] @ weights[i])
+            weights[i] = weights[i] - step
+            if np.max(np.abs(step)) >= 1e-8:
+                still.append(i)
+        left = still
+    out = []
+    for (features, alpha), p, w in zip(models, places, weights):
+        at = [k - 1 for k in p[1:]]
+        out.append({"kind": "logistic", "features": list(features), "alpha": alpha, "n_train": int(m.n), "coef": w[1:].round(8).tolist(), "intercept": float(w[0]),
+                    "mean": mean[at].tolist(), "std": std[at].tolist()})
+    return out
+
+
+def fit_logistic(records: DataFrame, features: list[str], alpha: float, target: str, iterations: int = 50) -> dict:
+    """One L2-penalised logistic model."""
+    return fit_logistics(records, [(features, alpha)], target, iterations)[0]
+
+
+def directions(rows: DataFrame, feature_sets: dict[str, list[str]], actual: str = "actual") -> DataFrame:
+    """(feature_set, part, alpha, ...): a model of the sign of the return for every feature set, on rows with ``part``.
+
+    All sets and penalties are fitted together on the training rows; each set's penalty is the one with the least log loss on validation. The scores stand
+    next to always telling the training majority and to the training share of rising rows.
+    """
+    spark = rows.sparkSession
+    rows = cut_lineage(rows.withColumn("_up", (F.col(actual) > 0).cast("int")))
+    tagged = [(name, features, a) for name, features in feature_sets.items() for a in (ALPHAS if features else (0.0,))]
+    fitted = fit_logistics(rows.where("part = 'train'"), [(features, a) for _, features, a in tagged], "_up")
+    rate = rows.where("part = 'train'").agg(F.avg("_up")).first()[0]
+    scored = _scored(rows.where("part <> 'train'"), fitted)
+    scores = metric_ops.classifier_scores(scored, "value", "_up", rate, "candidate", "part")
+    hits = scored.groupBy("candidate", "part").agg(F.count_if((F.col("value") >= 0.5) == (F.col("_up") == 1)).alias("hits"),
+                                                  (-F.avg(F.log(F.when(F.col("_up") == 1, _inside("value")).otherwise(1 - _inside("value"))))).alias("_loss"))
+    table = cut_lineage(scores.join(hits, ["candidate", "part"]))
+    loss = {r["candidate"]: r["_loss"] for r in table.where("part = 'validation'").collect()}  # one number a set and penalty
+    chosen = [min((loss.get(i, float("inf")), i) for i, t in enumerate(tagged) if t[0] == name)[1] for name in feature_sets]
+    picked = local_frame(spark, [(i, tagged[i][0], float(tagged[i][2])) for i in chosen], "candidate int, feature_set string, alpha double")
+    return table.join(F.broadcast(picked), "candidate").select(
+        "feature_set", "part", "alpha", "n", "accuracy", metric_ops.half_up(normal_p(metric_ops.coin_flip_z(F.col("hits"), F.col("n")))).alias("p_value"), "majority_accuracy",
+        "log_loss", "brier", "brier_base_rate", "share_predicted_up", metric_ops.half_up(F.lit(rate)).alias("train_up_rate"))
+
+
+def _inside(p: str) -> Column:
+    return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
 
 
 def model_table(spark, models: dict[str, dict]) -> DataFrame:
@@ -267,7 +321,7 @@ def walk_forward(records: DataFrame, features: list[str], month: str = "month")
         x = F.array(*[F.col(f).cast("double") for f in features]) if features else F.array().cast("array<double>")
         z = F.zip_with(F.zip_with(x, "mu", lambda a, b: a - b), "sd", lambda a, b: F.coalesce(a / b, F.lit(0.0)))
         value = F.aggregate(F.zip_with(z, "coef", lambda a, b: a * b), F.col("b0"), lambda s, t: s + t)
-        joined = records.withColumnRenamed(month, "month") if month != "month" else records
+        joined = records.drop("month").withColumnRenamed(month, "month") if month != "month" else records
         return joined.join(F.broadcast(models), "month").withColumn("value", value)
 
     if len(names) < 3:
@@ -281,13 +335,21 @@ def walk_forward(records: DataFrame, features: list[str], month: str = "month")
     return metric_ops.error_stats(forecast(table(outer)), "value", "month", "alpha")
 
 
-def experiment(records: DataFrame, baselines: list[str], train_end=None, valid_end=None,
-               references: dict[str, DataFrame] | None = None, feature_sets: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """Out-of-sample study of the next-session horizon: split, fit, select on validation, test once."""
+def study_rows(records: DataFrame, baselines: list[str], train_end=None, valid_end=None) -> DataFrame:
+    """Next-session rows that no baseline lacks, with their ``part``."""
+    rows = metric_ops.with_all_baselines(records.where(F.col("horizon_type") == "today"), baselines)
+    return cut_lineage(chronological_split(rows, train_end, valid_end))
+
+
+def experiment(records: DataFrame, baselines: list[str], train_end=None, valid_end=None, references: dict[str, DataFrame] | None = None,
+               feature_sets: dict[str, list[str]] | None = None, period: str | None = None, with_directions: bool = False) -> dict[str, DataFrame]:
+    """Out-of-sample study of the next-session horizon: split, fit, select on validation, test once.
+
+    ``period``: column by which the full and the selected feature set also walk forward. ``with_directions``: models of the sign as well.
+    """
     sets = feature_sets or FEATURE_SETS
     spark = records.sparkSession
-    rows = metric_ops.with_all_baselines(records.where(F.col("horizon_type") == "today"), baselines)
-    rows = cut_lineage(chronological_split(rows, train_end, valid_end))
+    rows = study_rows(records, baselines, train_end, valid_end)
     names = sorted({f for fs in sets.values() for f in fs})
     train = Moments.from_rows(names, moments(rows.where("part = 'train'"), names).collect())
     valid = rows.where("part = 'validation'")
@@ -309,7 +371,15 @@ def experiment(records: DataFrame, baselines: list[str], train_end=None, valid_e
         "periods": rows.groupBy("part").agg(F.min("as_of_date").alias("start"), F.max("as_of_date").alias("end"), F.count("*").alias("rows"),
                                             F.countDistinct("as_of_date").alias("sessions")),
         "feature_analysis": metric_ops.feature_analysis(rows.where("part = 'train'"), list(FEATURES)),
+        "feature_analysis_all": metric_ops.feature_analysis(rows, list(FEATURES)),
+        "directions_per_part": metric_ops.direction_counts(scored, "value", "feature_set", "part"),
     }
+    if with_directions:
+        out["directions"] = directions(rows, sets)
+    if period:
+        walks = [walk_forward(rows, features, period).withColumn("feature_set", F.lit(name)) for name, features in (("full", list(FEATURES)), ("selected", sets[selected]))]
+        out["walk_forward"] = walks[0].unionByName(walks[1])
+        out["walk_forward_baselines"] = _stacked([metric_ops.error_stats(rows, b, period).withColumn("baseline", F.lit(b)) for b in baselines])
     for b in baselines:
         part = metric_ops.error_stats(rows, b, "part").withColumn("baseline", F.lit(b))
         out["baselines"] = part if "baselines" not in out else out["baselines"].unionByName(part)
@@ -321,6 +391,13 @@ def experiment(records: DataFrame, baselines: list[str], train_end=None, valid_e
     return out
 
 
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def recommended(tests: DataFrame) -> DataFrame:
     """True when the model beats every baseline significantly on validation and on test."""
     return tests.groupBy("feature_set").agg(

@@ -227,6 +227,44 @@ def recommendation(spark, sf_dir):
     return models.recommended(models.experiment(records(spark, sf_dir), THREE)["paired_tests"])
 
 
+def experiment_directions(spark, sf_dir):
+    """The model of the sign for every feature set, all sets and penalties fitted together."""
+    return models.directions(models.study_rows(records(spark, sf_dir), THREE), models.FEATURE_SETS)
+
+
+def experiment_direction_counts(spark, sf_dir):
+    """Predicted and actual directions of every feature set per part."""
+    return models.experiment(records(spark, sf_dir), THREE)["directions_per_part"]
+
+
+def experiment_references(spark, sf_dir):
+    """The fixed formula on the rows of the study, per part."""
+    mine = records(spark, sf_dir)
+    return models.experiment(mine, THREE, references={"factor model": mine})["references"]
+
+
+def logistic_inputs(spark, sf_dir):
+    """L3 on all inputs of the training rows."""
+    rows = models.study_rows(records(spark, sf_dir), THREE).where("part = 'train'").withColumn("up", (F.col("actual") > 0).cast("int"))
+    return models.model_table(spark, {"logistic": models.fit_logistic(rows, FEATURES, 0.01, "up")}).select("term", F.round("coef", 5).alias("coef"))
+
+
+def alpha_inputs(spark, sf_dir):
+    """L5 on all inputs."""
+    rows = models.study_rows(records(spark, sf_dir), THREE)
+    train = models.Moments.from_rows(FEATURES, models.moments(rows.where("part = 'train'"), FEATURES).collect())
+    alphas = local_frame(spark, list(enumerate(models.ALPHAS)), "candidate int, alpha double")
+    return models.alpha_errors(rows.where("part = 'validation'"), [models.ridge(train, a) for a in models.ALPHAS]).join(alphas, "candidate").select("alpha", "mae")
+
+
+def walk_forward_inputs(spark, sf_dir):
+    """All inputs and the market's own walk forward week by week over the replayed records."""
+    rows = records(spark, sf_dir).where("horizon_type = 'today'").withColumn("week", F.date_format(F.date_trunc("week", "session"), "yyyy-MM-dd"))
+    walks = [models.walk_forward(rows, features, "week").withColumn("feature_set", F.lit(name)) for name, features in _WALKS.items()]
+    return walks[0].unionByName(walks[1]).select("feature_set", F.col("month").alias("week"), "alpha", "n", "mae", "rmse", "bias", "directional_accuracy")
+
+
+_WALKS = {"full": list(FEATURES), "market features only": models.FEATURE_SETS["market features only"]}
 TRIALS = [(0, 1.0, 0.5, 0.3, 0.8, 0.0), (1, 2.0, 0.1, 0.0, 0.4, 0.3), (2, 0.0, 1.5, 1.1, 1.2, 0.0), (3, 0.7, 0.9, 0.2, 0.1, 0.9), (4, 1.3, 0.0, 0.6, 1.5, 0.1)]
 
 
@@ -250,7 +288,8 @@ def param_search(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     core_metrics, metrics_grouping_sets, direction_distribution, confusion_matrix, baseline_comparison, feature_analysis, paired_test, metric_objectives,
     stored_runs, classifier_scores, contribution_summary, company_summary, failure_cases, report_observations, evaluation_report, gram_matrix, ridge_fit,
-    chronological_split, alpha_selection, walk_forward, logistic_fit, experiment_scores, experiment_tests, recommendation, param_sweep, param_search)}
+    chronological_split, alpha_selection, walk_forward, logistic_fit, experiment_scores, experiment_tests, recommendation, experiment_directions,
+    experiment_direction_counts, experiment_references, logistic_inputs, alpha_inputs, walk_forward_inputs, param_sweep, param_search)}
 
 
 # ---- SQL checks -----------------------------------------------------------------------------------
@@ -399,6 +438,72 @@ sv AS (SELECT er.*, feature_set, names.set_no, pv.value FROM ch JOIN pv USING (s
 scores AS (SELECT feature_set, part, {sql_stats('value')} FROM sv GROUP BY 1, 2)"""
 
 
+def sql_newton(rounds: int = 14) -> str:
+    """Newton steps of the penalised logistic models lset(set_no, alpha, idx) on zrow(rid, part, y, z): nw holds (it, set_no, alpha, w), nl the last round's."""
+    most = len(FEATURES) + 1
+    system = """SELECT it, set_no, alpha, any_value(w) AS w, list(r ORDER BY i) AS m FROM (SELECT it, set_no, alpha, any_value(w) AS w, i, list_append(list(h ORDER BY j), any_value(g)) AS r FROM (
+  SELECT it, set_no, alpha, any_value(w) AS w, i, j, sum(p * (1 - p) * x[i] * x[j]) + CASE WHEN i = j THEN 1e-9 ELSE 0 END + CASE WHEN i = j AND i > 1 THEN alpha * count(*) ELSE 0 END AS h,
+    sum((p - y) * x[i]) + CASE WHEN i > 1 THEN alpha * count(*) * any_value(w[i]) ELSE 0 END AS g
+  FROM (SELECT nw.*, x, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p FROM nw JOIN lx USING (set_no) WHERE part = 'train' AND it < %d), (SELECT unnest(range(1, %d)) AS i), (SELECT unnest(range(1, %d)) AS j)
+  WHERE i <= len(w) AND j <= len(w) GROUP BY it, set_no, alpha, i, j) GROUP BY it, set_no, alpha, i) GROUP BY it, set_no, alpha""" % (rounds, most + 1, most + 1)
+    for k in range(1, most + 1):
+        system = f"""SELECT it, set_no, alpha, w, CASE WHEN {k} > len(m) THEN m ELSE list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda x: x / r[{k}])
+  ELSE list_transform(r, lambda x, j: x - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) END AS m FROM ({system})"""
+    return f"""lx AS (SELECT set_no, rid, part, actual, y, list_prepend(1.0::DOUBLE, list_transform(idx, lambda i: z[i])) AS x FROM zrow CROSS JOIN (SELECT DISTINCT set_no, idx FROM lset)),
+nw AS (SELECT 0 AS it, set_no, alpha, list_transform(range(len(idx) + 1), lambda i: 0.0::DOUBLE) AS w FROM lset
+  UNION ALL SELECT it + 1, set_no, alpha, list_transform(w, lambda a, i: a - m[i][len(m[i])]) FROM ({system})), nl AS (SELECT set_no, alpha, w FROM nw WHERE it = {rounds})"""
+
+
+def sql_directions() -> str:
+    number = {f: i for i, f in enumerate(FEATURES, 1)}
+    sets = ", ".join(f"({k}, '{name}', {[number[f] for f in fs]}::INT[])" for k, (name, fs) in enumerate(models.FEATURE_SETS.items()))
+    trivial = list(models.FEATURE_SETS).index(models.TRIVIAL_SET)
+    return f"""{sql_experiment().replace("WITH", "WITH RECURSIVE", 1)},
+zrow AS (SELECT rid, any_value(part) AS part, any_value(actual) AS actual, (any_value(actual) > 0)::INT AS y, list(z ORDER BY fi) AS z FROM zl GROUP BY 1),
+dset(set_no, feature_set, idx) AS (VALUES {sets}), lset AS (SELECT set_no, idx, alpha FROM dset, al WHERE set_no <> {trivial} UNION ALL SELECT set_no, idx, 0.0 FROM dset WHERE set_no = {trivial}),
+{sql_newton()},
+pr AS (SELECT set_no, alpha, part, y, 1 / (1 + exp(-list_dot_product(w, x))) AS p FROM nl JOIN lx USING (set_no) WHERE part <> 'train'),
+pc AS (SELECT *, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, p)) AS c FROM pr), rt AS (SELECT avg(y) AS rate FROM zrow WHERE part = 'train'),
+dl AS (SELECT set_no, alpha, -avg(CASE WHEN y = 1 THEN ln(c) ELSE ln(1 - c) END) AS loss FROM pc WHERE part = 'validation' GROUP BY 1, 2),
+dc AS (SELECT set_no, alpha FROM dl QUALIFY row_number() OVER (PARTITION BY set_no ORDER BY loss, alpha) = 1),
+da AS (SELECT feature_set, part, alpha, count(*) AS n, count(*) FILTER ((p >= 0.5) = (y = 1)) AS hits, count(*) FILTER (y = CASE WHEN rate >= 0.5 THEN 1 ELSE 0 END) AS base, count(*) FILTER (p >= 0.5) AS ups,
+  -avg(y * ln(c) + (1 - y) * ln(1 - c)) AS ll, avg(pow(p - y, 2)) AS br, avg(pow(rate - y, 2)) AS br0, any_value(rate) AS rate FROM pc JOIN dc USING (set_no, alpha) JOIN dset USING (set_no) CROSS JOIN rt GROUP BY 1, 2, 3)
+SELECT feature_set, part, alpha, n, round(hits / n, 4) AS accuracy, CASE WHEN n >= 10 THEN round({sql_two_sided('((hits - 0.5 * n) / sqrt(0.25 * n))')}, 4) END AS p_value, round(base / n, 4) AS majority_accuracy,
+  round(ll, 6) AS log_loss, round(br, 6) AS brier, round(br0, 6) AS brier_base_rate, round(ups / n, 4) AS share_predicted_up, round(rate, 4) AS train_up_rate FROM da"""
+
+
+def sql_logistic_inputs() -> str:
+    return f"""{sql_experiment().replace("WITH", "WITH RECURSIVE", 1)},
+zrow AS (SELECT rid, any_value(part) AS part, any_value(actual) AS actual, (any_value(actual) > 0)::INT AS y, list(z ORDER BY fi) AS z FROM zl GROUP BY 1),
+lset AS (SELECT 0 AS set_no, {list(range(1, len(FEATURES) + 1))} AS idx, 0.01::DOUBLE AS alpha), {sql_newton()}
+SELECT {["intercept", *FEATURES]}[k] AS term, round(w[k], 5) AS coef FROM nl, (SELECT unnest(range(1, {len(FEATURES) + 2})) AS k)"""
+
+
+def sql_walk_inputs() -> str:
+    """Ridge on the weeks before, for every week, feature list and penalty; the penalty is the best one of the week before."""
+    number = {f: i for i, f in enumerate(FEATURES)}
+    long = " UNION ALL ".join(f"SELECT rid, wk, actual, {i} AS fi, CAST({f} AS DOUBLE) AS x FROM wr" for f, i in number.items())
+    sets = ", ".join(f"({k}, '{name}', {[number[f] for f in fs]})" for k, (name, fs) in enumerate(_WALKS.items()))
+    return f"""{R}, wa AS (SELECT row_number() OVER (ORDER BY session, ticker) AS rid, *, strftime(date_trunc('week', session), '%Y-%m-%d') AS week FROM records WHERE horizon_type = 'today'),
+wr AS (SELECT *, dense_rank() OVER (ORDER BY week) AS wk FROM wa), ws AS (SELECT DISTINCT wk AS upto FROM wr), xl AS ({long}),
+sd AS (SELECT upto, fi, coalesce(avg(x), 0) AS m, CASE WHEN coalesce(stddev_pop(x), 0) < 1e-12 OR coalesce(var_pop(x), 0) < 1e-13 * (1 + pow(avg(x), 2)) THEN 1 ELSE stddev_pop(x) END AS s
+  FROM xl JOIN ws ON wk <= upto GROUP BY 1, 2),
+zl AS (SELECT upto, rid, wk, actual, fi, coalesce((x - m) / s, 0) AS z FROM xl JOIN sd USING (fi) WHERE wk <= upto + 1),
+my AS (SELECT upto, avg(actual) AS b0, count(*)::DOUBLE AS n FROM wr JOIN ws ON wk <= upto GROUP BY 1),
+gg AS (SELECT a.upto, a.fi AS i, b.fi AS j, sum(a.z * b.z) AS v FROM zl a JOIN zl b USING (upto, rid) WHERE a.wk <= a.upto GROUP BY 1, 2, 3),
+gt AS (SELECT upto, fi AS i, sum(z * (actual - b0)) AS v FROM zl JOIN my USING (upto) WHERE wk <= upto GROUP BY 1, 2),
+fs(f_no, name, fis) AS (VALUES {sets}), sf AS (SELECT f_no, unnest(fis) AS fi, unnest(range(1, len(fis) + 1)) AS k FROM fs), al AS (SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0])::DOUBLE AS alpha),
+mx0 AS (SELECT upto * 10 + f_no AS set_no, alpha, list(r ORDER BY k) AS m FROM (SELECT gg.upto, p.f_no, alpha, p.k, list_append(list(gg.v + CASE WHEN p.k = q.k THEN alpha * n ELSE 0 END ORDER BY q.k), any_value(gt.v)) AS r
+  FROM sf p JOIN sf q USING (f_no) JOIN gg ON gg.i = p.fi AND gg.j = q.fi JOIN gt ON gt.i = p.fi AND gt.upto = gg.upto JOIN my ON my.upto = gg.upto CROSS JOIN al GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),{sql_elimination(len(FEATURES))}
+cf AS (SELECT set_no // 10 AS upto, set_no % 10 AS f_no, alpha, unnest(range(1, len(m) + 1)) AS k, round(unnest(list_transform(m, lambda r: r[len(r)])), 8) AS c FROM mx{len(FEATURES)}),
+pv AS (SELECT cf.upto, cf.f_no, cf.alpha, zl.rid, any_value(b0) + sum(c * z) AS value FROM cf JOIN sf USING (f_no, k) JOIN zl ON zl.fi = sf.fi AND zl.upto = cf.upto AND zl.wk = cf.upto + 1 JOIN my ON my.upto = cf.upto GROUP BY 1, 2, 3, 4),
+im AS (SELECT f_no, alpha, wk, round(avg(abs(value - actual)), 5) AS mae FROM pv JOIN wr USING (rid) GROUP BY 1, 2, 3),
+bs AS (SELECT f_no, wk, first(alpha ORDER BY mae, alpha) AS alpha FROM im GROUP BY 1, 2),
+wsc AS (SELECT name AS feature_set, week, pv.alpha, value, actual, neutral_threshold_pct FROM pv JOIN wr USING (rid) JOIN bs ON bs.f_no = pv.f_no AND bs.wk = wr.wk - 1 AND bs.alpha = pv.alpha JOIN fs ON fs.f_no = pv.f_no),
+st AS (SELECT feature_set, week, alpha, {sql_stats('value')} FROM wsc GROUP BY 1, 2, 3)
+SELECT feature_set, week, alpha, n, mae, rmse, bias, directional_accuracy FROM st"""
+
+
 def sql_experiment_tests() -> str:
     loss = " UNION ALL ".join(f"SELECT part, session, '{b}' AS baseline, avg(abs(value - actual) - abs({b} - actual)) AS d FROM best WHERE part <> 'train' GROUP BY 1, 2" for b in THREE)
     return f"""{sql_experiment()},
@@ -410,6 +515,13 @@ pc AS (SELECT *, CASE WHEN tt IS NOT NULL THEN {sql_t_upper('(-tt)', '(n - 1)')}
 
 ORACLES = {
     "experiment_scores": f"{sql_experiment()} SELECT * FROM scores",
+    "experiment_directions": sql_directions(),
+    "experiment_references": f"{sql_experiment()} SELECT part, 'factor model' AS reference, {sql_stats('predicted')} FROM er GROUP BY 1",
+    "logistic_inputs": sql_logistic_inputs(),
+    "walk_forward_inputs": sql_walk_inputs(),
+    "alpha_inputs": f"{sql_experiment()} SELECT alpha, round(mae, 5) AS mae FROM va WHERE set_no = {list(models.FEATURE_SETS).index('full')}",
+    "experiment_direction_counts": f"""{sql_experiment()} SELECT feature_set, part, count(*) AS n, """ + ", ".join(
+        f"count(*) FILTER ({c} = '{d}') AS {s}_{d.lower()}" for s, c in (("predicted", "(" + ADIR.replace("actual", "value") + ")"), ("actual", "(" + ADIR + ")")) for d in metrics.DIRECTIONS) + " FROM sv GROUP BY 1, 2",
     "experiment_tests": f"""{sql_experiment_tests()} SELECT part, n AS n_dates, CASE WHEN n >= 5 THEN round(m, 5) END AS mean_loss_diff, round(tt, 4) AS t, round(pv, 4) AS p_value_improvement,
   coalesce(m < 0 AND pv < 0.05, FALSE) AS significant, baseline, (SELECT feature_set FROM pick) AS feature_set FROM pc""",
     "recommendation": f"""{sql_experiment_tests()} SELECT (SELECT feature_set FROM pick) AS feature_set, bool_and(coalesce(m < 0 AND pv < 0.05, FALSE)) AND count(DISTINCT part) = 2 AS recommended FROM pc""",
