@@ -25,12 +25,12 @@ def direction(pct: Column, threshold: Column) -> Column:
     return F.when(pct > threshold, "UP").when(pct < -threshold, "DOWN").otherwise("NEUTRAL")
 
 
-def macro_sensitivity(breakdown: DataFrame, sectors: DataFrame, table: DataFrame, default: float = 1.0) -> DataFrame:
-    """(pos, horizon, sector) -> weight-averaged sector multiplier over the macro categories present."""
-    macro = breakdown.where(F.col("entity") == MACRO).select("pos", "horizon_type", "target_date", "category", "weight")
+def macro_sensitivity(breakdown: DataFrame, sectors: DataFrame, table: DataFrame, default: float = 1.0, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(extra, pos, horizon, sector) -> weight-averaged sector multiplier over the macro categories present."""
+    macro = breakdown.where(F.col("entity") == MACRO).select(*extra, "pos", "horizon_type", "target_date", "category", "weight")
     pairs = macro.crossJoin(F.broadcast(sectors.select("sector").distinct())).join(F.broadcast(table), ["sector", "category"], "left")
     total = F.sum("weight")
-    return pairs.groupBy("pos", "horizon_type", "target_date", "sector").agg(
+    return pairs.groupBy(*extra, "pos", "horizon_type", "target_date", "sector").agg(
         F.when(total > 0, F.sum(F.col("weight") * F.coalesce("multiplier", F.lit(float(default)))) / F.nullif(total, F.lit(0.0)))
         .otherwise(float(default)).alias("macro_sens"))
 

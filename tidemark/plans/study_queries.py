@@ -285,11 +285,22 @@ def param_search(spark, sf_dir):
     return tuning.verdict(out["results"], out["tests"])
 
 
+#: Seeded trials over all bounds, news parameters included; trial 0 is the base set.
+SEARCHED_ALL = tuning.sample_trials({"news": nq.P, "model": nq.M}, SEARCH_SPACE, 30)
+
+
+def param_search_news(spark, sf_dir):
+    """Thirty trials over all bounds, their news parameters resolved in one story stage; objective per trial and part."""
+    x = nq.stream_inputs(spark, sf_dir)
+    return tuning.search(x, x.calendar.grid(), SEARCHED_ALL)["results"].select("trial", "part", "n", "objective", "rmse", "bias", "no_change_mae")
+
+
 QUERIES = {f.__name__: f for f in (
     core_metrics, metrics_grouping_sets, direction_distribution, confusion_matrix, baseline_comparison, feature_analysis, paired_test, metric_objectives,
     stored_runs, classifier_scores, contribution_summary, company_summary, failure_cases, report_observations, evaluation_report, gram_matrix, ridge_fit,
     chronological_split, alpha_selection, walk_forward, logistic_fit, experiment_scores, experiment_tests, recommendation, experiment_directions,
-    experiment_direction_counts, experiment_references, logistic_inputs, alpha_inputs, walk_forward_inputs, param_sweep, param_search)}
+    experiment_direction_counts, experiment_references, logistic_inputs, alpha_inputs, walk_forward_inputs, param_sweep, param_search,
+    param_search_news)}
 
 
 # ---- SQL checks -----------------------------------------------------------------------------------
@@ -513,7 +524,54 @@ pa AS (SELECT part, baseline, count(*) AS n, avg(d) AS m, stddev_samp(d) AS s FR
 pc AS (SELECT *, CASE WHEN tt IS NOT NULL THEN {sql_t_upper('(-tt)', '(n - 1)')} END AS pv FROM pb)"""
 
 
+def sql_search_news() -> str:
+    """The replay of every trial by brute force: all items visible at every cut-off, once a trial."""
+    rows = v._values([(i, *(float(t["news"][k]) for k in ("recency_half_life_scale", "price_report_weight", "baseline_days")),
+                       *(float(t["model"][k]) for k in ("w_company", "w_macro", "w_index", "sensitivity", "drift_weight"))) for i, t in enumerate(SEARCHED_ALL)])
+    keyed = lambda sql: sql.replace("session, entity, cluster_id", "trial, session, entity, cluster_id").replace(
+        "any_value(as_of) AS as_of", "any_value(hl) AS hl, any_value(pr) AS pr, any_value(as_of) AS as_of")
+    least = nq.P["min_baseline_n"]
+    used = "(NOT price_report OR pr > 0)"
+    weight = "greatest(1e-9, reliability * relevance * strength) * CASE WHEN price_report THEN pr ELSE 1 END"
+    return f"""WITH {v.SQL_ITEMS}, {v.SQL_STREAM_BARS}, {nq.SQL_UNI}, {nq.SQL_MARKET},
+t(trial, hl, pr, bd, wc, wm, wi, se, dw) AS (VALUES {rows}),
+vis AS (SELECT trial, hl, pr, c.session, c.as_of, c.window_start, c.close_utc, i.* FROM items i JOIN cutoffs c
+  ON i.available_at <= c.as_of AND i.available_at >= c.as_of - INTERVAL {nq.P['max_lookback_days']} DAY AND i.relevance >= 0.3 CROSS JOIN t WHERE i.entity = 'MACRO'),
+{keyed(nq.sql_stories('stories', 'vis'))},
+weighted AS (SELECT *, reliability * relevance * strength * pow(0.5, (epoch_us(greatest(as_of, close_utc)) - epoch_us(available_at)) / 86400000000.0 / (half_life_days * hl))
+  * (1 + 0.15 * ln(cluster_size)) * CASE WHEN price_report THEN pr ELSE 1.0 END AS w FROM stories),
+bycat AS (SELECT trial, session, category, round(sum(w), 5) AS weight FROM weighted WHERE w > 0 GROUP BY 1, 2, 3),
+sens AS (SELECT b.trial, b.session, k.sector, sum(b.weight * coalesce(s.multiplier, 1.0)) / sum(b.weight) AS macro_sens
+  FROM bycat b CROSS JOIN (SELECT DISTINCT sector FROM catalog) k LEFT JOIN sensitivity s ON s.sector = k.sector AND s.category = b.category GROUP BY 1, 2, 3),
+fvis AS (SELECT trial, hl, pr, c.session, c.as_of, c.window_start, c.close_utc, i.* FROM items i JOIN cutoffs c ON i.available_at <= c.as_of AND i.relevance >= 0.3 CROSS JOIN t
+  WHERE epoch_us(i.available_at) > epoch_us(c.window_start) - CAST(bd * 86400000000 AS BIGINT) AND epoch_us(i.available_at) >= epoch_us(c.as_of) - CAST(greatest({nq.P["max_lookback_days"]}, bd + 7) * 86400000000 AS BIGINT)),
+{keyed(nq.sql_stories('fstories', 'fvis'))},
+pvis AS (SELECT * FROM fvis WHERE available_at <= window_start AND entity <> 'MACRO'),
+{keyed(nq.sql_stories('pstories', 'pvis'))},
+pool AS (SELECT p.trial, p.session, count(*) AS pn, avg(sentiment) AS pmean FROM pstories p JOIN uni u ON u.session = p.session AND u.entity = p.entity WHERE {used} GROUP BY 1, 2),
+fresh AS (SELECT trial, session, entity, count(*) FILTER (WHERE {used}) AS n, sum({weight} * sentiment) FILTER (WHERE {used}) / sum({weight}) FILTER (WHERE {used}) AS cur FROM fstories WHERE available_at > window_start GROUP BY 1, 2, 3),
+base AS (SELECT trial, session, entity, count(*) AS bn, avg(sentiment) AS bmean FROM fstories WHERE available_at <= window_start AND {used} GROUP BY 1, 2, 3),
+asked AS (SELECT session, entity FROM uni UNION ALL SELECT session, 'MACRO' FROM cutoffs),
+joined AS (SELECT t.trial, a.session, a.entity, coalesce(f.n, 0) AS n, f.cur, b.bn, b.bmean, p.pn, p.pmean, a.entity <> 'MACRO' AND coalesce(b.bn, 0) < {least} AND coalesce(p.pn, 0) >= {least} AS pooled
+  FROM asked a CROSS JOIN t LEFT JOIN fresh f ON f.trial = t.trial AND f.session = a.session AND f.entity = a.entity LEFT JOIN base b ON b.trial = t.trial AND b.session = a.session AND b.entity = a.entity
+  LEFT JOIN pool p ON p.trial = t.trial AND p.session = a.session),
+flows AS (SELECT trial, session, entity, CASE WHEN CASE WHEN pooled THEN pn ELSE coalesce(bn, 0) END < {least} THEN NULL WHEN n = 0 THEN 0.0
+  ELSE round(cur - CASE WHEN pooled THEN pmean ELSE bmean END, 3) END AS rel FROM joined),
+idx AS (SELECT f.trial, f.session, round(sum(u.weight * rel) / sum(u.weight), 3) AS si FROM flows f JOIN uni u ON u.session = f.session AND u.entity = f.entity WHERE rel IS NOT NULL GROUP BY 1, 2),
+ins AS (SELECT t.*, u.session, u.entity AS ticker, m.previous_close, m.daily_vol, se * m.daily_vol / 100 * (wc * coalesce(f.rel, 0) + wm * coalesce(z.macro_sens, 1.0) * coalesce(mf.rel, 0) + wi * m.beta * coalesce(x.si, 0)) + dw * m.daily_drift AS raw
+  FROM uni u CROSS JOIN t JOIN market m ON m.session = u.session AND m.ticker = u.entity AND m.n_obs >= {nq.M['min_history_days'] + 1} AND m.daily_vol > 0
+  LEFT JOIN flows f ON f.trial = t.trial AND f.session = u.session AND f.entity = u.entity LEFT JOIN flows mf ON mf.trial = t.trial AND mf.session = u.session AND mf.entity = 'MACRO'
+  LEFT JOIN idx x ON x.trial = t.trial AND x.session = u.session LEFT JOIN sens z ON z.trial = t.trial AND z.session = u.session AND z.sector = u.sector),
+y AS (SELECT trial, i.session, round((b.close / previous_close - 1) * 100, 4) AS actual, round((exp(greatest(-3 * daily_vol, least(3 * daily_vol, raw))) - 1) * 100, 4) AS predicted
+  FROM ins i JOIN bars b ON b.ticker = i.ticker AND b.date = i.session),
+dy AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS k, count(*) OVER () AS nd FROM (SELECT DISTINCT session FROM y)),
+pt AS (SELECT y.*, CASE WHEN k < floor(nd * 0.6) THEN 'train' WHEN k < floor(nd * (0.6 + 0.2)) THEN 'validation' ELSE 'test' END AS part FROM y JOIN dy USING (session))
+SELECT CAST(trial AS INTEGER) AS trial, part, count(*) AS n, round(avg(abs(predicted - actual)), 4) AS objective, round(sqrt(avg(pow(predicted - actual, 2))), 4) AS rmse, round(avg(predicted - actual), 4) AS bias,
+  round(avg(abs(actual)), 4) AS no_change_mae FROM pt GROUP BY 1, 2"""
+
+
 ORACLES = {
+    "param_search_news": sql_search_news(),
     "experiment_scores": f"{sql_experiment()} SELECT * FROM scores",
     "experiment_directions": sql_directions(),
     "experiment_references": f"{sql_experiment()} SELECT part, 'factor model' AS reference, {sql_stats('predicted')} FROM er GROUP BY 1",
