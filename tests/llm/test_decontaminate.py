@@ -126,3 +126,11 @@ def test_empty_tables(spark):
     assert dc.leaks(docs, bench).collect() == [] and dc.without_leaks(docs, bench).count() == 1
     none = spark.createDataFrame([], DOCS)
     assert dc.leaks(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).collect() == []
+
+
+def test_words_cut_as_bytes_are_the_words_of_the_pattern():
+    rnd = random.Random(11)
+    alphabet = "abZ09_ -.\n\t'éßñ日本Ωи\u0307\u201c²½\u200b\x1c\x85\xa0"
+    for _ in range(400):
+        t = "".join(rnd.choice(alphabet[: rnd.choice([12, 17, 24, len(alphabet)])]) for _ in range(rnd.randint(0, 60))).lower()
+        assert [w.decode() for w in dc.words_of(t)] == dc._WORD.findall(t)

@@ -34,6 +34,8 @@ MIN_SCORE = 0.5
 BLOCK_CHARS = 8_000_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 _WORD = re.compile(r"[^\W_]+")
+#: Everything in ASCII that is no letter or digit becomes a blank.
+_BLANKS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,11 +63,32 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(best >> 32), int(best & (one - 1)), best_end
 
 
+class _Letters(dict):
+    """Whether a character beyond ASCII is a letter or digit."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = known = c.isascii() or c.isalnum()
+        return known
+
+
+_LETTERS = _Letters()
+
+
+def words_of(text: str) -> list[bytes]:
+    """The runs of letters and digits of a lower-cased text.
+
+    A text whose characters beyond ASCII are all letters or digits can be cut as bytes; others are searched for words.
+    """
+    if text.isascii() or all(map(_LETTERS.__getitem__, set(text))):
+        return text.encode().translate(_BLANKS).split()
+    return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text)]
+
+
 @dataclass
 class Block:
     """A block of items as word numbers; word 0 is any word that no item has."""
 
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     items: list[tuple[int, np.ndarray]]
     codes: np.ndarray  # of every n-gram of every item, sorted by item
     owner: np.ndarray
@@ -73,10 +96,10 @@ class Block:
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Block:
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         items, codes, owner, place = [], [], [], []
         for item_id, text in rows:
-            words = _WORD.findall((text or "").lower())
+            words = words_of((text or "").lower())
             if len(words) < MIN_ITEM_WORDS:
                 continue
             numbers = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64)
@@ -88,7 +111,7 @@ class Block:
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return cls(vocabulary, items, join(codes, np.uint64), join(owner, np.int64), join(place, np.int64))
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def rare(self, documents: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +168,7 @@ def _shared(item: np.ndarray, window: np.ndarray) -> int:
 
 def find(block: Block, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], text: str, min_score: float = MIN_SCORE) -> list[tuple]:
     """(item_id, score, start, end) of the places of a text that copy an item; offsets are code points."""
-    words = _WORD.findall(text.lower())
+    words = words_of(text.lower())
     numbers = block.numbers(words)
     grams = ngrams(numbers)
     codes, owner, place = seeds
@@ -197,7 +220,7 @@ def _blocks(docs: DataFrame, items: DataFrame):
             totals = np.zeros(len(known), np.int64)
             for part in slices(batches):
                 for text in part.column(0).to_pylist():
-                    grams = ngrams(block.numbers(_WORD.findall(text.lower())))
+                    grams = ngrams(block.numbers(words_of(text.lower())))
                     totals[np.searchsorted(known, np.unique(grams[_present(grams, known)]))] += 1
             some = np.flatnonzero(totals)
             yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(totals[some])], names=["code", "n"])
