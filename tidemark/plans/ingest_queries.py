@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import articles as art
-from tidemark.operators import entities, market, report, snapshots
+from tidemark.operators import entities, market, patterns, report, snapshots
 from tidemark.operators import universe as uni
 from tidemark.params import default_params
 from tidemark.plans import article_queries as aq
@@ -75,9 +75,9 @@ def json_feed_items(spark, sf_dir):
 
 
 def query_list(spark, sf_dir):
-    """I8: one query per nation (as companies) and the market-wide ones."""
-    n = v.table(spark, sf_dir, "nation")
-    catalog = n.select(F.col("n_name").alias("name"), F.when(n.n_nationkey % 2 == 0, F.array(F.lower("n_name"), F.lit("other"))).otherwise(F.array().cast("array<string>")).alias("aliases"))
+    """I8: one query per supplier (as companies) and the market-wide ones."""
+    n = v.table(spark, sf_dir, "supplier")
+    catalog = n.select(F.col("s_name").alias("name"), F.when(n.s_suppkey % 2 == 0, F.array(F.lower("s_name"), F.lit("other"))).otherwise(F.array().cast("array<string>")).alias("aliases"))
     return feeds.query_list(catalog, _MACRO)
 
 
@@ -177,11 +177,12 @@ def article_analysis(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    """Membership versions from the nations: a version per region, its members' weights from their keys."""
-    n = v.table(spark, sf_dir, "nation")
-    return n.select(F.concat(F.lit("r"), n.n_regionkey.cast("string")).alias("version"), n.n_name.alias("ticker"), (n.n_nationkey + 0.5).cast("double").alias("weight"),
-                    F.date_add(F.lit("2020-01-01").cast("date"), (n.n_regionkey * 100).cast("int")).alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
-                    F.when(n.n_regionkey % 2 == 0, "confirmed").otherwise("requires_confirmation").alias("status"))
+    """Membership versions from the orders: one per eight order numbers, its members the customers by their largest order; every second one is confirmed."""
+    o = v.table(spark, sf_dir, "orders").withColumn("_v", F.floor(F.col("o_orderkey") / 8))
+    since = o.groupBy("_v").agg(F.to_date(F.min("o_orderdate")).alias("effective_from"))
+    return o.groupBy("_v", "o_custkey").agg(F.max("o_totalprice").alias("weight")).join(since, "_v").select(
+        F.concat(F.lit("v"), F.col("_v").cast("string")).alias("version"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("ticker"), "weight", "effective_from",
+        F.lit(None).cast("date").alias("effective_to"), F.when(F.col("_v") % 2 == 0, "confirmed").otherwise("requires_confirmation").alias("status"))
 
 
 def confirmed_members(spark, sf_dir):
@@ -198,25 +199,43 @@ def universe_history(spark, sf_dir):
 def seeded_versions(spark, sf_dir):
     """C14: only versions that are not stored are added; a confirmation log then changes their status."""
     rows = _versions(spark, sf_dir)
-    fresh = uni.seed_versions(rows.where("version IN ('r0', 'r1')"), rows, rows.select("ticker"))
-    log = v.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("version"), F.lit("2024-01-01").cast("date").alias("confirmed_at")).where("version = 'r3'")
+    fresh = uni.seed_versions(rows.where("version LIKE '%0'"), rows, rows.select("ticker").distinct())
+    log = v.table(spark, sf_dir, "orders").where("o_orderkey % 24 = 8").select(F.concat(F.lit("v"), F.floor(F.col("o_orderkey") / 8).cast("string")).alias("version"), F.to_date("o_orderdate").alias("confirmed_at"))
     return uni.confirm(fresh, log).groupBy("version", "status").agg(F.count("*").alias("members"))
 
 
 def catalog_upsert(spark, sf_dir):
-    """suppliers' nations change a catalog of nations; a new row must be complete."""
-    n = v.table(spark, sf_dir, "nation")
-    held = n.where("n_nationkey < 20").select(n.n_name.alias("ticker"), F.concat(F.lit("N "), "n_name").alias("name"), F.col("n_regionkey").cast("string").alias("sector"), F.lit(1.0).alias("weight"))
-    changes = n.where("n_nationkey >= 15").select(n.n_name.alias("ticker"), F.when(n.n_nationkey % 2 == 0, F.lower("n_name")).alias("name"), F.lit("new").alias("sector"),
-                                                  F.when(n.n_nationkey % 3 != 0, n.n_nationkey.cast("double")).alias("weight"))
+    """A delivery of customers changes a catalog of them; a new row must be complete."""
+    n = v.table(spark, sf_dir, "customer")
+    held = n.where("c_custkey % 5 <> 0").select(n.c_name.alias("ticker"), F.concat(F.lit("N "), "c_name").alias("name"), F.col("c_mktsegment").alias("sector"), F.lit(1.0).alias("weight"))
+    changes = n.where("c_custkey % 3 = 0").select(n.c_name.alias("ticker"), F.when(n.c_custkey % 2 == 0, F.lower("c_name")).alias("name"), F.lit("new").alias("sector"),
+                                                  F.when(n.c_custkey % 7 != 0, n.c_acctbal).alias("weight"))
     return uni.upsert_catalog(held, changes)
 
 
 def mirrored_weights(spark, sf_dir):
-    """Weights, version, source and source date effective on a day, on the catalog."""
+    """Weights, version, source and source date effective on a day, on the catalog of customers."""
     rows = _versions(spark, sf_dir).withColumn("source", F.concat(F.lit("review "), "version")).withColumn("source_date", F.date_sub("effective_from", 9))
-    day = local_frame(spark, [("2020-08-15",)], "day string").select(F.col("day").cast("date").alias("day"))
-    return uni.mirror_weights(v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker")), rows, day)
+    day = local_frame(spark, [("1996-08-15",)], "day string").select(F.col("day").cast("date").alias("day"))
+    return uni.mirror_weights(v.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("ticker")), rows, day)
+
+
+def _many_aliases(spark, sf_dir):
+    """A catalog as large as the corpus: neighbouring words of every document, every third alias in its own case."""
+    w = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
+    d = v.table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
+    at = F.explode(F.sequence(F.lit(1), F.least(F.lit(100), F.size("w") - 1)))
+    # "a a" would overlap itself in "a a a", where a regular expression counts once
+    different = F.lower(F.element_at("w", F.col("i"))) != F.lower(F.element_at("w", F.col("i") + 1))
+    return d.where(F.size("w") > 1).select("doc_id", "w", at.alias("i")).where(different).select(
+        F.concat(F.lit("c"), (F.col("doc_id") % 500).cast("string")).alias("owner"), F.concat(F.element_at("w", F.col("i")), F.lit(" "), F.element_at("w", F.col("i") + 1)).alias("pattern"),
+        (F.length(F.element_at("w", F.col("i"))) % 3 == 0).alias("case_sensitive"))
+
+
+def entity_mentions_many(spark, sf_dir):
+    """E1 with about 100 aliases a document: each waits at its rarest token."""
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("news_id"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("summary"))
+    return patterns.mentions(docs, _many_aliases(spark, sf_dir))
 
 
 def newest_runs(spark, sf_dir):
@@ -248,7 +267,7 @@ def parameter_fingerprint(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     bars_ingest, bars_stored, search_feed_items, publisher_feed_items, json_feed_items, query_list, first_seen_urls, closes_range, replay_price_window, new_bars, reannotated, provider_audit,
     window_quality_items, pending_analysis, event_strengths, engine_scores, article_analysis, confirmed_members, universe_history, seeded_versions, catalog_upsert,
-    mirrored_weights, newest_runs, failure_titles, parameter_fingerprint)}
+    mirrored_weights, entity_mentions_many, newest_runs, failure_titles, parameter_fingerprint)}
 
 # ---- SQL checks -----------------------------------------------------------------------------------
 _ITEM = """i AS (SELECT event_id, event_type || ' & co ' || event_id AS t, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'Wire ' || (user_id % 6) END AS s,
@@ -258,8 +277,9 @@ _ITEM = """i AS (SELECT event_id, event_type || ' & co ' || event_id AS t, CASE
 _CLOCK = "CASE WHEN u IS NULL THEN 'unknown' WHEN second(u) > 0 THEN 'exact' WHEN minute(u) > 0 THEN 'minute' ELSE 'hour' END"
 _MARKED = "CASE WHEN strftime(u, '%H:%M:%S') = '07:00:00' THEN 'date_only' ELSE " + _CLOCK + " END"
 _ZONE = "CASE WHEN u IS NOT NULL THEN 'GMT' END AS published_timezone, CASE WHEN u IS NOT NULL THEN 'explicit' ELSE 'unknown' END AS timezone_status"
-_VERSIONS = """ver AS (SELECT 'r' || n_regionkey AS version, n_name AS ticker, n_nationkey + 0.5::DOUBLE AS weight, CAST(DATE '2020-01-01' + CAST(n_regionkey * 100 AS INTEGER) AS DATE) AS effective_from,
-  CASE WHEN n_regionkey % 2 = 0 THEN 'confirmed' ELSE 'requires_confirmation' END AS status FROM nation)"""
+_VERSIONS = """vo AS (SELECT o_orderkey // 8 AS k, * FROM orders), vd AS (SELECT k, CAST(min(o_orderdate) AS DATE) AS effective_from FROM vo GROUP BY 1),
+ver AS (SELECT 'v' || k AS version, 'c' || o_custkey AS ticker, max(o_totalprice) AS weight, any_value(effective_from) AS effective_from, CASE WHEN k % 2 = 0 THEN 'confirmed' ELSE 'requires_confirmation' END AS status
+  FROM vo JOIN vd USING (k) GROUP BY k, o_custkey)"""
 
 ORACLES = {
     "bars_ingest": """WITH b AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS high, count(*) AS n FROM orders GROUP BY 1, 2)
@@ -274,7 +294,7 @@ FROM i WHERE u IS NULL OR u BETWEEN TIMESTAMP '{_LO}' AND TIMESTAMP '{_HI}'""",
   CASE WHEN event_id % 3 = 2 THEN 'http://m/' ELSE 'http://n/' END || event_id AS url, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS published_at, event_type AS summary,
   CASE event_id % 3 WHEN 2 THEN 'u' || event_id WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'http://n/' || event_id ELSE 'i' || event_id END ELSE 'http://n/' || event_id END AS provider_article_id,
   'explicit' AS timezone_status FROM events""",
-    "query_list": f"""SELECT '"' || CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END || '"' AS query FROM nation UNION ALL SELECT unnest({_MACRO})""",
+    "query_list": f"""SELECT '"' || CASE WHEN s_suppkey % 2 = 0 THEN lower(s_name) ELSE s_name END || '"' AS query FROM supplier UNION ALL SELECT unnest({_MACRO})""",
     "first_seen_urls": r"SELECT regexp_replace(url, '\d+', '0', 'g') AS url, min(page_id) AS page_id FROM pages WHERE page_id % 10 <> 0 GROUP BY 1",
     "closes_range": f"WITH {v.SQL_ORDER_BARS} SELECT ticker, date, round(close, 6) AS close FROM bars WHERE ticker IN ('1-URGENT', '3-MEDIUM') AND date BETWEEN DATE '1996-02-01' AND DATE '1997-01-31'",
     "replay_price_window": f"""WITH {v.SQL_ORDER_BARS} SELECT ticker, min(date) AS first_date, max(date) AS last_date, count(*) AS bars FROM bars
@@ -297,14 +317,22 @@ SELECT (SELECT count(*) FROM items WHERE available_at BETWEEN TIMESTAMP '{_LO}'
     "event_strengths": f"SELECT event_id, round_even({v.STRENGTH} * (0.5::DOUBLE + 0.5::DOUBLE * least(1.0::DOUBLE, value * 0.031731::DOUBLE / 3.0::DOUBLE)), 4) AS strength FROM events",
     "engine_scores": """SELECT doc_id AS news_id, round((length(text) - length(replace(text, 'e', '')) - length(text) + length(replace(text, 'a', ''))) / (length(text) + 1.0::DOUBLE), 9) AS raw, 'vowels-v1' AS engine FROM documents""",
     "confirmed_members": f"WITH {_VERSIONS} SELECT DISTINCT ticker FROM ver WHERE status = 'confirmed'",
-    "universe_history": f"WITH {_VERSIONS} SELECT version, effective_from, status, string_agg(ticker, ',' ORDER BY weight DESC) AS tickers FROM ver GROUP BY ALL",
-    "seeded_versions": f"WITH {_VERSIONS} SELECT version, CASE WHEN version = 'r3' THEN 'confirmed' ELSE status END AS status, count(*) AS members FROM ver WHERE version NOT IN ('r0', 'r1') GROUP BY 1, 2",
-    "catalog_upsert": """WITH c AS (SELECT *, n_nationkey < 20 AS held, n_nationkey >= 15 AS changed FROM nation)
-SELECT n_name AS ticker, coalesce(CASE WHEN changed AND n_nationkey % 2 = 0 THEN lower(n_name) END, CASE WHEN held THEN 'N ' || n_name END) AS name, CASE WHEN changed THEN 'new' ELSE n_regionkey::VARCHAR END AS sector,
-  coalesce(CASE WHEN changed AND n_nationkey % 3 <> 0 THEN n_nationkey::DOUBLE END, CASE WHEN held THEN 1.0::DOUBLE END) AS weight, NOT held AND (n_nationkey % 2 <> 0 OR n_nationkey % 3 = 0) AS rejected FROM c""",
-    "mirrored_weights": f"""WITH {_VERSIONS}, a AS (SELECT max(version) AS version FROM ver WHERE status = 'confirmed' AND effective_from <= DATE '2020-08-15')
-SELECT n.n_name AS ticker, w.weight AS index_weight, w.version AS weight_version, 'review ' || w.version AS weight_source, CAST(w.effective_from - 9 AS DATE) AS weight_source_date
-FROM nation n LEFT JOIN (SELECT ver.* FROM ver JOIN a USING (version)) w ON w.ticker = n.n_name""",
+    "universe_history": f"WITH {_VERSIONS} SELECT version, effective_from, status, string_agg(ticker, ',' ORDER BY weight DESC, ticker) AS tickers FROM ver GROUP BY 1, 2, 3",
+    "seeded_versions": f"""WITH {_VERSIONS} SELECT version, CASE WHEN CAST(substr(version, 2) AS BIGINT) % 3 = 1 THEN 'confirmed' ELSE status END AS status, count(*) AS members FROM ver
+WHERE version NOT LIKE '%0' GROUP BY 1, 2""",
+    "catalog_upsert": """WITH c AS (SELECT *, c_custkey % 5 <> 0 AS held, c_custkey % 3 = 0 AS changed FROM customer)
+SELECT c_name AS ticker, coalesce(CASE WHEN changed AND c_custkey % 2 = 0 THEN lower(c_name) END, CASE WHEN held THEN 'N ' || c_name END) AS name,
+  CASE WHEN changed THEN 'new' ELSE c_mktsegment END AS sector, coalesce(CASE WHEN changed AND c_custkey % 7 <> 0 THEN c_acctbal END, CASE WHEN held THEN 1.0::DOUBLE END) AS weight,
+  NOT held AND (c_custkey % 2 <> 0 OR c_custkey % 7 = 0) AS rejected FROM c WHERE held OR changed""",
+    "mirrored_weights": f"""WITH {_VERSIONS}, a AS (SELECT version FROM ver WHERE status = 'confirmed' AND effective_from <= DATE '1996-08-15' ORDER BY effective_from DESC, version DESC LIMIT 1)
+SELECT 'c' || c_custkey AS ticker, w.weight AS index_weight, w.version AS weight_version, 'review ' || w.version AS weight_source, CAST(w.effective_from - 9 AS DATE) AS weight_source_date
+FROM customer LEFT JOIN (SELECT ver.* FROM ver JOIN a USING (version)) w ON w.ticker = 'c' || c_custkey""",
+    "entity_mentions_many": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(1, least(101, len(w)))) AS i FROM d WHERE len(w) > 1),
+a AS (SELECT DISTINCT 'c' || (doc_id % 500) AS owner, w[i] AS x, w[i + 1] AS y, length(w[i]) % 3 = 0 AS cs FROM k WHERE lower(w[i]) <> lower(w[i + 1])),
+t AS (SELECT doc_id, 0 AS part, regexp_extract_all(substr(text, 1, 80), '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS p FROM documents UNION ALL SELECT doc_id, 1, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') FROM documents),
+o AS (SELECT doc_id, part, unnest(p) AS x, unnest(list_slice(p, 2, len(p))) AS sep, unnest(list_slice(p, 3, len(p))) AS y FROM t),
+h AS (SELECT o.doc_id, o.part, a.owner FROM o JOIN a ON lower(a.x) = lower(o.x) AND lower(a.y) = lower(o.y) AND (NOT a.cs OR (a.x = o.x AND a.y = o.y)) WHERE o.sep = ' ')
+SELECT doc_id AS news_id, owner, CAST(count(*) FILTER (part = 0) AS INTEGER) AS in_title, CAST(count(*) FILTER (part = 1) AS INTEGER) AS in_body FROM h GROUP BY 1, 2""",
     "newest_runs": "SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC LIMIT 25",
     "failure_titles": """WITH g AS (SELECT CAST(ts AS DATE) AS session, event_type AS ticker, round(min(value) - max(value), 4) AS e FROM events GROUP BY 1, 2),
 w AS (SELECT session, ticker FROM g ORDER BY abs(e) DESC, session, ticker LIMIT 10),
