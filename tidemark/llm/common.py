@@ -159,12 +159,67 @@ def cross_links(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in out], pa.int64()), pa.array([min(x) for x in out], pa.int64())], names=["u", "v"])
 
 
+def alike_members(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(key, rep) of the members that agree in at least ``least`` bytes of their signatures with one of another component.
+
+    Rows (key, block, part, side, rep, root, sig) are dealt and sorted like those of ``cross_links``.
+    """
+    place, reps, roots, sigs, told = None, [], [], np.zeros((0, 0), np.uint8), set()
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        columns = [batch.column(i).to_pylist() for i in range(7)]
+        for key, block, part, side, rep, root, sig in zip(*columns):
+            mine = np.frombuffer(sig, np.uint8)
+            if (key, block, part) != place:
+                place, reps, roots, sigs, told = (key, block, part), [], [], np.zeros((HELD, len(mine)), np.uint8), set()
+            if (side or part == 0) and reps:
+                like = np.flatnonzero((sigs[: len(reps)] == mine).sum(axis=1) >= least)
+                like = [i for i in like.tolist() if roots[i] != root]
+                found = {rep, *(reps[i] for i in like)} - told if like else set()
+                told |= found
+                out += [(key, x) for x in found]
+            if not side:
+                if len(reps) == len(sigs):
+                    sigs = np.concatenate([sigs, np.zeros_like(sigs)])
+                sigs[len(reps)] = mine
+                reps.append(rep)
+                roots.append(root)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], names=["key", "rep"])
+
+
+def open_members(members: DataFrame) -> DataFrame:
+    """``members`` (key, rep, root, ...) of the keys with several components, with how they are dealt: blocks, parts and ``own``, the block that a member is held in.
+
+    The members of a key's largest component are held nowhere (null).
+    """
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    several = sizes.where("roots > 1").select(
+        F.col("key").alias("k"), F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / HELD).cast("int").alias("blocks"),
+        F.ceil(F.col("n") / STREAMED).cast("int").alias("parts"))
+    return cut_lineage(members.join(several, F.col("key") == F.col("k")).withColumn(
+        "own", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("rep"), "blocks").cast("int"))).drop("k", "top"))
+
+
+def dealt(mixed: DataFrame, payload: DataFrame, tasks: int) -> DataFrame:
+    """(key, block, part, side, rep, root, payload) sorted by the first four; ``payload``: id and one column."""
+    own = payload.columns[1]
+    held = mixed.where("own is not null").select("key", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "rep", "root")
+    past = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int").alias("part"),
+                        F.lit(1).alias("side"), "rep", "root", "own").where("own is null or own > block").drop("own")
+    rows = held.union(past).join(payload, F.col("rep") == F.col("id")).select("key", "block", "part", "side", "rep", "root", own)
+    return rows.repartition(tasks, "key", "block", "part").sortWithinPartitions("key", "block", "part", "side")
+
+
 def linked_by_keys(texts: DataFrame, reps: DataFrame, elements: Callable[[str], np.ndarray], similarity: float) -> DataFrame:
-    """(u, v), u > v: verified links whose components are those of *all* pairs of ``reps`` (rep, keys) that share a key.
+    """(u, v), u > v: verified links whose components are those of *all* pairs of ``reps`` (rep, keys[, sig]) that share a key.
 
     First every text is held against the first and the previous one of each key, which contracts crowds of near copies. A key whose
     members are in several components after that has all its pairs between components compared: its largest component streams past
     the others, these are held in blocks, and the members of a crowded key are dealt over blocks and parts. ``texts``: doc_id, text.
+
+    ``sig``: a MinHash signature, a byte per component. With it, members that are like no member of another component by six standard deviations
+    of the estimate drop out of a key before any set is built, so only few sets travel.
     """
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = reps.select(F.explode("keys").alias("key"), "rep").repartition(tasks, "key").sortWithinPartitions("key", "rep")
@@ -172,13 +227,13 @@ def linked_by_keys(texts: DataFrame, reps: DataFrame, elements: Callable[[str],
     links = cut_lineage(verified_pairs(texts, cut_lineage(pairs.distinct()), elements, similarity))
     roots = connected_components(links)
     members = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.explode("keys").alias("key"), "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-    several = sizes.where("roots > 1").select(
-        F.col("key").alias("k"), F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / HELD).cast("int").alias("blocks"),
-        F.ceil(F.col("n") / STREAMED).cast("int").alias("parts"))
-    mixed = cut_lineage(members.join(several, F.col("key") == F.col("k")).select(
-        "key", "rep", "root", "blocks", "parts", F.when(F.col("root") != F.col("top"), F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("own")))
+    mixed = open_members(members)
+    if "sig" in reps.columns:
+        width = reps.select(F.max(F.length("sig"))).first()[0] or 1
+        least = int(np.ceil(width * (similarity - 6 * np.sqrt(similarity * (1 - similarity) / width))))
+        wanted = reps.select(F.col("rep").alias("id"), "sig")
+        alike = dealt(mixed, wanted, tasks).mapInArrow(lambda batches: alike_members(batches, least), "key long, rep long").distinct()
+        mixed = open_members(mixed.select("key", "rep", "root").join(cut_lineage(alike), ["key", "rep"], "left_semi"))
 
     def sets(batches):
         for part in slices(batches):
@@ -187,12 +242,7 @@ def linked_by_keys(texts: DataFrame, reps: DataFrame, elements: Callable[[str],
 
     wanted = texts.join(dimension(cut_lineage(mixed.select(F.col("rep").alias("id")).distinct())), F.col("doc_id") == F.col("id"), "left_semi")
     s = cut_lineage(wanted.mapInArrow(sets, "id long, s array<long>"))
-    held = mixed.where("own is not null").select("key", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "rep", "root")
-    past = mixed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int").alias("part"),
-                        F.lit(1).alias("side"), "rep", "root", "own").where("own is null or own > block").drop("own")
-    dealt = held.union(past).join(s, F.col("rep") == F.col("id")).select("key", "block", "part", "side", "rep", "root", "s")
-    more = dealt.repartition(tasks, "key", "block", "part").sortWithinPartitions("key", "block", "part", "side").mapInArrow(
-        lambda batches: cross_links(batches, similarity), "u long, v long")
+    more = dealt(mixed, s, tasks).mapInArrow(lambda batches: cross_links(batches, similarity), "u long, v long")
     return links.union(cut_lineage(more.distinct()))
 
 

@@ -103,14 +103,16 @@ def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY, id_col
             rows = []
             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if d is not None:
-                    rows.append((d, hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest(), bands(signature(shingle_hashes(t)))))
-            columns = list(zip(*rows)) or [[]] * 3
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "digest", "keys"])
+                    sig = signature(shingle_hashes(t))
+                    rows.append((d, hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest(), bands(sig), (sig & 255).astype(np.uint8).tobytes()))
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "digest", "keys", "sig"])
 
     texts = id_and_text(docs, id_col, text_col)
-    rows = cut_lineage(texts.mapInArrow(keyed, "doc_id long, digest binary, keys array<long>"))
-    reps = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
+    rows = cut_lineage(texts.mapInArrow(keyed, "doc_id long, digest binary, keys array<long>, sig binary"))
+    reps = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"), F.col("r.sig").alias("sig"))
+    reps = cut_lineage(reps.drop("digest"))
     roots = connected_components(linked_by_keys(texts, reps, shingles, similarity))
     named = rows.select("doc_id", "digest").join(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest")
     classes = named.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
