@@ -13,7 +13,7 @@ from tidemark.plans.news_queries import stream_calendar
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import bench_views as v
 from tidemark.sources.commits import CommitLog, exactly_once
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, state
 
 #: Deliveries that the source is split into, by a key: each covers the whole period, so later ones bring late rows.
 DELIVERIES = 3
@@ -91,6 +91,29 @@ def stream_baseline(spark, sf_dir):
     return jobs.trailing_baseline(daily, 7).select("entity", "day", "n", F.round("mean", 9).alias("mean"), F.round("std", 7).alias("std"))
 
 
+#: Ten-day stretches are delivered one after the other; every tenth item of the first one comes two deliveries late.
+LATENESS_DAYS = 12
+
+
+def stream_baseline_state(spark, sf_dir):
+    """S5 with keyed state: the baseline of every entity and day from the days that late items can still reach, the last return of each."""
+    folder = _folder(spark)
+    day = F.to_date("available_at")
+    stretch = F.least(F.lit(2), F.floor((F.dayofmonth(day) - 1) / 10)).cast("long")
+    rows = v.items(spark, sf_dir).where(day < F.lit("2024-02-01").cast("date")).select(
+        F.when((stretch == 0) & (F.col("news_id") % 10 == 0), 2).otherwise(stretch).alias("delivery"), "entity", day.alias("day"), "sentiment")
+    write = exactly_once(f"{folder}/out")
+    for k in range(DELIVERIES):
+        rows.where(F.col("delivery") == k).write.mode("append").parquet(f"{folder}/source")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/source")
+        x = F.col("sentiment")
+        out = state.running_baseline(stream.select("entity", "day", F.lit(1).cast("long").alias("n"), x.alias("s"), (x * x).alias("ss")), 7, LATENESS_DAYS)
+        jobs.start(out, lambda b, i: write(b.withColumn("batch", F.lit(i).cast("long")), i), f"{folder}/offsets", "update").awaitTermination()
+    got = _table(spark, folder, state.BASELINE + ", batch long").where("too_late IS NULL")
+    last = got.groupBy("entity", "day").agg(F.max_by(F.struct("n", "mean", "std"), "batch").alias("b"))
+    return last.select("entity", "day", "b.n", F.round("b.mean", 9).alias("mean"), F.round("b.std", 7).alias("std"))
+
+
 def stream_outcomes(spark, sf_dir):
     """Closes that arrive in deliveries mature stored predictions, each once."""
     folder = _folder(spark)
@@ -102,7 +125,7 @@ def stream_outcomes(spark, sf_dir):
     return rows.join(p.select("prediction_id", "session", "ticker"), "prediction_id").drop("prediction_id").withColumn("actual_close", F.round("actual_close", 6))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_near_duplicates, stream_session_flow, stream_arrivals, stream_baseline, stream_outcomes)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_near_duplicates, stream_session_flow, stream_arrivals, stream_baseline, stream_baseline_state, stream_outcomes)}
 
 # A row is late if the newest row of an earlier delivery is more than the delay after it.
 _LATE = """seen AS (SELECT {key} % {n} AS k, max({at}) AS newest FROM {rows} GROUP BY 1),
@@ -127,6 +150,11 @@ SELECT session, entity, stories, articles, late_articles, bn AS baseline_n, roun
 SELECT strftime(time_bucket(INTERVAL 6 HOUR, published_at, TIMESTAMP '2024-01-01') - to_hours(CAST(h AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS window_start, provider, timezone_status, count(*) AS n,
   count(*) FILTER (late) AS n_late FROM w GROUP BY 1, 2, 3""",
     "stream_baseline": f"""WITH {v.SQL_ITEMS}, d AS (SELECT entity, CAST(available_at AS DATE) AS day, sentiment FROM items), k AS (SELECT DISTINCT entity, day FROM d)
+SELECT k.entity, k.day, count(*) AS n, round(avg(sentiment), 9) AS mean, round(stddev_samp(sentiment), 7) AS std FROM k JOIN d ON d.entity = k.entity AND d.day < k.day AND d.day >= k.day - 7 GROUP BY 1, 2""",
+    "stream_baseline_state": f"""WITH {v.SQL_ITEMS}, r AS (SELECT entity, CAST(available_at AS DATE) AS day, sentiment, news_id, least(2, (day(available_at) - 1) // 10) AS st FROM items WHERE available_at < TIMESTAMP '2024-02-01'),
+q AS (SELECT *, CASE WHEN st = 0 AND news_id % 10 = 0 THEN 2 ELSE st END AS k FROM r), n AS (SELECT entity, k, max(day) AS newest FROM q GROUP BY 1, 2),
+f AS (SELECT q.entity, q.k, max(n.newest) AS newest FROM (SELECT DISTINCT entity, k FROM q) q JOIN n ON n.entity = q.entity AND n.k < q.k GROUP BY 1, 2),
+d AS (SELECT q.* FROM q LEFT JOIN f ON f.entity = q.entity AND f.k = q.k WHERE f.newest IS NULL OR q.day >= f.newest - {LATENESS_DAYS}), k AS (SELECT DISTINCT entity, day FROM d)
 SELECT k.entity, k.day, count(*) AS n, round(avg(sentiment), 9) AS mean, round(stddev_samp(sentiment), 7) AS std FROM k JOIN d ON d.entity = k.entity AND d.day < k.day AND d.day >= k.day - 7 GROUP BY 1, 2""",
     "stream_outcomes": mq.ORACLES["outcome_rows"],
 }
