@@ -361,16 +361,17 @@ def _case(table: dict, column: str, default: str = "0.0") -> str:
 _single = {k: x for k, x in LEXICON.weights().items() if " " not in k}
 _LEX = f"""
 texts AS (SELECT news_id, 2.0 AS factor, title AS x FROM articles UNION ALL SELECT news_id, 1.0, summary FROM articles),
-norm AS (SELECT news_id, factor, regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(lower(x), '’', ''''), '([a-z])-(than\\b)', '\\1 \\2', 'g'),
-                '(\\bthan)-([a-z])', '\\1 \\2', 'g'), 'show-cause', 'show cause'), 'even as', 'though'), '{LEXICON.phrases[0][1]}', ' qqq-a ', 'g') AS x FROM texts),
-tl AS (SELECT news_id, factor, regexp_extract_all(x, '[a-z][a-z\\-'']*') AS w FROM norm),
+norm AS (SELECT news_id, factor, replace(replace(regexp_replace(regexp_replace(replace(lower(x), '’', ''''), '([a-z])-(than\\b)', '\\1 \\2', 'g'),
+                '(\\bthan)-([a-z])', '\\1 \\2', 'g'), 'show-cause', 'show cause'), 'even as', 'though') AS x FROM texts),
+tl AS (SELECT news_id, factor, flatten(list_transform(string_split_regex(x, '{LEXICON.phrases[0][1]}'), lambda p, i: CASE WHEN i > 1 THEN list_prepend('', regexp_extract_all(p, '[a-z][a-z\\-'']*'))
+  ELSE regexp_extract_all(p, '[a-z][a-z\\-'']*') END)) AS w FROM norm),
 tok AS (SELECT news_id, factor, i, w[i] AS t FROM (SELECT news_id, factor, w, unnest(range(1, len(w) + 1)) AS i FROM tl)),
 nb AS (SELECT *, lag(t) OVER s AS p1, lag(t, 2) OVER s AS p2, lag(t, 3) OVER s AS p3, lag(t, 4) OVER s AS p4, lag(t, 5) OVER s AS p5, lead(t) OVER s AS n1, lead(t, 2) OVER s AS n2,
        min(CASE WHEN t IN ('was', 'for') THEN i END) OVER (PARTITION BY news_id, factor) AS fc,
        coalesce(sum(CASE WHEN t IN ('that', 'with') THEN 1 ELSE 0 END) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb
        FROM tok WINDOW s AS (PARTITION BY news_id, factor ORDER BY i)),
 oc AS (SELECT *, cb - coalesce(max(CASE WHEN t IN ('was', 'for') THEN cb END) OVER (PARTITION BY news_id, factor ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS open_c FROM nb),
-wt AS (SELECT *, CASE WHEN t = 'qqq-a' THEN {LEXICON.phrases[0][2]} WHEN p1 || ' ' || t = 'of the' THEN 0.0 WHEN t || ' ' || n1 = 'of the' THEN 0.9
+wt AS (SELECT *, CASE WHEN t = '' THEN {LEXICON.phrases[0][2]} WHEN p1 || ' ' || t = 'of the' THEN 0.0 WHEN t || ' ' || n1 = 'of the' THEN 0.9
        WHEN t IN ('orre', 'ti', 'ed') AND list_has_any([p1, p2, p3, p4, p5, n1, n2], ['nd', 'ou']) THEN CASE WHEN t = 'orre' THEN -1.4 ELSE 1.4 END
        ELSE {_case(_single, 't')} END AS b FROM oc),
 sc AS (SELECT news_id, sum(factor * b
