@@ -278,3 +278,28 @@ def logloss(model, rows):
         s = model["intercept"] + sum(c * ({"a": a, "b": b}[f] - m) / sd for f, c, m, sd in zip(model["features"], model["coef"], model["mean"], model["std"]))
         total -= math.log(1 / (1 + math.exp(-s)) if actual > 0 else 1 - 1 / (1 + math.exp(-s)))
     return total / len(rows)
+
+
+def test_whole_experiment_walks_forward_and_scores_references(spark):
+    from tidemark.operators.predict import FEATURES
+
+    rng = random.Random(6)
+    rows = []
+    for d in range(30):
+        for t in "AB":
+            f = [rng.gauss(0, 1) for _ in FEATURES]
+            rows.append((dt.date(2026, 1, 1) + dt.timedelta(days=d), t, "today", f"w{d // 6}", *f, 0.5 * f[1] + rng.gauss(0, 0.2), 0.05, 0.0, rng.gauss(0, 0.1), 0.2 * f[1]))
+    schema = "as_of_date date, ticker string, horizon_type string, week string, " + ", ".join(f"{f} double" for f in FEATURES) + ", actual double, neutral_threshold_pct double, no_change double, drift double, predicted double"
+    df = spark.createDataFrame(rows, schema)
+    sets = {models.TRIVIAL_SET: [], "one": [FEATURES[1]], "full": list(FEATURES)}
+    out = models.experiment(df, ["no_change", "drift"], references={"formula": df}, feature_sets=sets, period="week", with_directions=True)
+    walk = out["walk_forward"].collect()
+    assert {(r.feature_set, r.month) for r in walk} == {(s, f"w{k}") for s in ("full", "selected") for k in range(2, 5)} and all(r.n == 12 for r in walk)
+    assert {(r.baseline, r.week) for r in out["walk_forward_baselines"].collect()} == {(b, f"w{k}") for b in ("no_change", "drift") for k in range(5)}
+    ref = {r.part: r for r in out["references"].collect()}
+    part = df.where(F.col("as_of_date") < dt.date(2026, 1, 19)).agg(F.avg(F.abs(F.col("predicted") - F.col("actual")))).first()[0]
+    assert ref["train"].mae == pytest.approx(part, abs=1e-4)
+    assert {(r.feature_set, r.part) for r in out["directions"].collect()} == {(s, p) for s in sets for p in ("validation", "test")}
+    counts = {(r.feature_set, r.part): r for r in out["directions_per_part"].collect()}
+    assert all(r.n == r.predicted_up + r.predicted_down + r.predicted_neutral == r.actual_up + r.actual_down + r.actual_neutral for r in counts.values())
+    assert out["feature_analysis_all"].count() == len(FEATURES)

@@ -216,3 +216,23 @@ def outcome_columns(df: DataFrame) -> list[str]:
 
     walk(df.schema)
     return found
+
+
+def run_summaries(items: DataFrame, grid: CutoffGrid) -> DataFrame:
+    """(pos, session, as_of, loaded, used_<policy>, excluded_<policy>): what a run at every cut-off loads, and what each policy lets it use.
+
+    An item is loaded from its available_at on and used from the first cut-off at which it is visible as well, so both are running sums over
+    counts per position; only those counts, bounded by the calendar, are laid over the cut-offs.
+    """
+    kinds = ["loaded", *av.POLICIES]
+    out = grid.position(items, F.col("available_at"), "p_loaded")
+    for policy in av.POLICIES:
+        seen = av.visible_at(F.col("provider_published_at"), F.col("timestamp_precision"), F.col("timezone_status"), F.col("fetched_at"), policy)
+        out = grid.position(out, seen, f"p_{policy}").withColumn(f"p_{policy}", F.when(F.col(f"p_{policy}").isNotNull(), F.greatest(f"p_{policy}", "p_loaded")))
+    first = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"p_{k}").alias("pos")) for k in kinds]))
+    counts = out.select(first.alias("f")).where("f.pos IS NOT NULL").groupBy("f.kind", "f.pos").agg(F.count("*").alias("n"))
+    spine = grid.frame().select("pos", "session", "as_of", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    upto = Window.partitionBy("kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = spine.join(counts, ["kind", "pos"], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+    wide = running.groupBy("pos", "session", "as_of").pivot("kind", kinds).agg(F.first("n"))
+    return wide.select("pos", "session", "as_of", "loaded", *[F.col(k).alias(f"used_{k}") for k in av.POLICIES], *[(F.col("loaded") - F.col(k)).alias(f"excluded_{k}") for k in av.POLICIES])

@@ -167,6 +167,11 @@ def policy_filter(spark, sf_dir):
     return loaded.agg(F.count("*").alias("loaded"), *flags, *[F.count_if(cls == e).alias(e) for e in av.ELIGIBILITY])
 
 
+def run_summaries(spark, sf_dir):
+    """M9: loaded, used and excluded items of a run at every cut-off, per policy."""
+    return art.run_summaries(v.items(spark, sf_dir), stream_calendar(spark, sf_dir).grid()).drop("pos", "as_of")
+
+
 def _annotated(spark, sf_dir):
     return art.annotate(v.news(spark, sf_dir), stream_calendar(spark, sf_dir))
 
@@ -283,7 +288,7 @@ def source_reliability(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     timestamp_parse, stored_precision, exchange_time, reject_counts, fetch_log, canonical_urls, exact_dedup, page_titles, query_matches, query_limit,
-    fingerprints, near_dup_leaders, duplicate_rate, effective_availability, eligibility_by_cutoff, policy_filter, first_usable_session, availability_audit,
+    fingerprints, near_dup_leaders, duplicate_rate, effective_availability, eligibility_by_cutoff, policy_filter, run_summaries, first_usable_session, availability_audit,
     audit_by_company, audit_by_date, article_stats, window_quality, replay_input_summary, analysis_items, news_lookup, entity_mentions, category_match,
     price_reports, detected_entities, lexicon_score, rake_keywords, corpus_phrases, article_keywords, source_reliability)}
 
@@ -460,6 +465,10 @@ SELECT t.news_id, d AS duplicate_of, coalesce(d, t.news_id) AS cluster_id FROM t
 SELECT count(*) AS loaded, count(*) FILTER (e = 'verified') AS used_verified, count(*) FILTER (e IN ('verified', 'timestamp_before')) AS used_exact_timestamp,
        count(*) FILTER (e <> 'post_cutoff') AS used_provider_timestamp, count(*) FILTER (e = 'verified') AS verified, count(*) FILTER (e = 'timestamp_before') AS timestamp_before,
        count(*) FILTER (e = 'post_cutoff') AS post_cutoff, count(*) FILTER (e = 'uncertain') AS uncertain FROM l""",
+    "run_summaries": f"""WITH {v.SQL_ITEMS}, {v.SQL_STREAM_BARS}, l AS (SELECT c.session, {_CLASS.format(c="c.as_of")} AS e FROM items i JOIN cutoffs c ON i.available_at <= c.as_of),
+a AS (SELECT session, count(*) AS n, count(*) FILTER (e = 'verified') AS x, count(*) FILTER (e IN ('verified', 'timestamp_before')) AS y, count(*) FILTER (e <> 'post_cutoff') AS z FROM l GROUP BY 1)
+SELECT c.session, coalesce(n, 0) AS loaded, coalesce(x, 0) AS used_verified, coalesce(y, 0) AS used_exact_timestamp, coalesce(z, 0) AS used_provider_timestamp,
+  coalesce(n - x, 0) AS excluded_verified, coalesce(n - y, 0) AS excluded_exact_timestamp, coalesce(n - z, 0) AS excluded_provider_timestamp FROM cutoffs c LEFT JOIN a USING (session)""",
     "first_usable_session": f"WITH {SQL_ANNOTATED} SELECT news_id, first_usable_session, availability_status FROM ann",
     "availability_audit": f"WITH {SQL_ANNOTATED} SELECT CASE WHEN grouping(provider) = 1 THEN 'ALL' ELSE provider END AS provider, {_QUALITY} FROM ann GROUP BY GROUPING SETS ((), (provider))",
     "audit_by_company": f"WITH {SQL_ANNOTATED} SELECT entity, count(*) AS total{_ST} FROM ann JOIN analysis a USING (news_id) WHERE a.entity <> 'NONE' GROUP BY 1",
