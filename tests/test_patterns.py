@@ -60,3 +60,20 @@ def test_edges(spark):
     assert patterns.mentions(news, aliases.limit(0)).collect() == [] and patterns.mentions(news.limit(0), aliases).collect() == []
     with pytest.raises(ValueError, match="letter or digit"):
         patterns.mentions(news, spark.createDataFrame([("X", "&", False)], aliases.schema))
+
+
+def shuffled_bytes(spark):
+    store, no = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = store.stageList(None, False, False, no, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_common_tokens_do_not_multiply(spark):
+    """3,540 pairs of 60 words that every article has: only those that stand together may meet an article."""
+    rng, words = random.Random(3), [f"w{i}" for i in range(60)]
+    bodies = [(i, "", " ".join(rng.sample(words, 60))) for i in range(200)]
+    news = spark.createDataFrame(bodies, "news_id long, title string, summary string")
+    aliases = spark.createDataFrame([(f"c{i % 7}", f"{a} {b}", False) for i, (a, b) in enumerate((a, b) for a in words for b in words if a != b)], "owner string, pattern string, case_sensitive boolean")
+    before = shuffled_bytes(spark)
+    got = patterns.mentions(news, aliases).agg(F.sum("in_body"), F.sum("in_title")).first()
+    assert tuple(got) == (200 * 59, 0) and shuffled_bytes(spark) - before < 3_000_000
