@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timestamps import hours_between, plus_days
 from tidemark.operators.calendar import CutoffGrid
 from tidemark.operators.scores import MACRO
-from tidemark.operators.stories import enumerate_positions, flow_range, story_states, with_visibility
+from tidemark.operators.stories import crowded_stories, enumerate_positions, flow_range, story_states, with_visibility
 from tidemark.session import cut_lineage
 
 Z_CLIP = 5.0
@@ -17,7 +17,7 @@ Z_CLIP = 5.0
 def flow_states(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp") -> DataFrame:
     ranged = flow_range(with_visibility(items, policy), grid, p)
     extra = ("new_until", "fetched_at") if "fetched_at" in ranged.columns else ("new_until",)
-    return story_states(ranged, extra=extra)
+    return story_states(ranged, extra=extra, crowded=crowded_stories(items))
 
 
 def new_stories(states: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def flow_grains(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "prov
         F.struct(F.lit("pool").alias("view"), F.when(F.col("entity") != MACRO, F.greatest("p_from", "new_until")).alias("p_from")))
     members = ranged.withColumn("_v", F.explode(views)).withColumns({"view": F.col("_v.view"), "p_from": F.col("_v.p_from")}).drop("_v").where(
         F.col("p_from") < F.col("p_to"))
-    states = story_states(members, extra=("new_until",), scope=("view",))
+    states = story_states(members, extra=("new_until",), scope=("view",), crowded=crowded_stories(items))
     own = F.col("view") == "own"
     parts = F.array(
         F.when(own, F.struct(F.lit("new").alias("kind"), F.col("p").alias("p"), F.least("q", "new_until").alias("q"))),
@@ -89,7 +89,7 @@ def trial_flow_grains(items: DataFrame, grid: CutoffGrid, p: dict, trials: DataF
                       for view, start in (("own", F.col("p_from")), ("pool", F.when(F.col("entity") != MACRO, F.greatest("p_from", "new_until"))))])
     members = out.withColumn("_v", F.explode(views)).withColumns({c: F.col(f"_v.{c}") for c in ("baseline_no", "view", "p_from", "p_to")}).drop(
         "_v", *[f"_to{k}" for k in range(len(baselines))]).where(F.col("p_from") < F.col("p_to"))
-    states = story_states(members, extra=("new_until",), scope=("baseline_no", "view"))
+    states = story_states(members, extra=("new_until",), scope=("baseline_no", "view"), crowded=crowded_stories(items))
     own = F.col("view") == "own"
     parts = F.array(
         F.when(own, F.struct(F.lit("new").alias("kind"), F.col("p").alias("p"), F.least("q", "new_until").alias("q"))),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import days_between
 from tidemark.operators.calendar import CutoffGrid
-from tidemark.operators.stories import enumerate_positions, score_range, story_states, with_visibility
+from tidemark.operators.stories import crowded_stories, enumerate_positions, score_range, story_states, with_visibility
 
 MACRO = "MACRO"
 
@@ -28,7 +28,7 @@ def _half_life(p: dict) -> Column:
 
 def weighted_states(items: DataFrame, grid: CutoffGrid, p: dict, policy: str = "provider_timestamp") -> DataFrame:
     """Story stretches with ``x``: the story's weight as of the first cut-off of its stretch."""
-    states = story_states(score_range(with_visibility(items, policy), grid, p))
+    states = story_states(score_range(with_visibility(items, policy), grid, p), crowded=crowded_stories(items))
     starts = grid.frame().select(F.col("pos").alias("p"), F.col("as_of").alias("start_at"))
     decay = F.pow(F.lit(0.5), days_between(F.col("available_at"), F.col("start_at")) / _half_life(p))
     weight = (
@@ -63,7 +63,7 @@ def trial_grains(items: DataFrame, grid: CutoffGrid, p: dict, trials: DataFrame,
     ``trials`` holds trial, scale_no (place in ``scales``, the different half-life scales), t_scale and t_price_report. A story's weight depends on a trial through
     its decay only, so stories are summed once a scale (price reports apart), and the trials are laid over those sums.
     """
-    states = story_states(score_range(with_visibility(items, policy), grid, p))
+    states = story_states(score_range(with_visibility(items, policy), grid, p), crowded=crowded_stories(items))
     starts = grid.frame().select(F.col("pos").alias("p"), F.col("as_of").alias("start_at"))
     base = (F.col("reliability") * F.col("relevance") * F.col("strength")
             * (1 + F.lit(float(p["corroboration_bonus"])) * F.log(F.greatest(F.lit(1), F.col("cluster_size")))))

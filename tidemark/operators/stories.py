@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.availability import visible_at
 from tidemark.functions.timestamps import plus_days
 from tidemark.operators.calendar import CutoffGrid
-from tidemark.session import spread
+from tidemark.session import cut_lineage, dimension, spread
+
+#: Items of the largest story that is resolved in one row.
+MEMBERS = 64
 
 
 def with_visibility(items: DataFrame, policy: str = "provider_timestamp") -> DataFrame:
@@ -54,21 +57,64 @@ def _earliest(*payload: str) -> Column:
     return F.min(F.struct("available_at", "news_id", *payload))
 
 
-def story_states(ranged: DataFrame, extra: tuple[str, ...] = (), scope: tuple[str, ...] = ()) -> DataFrame:
+def crowded_stories(items: DataFrame) -> DataFrame | None:
+    """(entity, cluster_id) of the stories with more than MEMBERS items; None if there are none."""
+    found = cut_lineage(items.groupBy("entity", "cluster_id").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select("entity", "cluster_id"))
+    return None if found.isEmpty() else dimension(found)
+
+
+def story_states(ranged: DataFrame, extra: tuple[str, ...] = (), scope: tuple[str, ...] = (), crowded: DataFrame | None | bool = False) -> DataFrame:
     """(entity, cluster_id, p, q) stretches with representative, relevance, reliability, sentiment and sizes.
 
-    * members with the same visible range and source are combined map-side first, so a cluster holding a large
-      share of all rows shrinks to at most (ranges x sources) rows before it is shuffled;
     * representative = earliest (available_at, news_id); relevance and reliability come from the member with the
       largest product (ties: earliest); sentiment is the reliability x relevance weighted mean; the size counts
       distinct sources.
+    * a story of up to MEMBERS items is brought together once and resolved in its row; ``crowded`` names the others
+      (found in ``ranged`` if it is left out), which are combined before they are shuffled and laid out by joins.
 
     ``scope`` columns extend the cluster key, so several memberships can be resolved in the same pass.
     """
     key = (*scope, "entity", "cluster_id")
     payload = ("strength", "half_life_days", "category", "price_report", *extra)
+    crowded = crowded_stories(ranged) if crowded is False else crowded
+    if crowded is None:
+        return _small_stories(ranged, key, payload)
+    ids = ["entity", "cluster_id"]
+    return _small_stories(ranged.join(crowded, ids, "left_anti"), key, payload).unionByName(_crowded_states(ranged.join(crowded, ids, "left_semi"), key, payload))
+
+
+def _weights() -> tuple[Column, Column]:
     product = F.col("reliability") * F.col("relevance")
-    weight = F.greatest(F.lit(1e-9), product)
+    return product, F.greatest(F.lit(1e-9), product)
+
+
+def _small_stories(ranged: DataFrame, key: tuple[str, ...], payload: tuple[str, ...]) -> DataFrame:
+    """One shuffle: the members of a story in an array, from which its stretches are read off."""
+    product, weight = _weights()
+    member = F.struct("available_at", "news_id", *payload, "p_from", "p_to", "source", F.struct(
+        product.alias("product"), (-F.unix_micros(F.col("available_at").cast("timestamp"))).alias("early"), (-F.col("news_id")).alias("low_id"), "relevance", "reliability").alias("best"),
+        weight.alias("w"), (weight * F.col("sentiment")).alias("ws"))
+    keyed = ranged.where(" AND ".join(f"{k} IS NOT NULL" for k in key))
+    stories = keyed.groupBy(*key).agg(F.array_sort(F.collect_list(member)).alias("_m"))
+    edges = lambda m: F.array_sort(F.array_union(F.transform(m, lambda x: x["p_from"]), F.transform(m, lambda x: x["p_to"])))
+    # the arrays of one keep members and edges from being worked out anew for every use
+    spans = F.transform(F.array(F.col("_m")), lambda m: F.transform(F.array(edges(m)), lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.struct(
+        F.element_at(e, i).alias("p"), F.element_at(e, i + 1).alias("q"),
+        F.filter(m, lambda x: (x["p_from"] <= F.element_at(e, i)) & (x["p_to"] > F.element_at(e, i))).alias("c")))).getItem(0)).getItem(0)
+    # explode_outer: a plain explode would push "size(...) > 0" down and work the spans out twice
+    rows = stories.select(*key, F.explode_outer(spans).alias("_s")).where(F.size("_s.c") > 0).select(*key, "_s.p", "_s.q", F.col("_s.c").alias("_c"))
+    plus = lambda a, x: F.coalesce(a + x, a, x)
+    total = lambda name: F.aggregate("_c", F.lit(None).cast("double"), lambda a, x: plus(a, x[name]))
+    return rows.withColumns({"_rep": F.get("_c", F.lit(0)), "_best": F.array_max(F.transform("_c", lambda x: x["best"]))}).select(
+        *key, "p", "q", "_rep.available_at", "_rep.news_id", *[f"_rep.{c}" for c in payload],
+        "_best.relevance", "_best.reliability", (total("ws") / total("w")).alias("sentiment"),
+        F.size(F.array_distinct(F.transform("_c", lambda x: x["source"]))).cast("bigint").alias("cluster_size"), F.size("_c").cast("bigint").alias("articles"))
+
+
+def _crowded_states(ranged: DataFrame, key: tuple[str, ...], payload: tuple[str, ...]) -> DataFrame:
+    """Members with the same visible range and source are combined map-side first, so a story that holds a large share of all rows
+    shrinks to at most (ranges x sources) rows before it is shuffled."""
+    product, weight = _weights()
     parts = ranged.groupBy(*key, "p_from", "p_to", "source").agg(
         _earliest(*payload).alias("rep"),
         F.max(F.struct(product.alias("product"), (-F.unix_micros(F.col("available_at").cast("timestamp"))).alias("early"),
