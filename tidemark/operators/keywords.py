@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +37,16 @@ def rake(df: DataFrame, key: str, text: str, max_words: int = 3, top_n: int = 8,
          stop_words: list[str] | None = None) -> DataFrame:
     """(key, phrase, score, rank): top phrases per document.
 
-    Everything is within one document, so nothing is shuffled: phrases are split in the JVM, Arrow batches of them are scored row by row.
+    Everything is within one document, so nothing is shuffled: phrases are split in the JVM and scored in Python, which holds a hundred documents at a time.
     """
     stops = stop_words or PHRASE_STOP_WORDS
-    phrases = spread(df.select(key, text)).select(key, phrase_windows(F.col(text), stops, max_words).alias("p"))
+    joined = F.array_join(F.transform(phrase_windows(F.col(text), stops, max_words), lambda w: F.array_join(w, " ")), "\n")
+    phrases = spread(df.select(key, text)).select(key, joined.alias("p"))
 
-    @F.pandas_udf("array<struct<phrase: string, score: double>>")
-    def best(column: pd.Series) -> pd.Series:
-        return column.map(lambda p: [] if p is None else [{"phrase": f, "score": x} for f, x in best_phrases([list(w) for w in p], top_n)])
+    # a row at a time: an Arrow batch would hold the phrases of 10,000 documents as Python objects at once
+    @F.udf("array<struct<phrase: string, score: double>>", useArrow=False)
+    def best(p: str | None) -> list:
+        return best_phrases([w.split(" ") for w in p.split("\n")], top_n) if p else []
 
     found = phrases.select(key, F.posexplode(best("p")).alias("at", "b"))
     return found.select(key, "b.phrase", "b.score", (F.col("at") + 1).alias("rank"))
