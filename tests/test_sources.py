@@ -185,3 +185,14 @@ def test_one_url_over_several_batches(spark):
     raw = spark.createDataFrame([(2, "h2"), (1, "h1"), (3, "h2"), (4, "h9")], "news_id long, url_hash string").withColumn("prefix", F.substring("url_hash", 1, 2))
     known = spark.createDataFrame([("h9", "h9")], "url_hash string, prefix string")
     assert {(r["url_hash"], r["news_id"]) for r in jobs.first_deliveries()(raw, lambda s: known).collect()} == {("h1", 1), ("h2", 2)}
+
+
+def test_a_condition_on_the_stamp_does_not_parse_it_again(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import feeds
+
+    items = spark.createDataFrame([("t", "l", "2024-01-05 10:00:00", "g", "d", "s")], "title string, link string, pubDate string, guid string, description string, source string")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    plan = feeds.search_feed(items, at, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract" in line]

@@ -62,12 +62,17 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("title", "link", "pubDate", F.col("guid._VALUE").alias("guid"), "description", F.col("source._VALUE").alias("source"))
 
 
+def _stamped(df: DataFrame, stamp: Column) -> DataFrame:
+    """``df`` with the parsed stamp as ``_s``; the generator keeps every use of a field, conditions included, from parsing it once more."""
+    return df.select("*", F.explode(F.array(stamp)).alias("_s"))
+
+
 def search_feed(items: DataFrame, start=None, end=None, provider: str = "google_news_rss", query: Column | None = None) -> DataFrame:
     """Search-feed items: publisher suffix removed; items outside [start, end] dropped, items without a stamp kept.
 
     A stamp at exactly 07:00:00 is a date without a time.
     """
-    base = items.withColumn("_s", parse_timestamp(F.col("pubDate"))).withColumn("_src", F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("unknown")))
+    base = _stamped(items, parse_timestamp(F.col("pubDate"))).withColumn("_src", F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("unknown")))
     utc = F.col("_s.utc")
     if start is not None:
         base = base.where(utc.isNull() | (utc >= start))
@@ -82,7 +87,7 @@ def search_feed(items: DataFrame, start=None, end=None, provider: str = "google_
 
 def publisher_feed(items: DataFrame, publisher: str, provider: str = "publisher_rss") -> DataFrame:
     """Publisher-feed items: HTML cleaned, guid falls back to the link."""
-    base = items.withColumn("_s", parse_timestamp(F.col("pubDate")))
+    base = _stamped(items, parse_timestamp(F.col("pubDate")))
     link = F.trim(F.coalesce("link", F.lit("")))
     guid = F.nullif(F.trim(F.coalesce(F.nullif("guid", F.lit("")), link)), F.lit(""))
     return base.select(*_article(provider, F.lit(publisher), F.coalesce(clean_html(F.col("title")), F.lit("")), link, F.col("_s"),
@@ -97,10 +102,10 @@ def json_articles(payloads: DataFrame, provider: str, query: Column | None = Non
     """The three JSON shapes: ``articles[]`` (id = url or id) and ``data[]`` (description, else snippet)."""
     zone = F.lit("UTC")
     if provider == "marketaux":
-        a = payloads.select(F.explode("data").alias("a")).select("a.*").withColumn("_s", parse_timestamp(F.col("published_at"), zone))
+        a = _stamped(payloads.select(F.explode("data").alias("a")).select("a.*"), parse_timestamp(F.col("published_at"), zone))
         return a.select(*_article(provider, F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")), F.coalesce("title", F.lit("")), F.coalesce("url", F.lit("")),
                                   F.col("_s"), F.coalesce(F.nullif("description", F.lit("")), F.col("snippet")), F.col("uuid"), query))
-    a = payloads.select(F.explode("articles").alias("a")).select("a.*").withColumn("_s", parse_timestamp(F.col("publishedAt"), zone))
+    a = _stamped(payloads.select(F.explode("articles").alias("a")).select("a.*"), parse_timestamp(F.col("publishedAt"), zone))
     ident = F.coalesce(F.nullif("id", F.lit("")), F.col("url")) if provider == "gnews" else F.col("url")
     return a.select(*_article(provider, F.coalesce(F.nullif(F.col("source.name"), F.lit("")), F.lit("unknown")), F.coalesce("title", F.lit("")),
                               F.coalesce("url", F.lit("")), F.col("_s"), F.col("description"), ident, query))
