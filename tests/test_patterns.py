@@ -1,11 +1,12 @@
 """Pattern tables against the literal operators that they stand in for."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import patterns
+from tidemark.operators import patterns, tallies
 from tidemark.operators.entities import Category, Company, category_hits, mention_count
 
 COMPANIES = [
@@ -77,3 +78,42 @@ def test_common_tokens_do_not_multiply(spark):
     before = shuffled_bytes(spark)
     got = patterns.mentions(news, aliases).agg(F.sum("in_body"), F.sum("in_title")).first()
     assert tuple(got) == (200 * 59, 0) and shuffled_bytes(spark) - before < 3_000_000
+
+
+def counted(news, aliases):
+    """The definition, an expression per alias and article."""
+    out = {}
+    for owner, pattern, own_case in set(aliases):
+        found = re.compile(rf"(?<![A-Za-z0-9]){re.escape(pattern)}(?![A-Za-z0-9])", re.ASCII | (0 if own_case else re.IGNORECASE))
+        for i, title, body in news:
+            n = out.setdefault((i, owner), [0, 0])
+            n[0] += len(found.findall(title or ""))
+            n[1] += len(found.findall(body or ""))
+    return {k: tuple(n) for k, n in out.items() if sum(n)}
+
+
+@pytest.mark.parametrize("owners, bitmaps, filters", [(2048, 32 << 20, 24 << 20), (3, 1 << 14, 1 << 10), (2048, 0, 0)])
+def test_mentions_equal_an_expression_per_alias(spark, monkeypatch, owners, bitmaps, filters):
+    """Whether owners are broadcast or met in the exchange; aliases in several cases count as often as an owner has them, tokens over the edge of a text don't."""
+    for name, value in (("OWNERS", owners), ("BITMAP_BYTES", bitmaps), ("FILTER_BYTES", filters)):
+        monkeypatch.setattr(tallies, name, value)
+    rng = random.Random(5)
+    words = ["The", "the", "THE", "cat", "Cat", "of", "Of", "x1", "été", "K", "ſat", "日本", "n0"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "-", "  ", ", "]) for _ in range(n)).strip()
+    news = [(i, text(4), None if i % 9 == 0 else text(rng.choice([0, 5, 40, 900]))) for i in range(60)]
+    aliases = [(f"c{rng.randrange(12)}", p, rng.random() < 0.4) for p in (text(rng.randint(1, 4)) for _ in range(700)) if re.search("[A-Za-z0-9]", p)]
+    table = spark.createDataFrame(aliases, "owner string, pattern string, case_sensitive boolean").repartition(3)
+    got = patterns.mentions(spark.createDataFrame(news, "news_id long, title string, summary string").repartition(3), table).collect()
+    want = counted(news, aliases)
+    assert len(got) == len(want) > 500 and {(r.news_id, r.owner): (r.in_title, r.in_body) for r in got} == want
+
+
+def test_owners_do_not_travel_with_places(spark):
+    """400 owners of each of 4,000 patterns: what is shuffled follows the catalog and the texts, not their product."""
+    pair = lambda i: F.concat(F.lit("a"), i.cast("string"), F.lit(" b"), i.cast("string"))
+    aliases = spark.range(400 * 4000, numPartitions=4).select(F.concat(F.lit("c"), (F.col("id") % 400).cast("string")).alias("owner"), pair(F.floor(F.col("id") / 400)).alias("pattern"), F.lit(False).alias("case_sensitive"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: pair((F.col("id") * 37 + k * 19) % 4000)), ", ")
+    news = spark.range(100, numPartitions=4).select(F.col("id").alias("news_id"), F.lit("").alias("title"), body.alias("summary"))
+    before = shuffled_bytes(spark)
+    got = patterns.mentions(news, aliases).agg(F.count("*"), F.sum("in_body"), F.sum("in_title")).first()
+    assert tuple(got) == (100 * 400, 100 * 200 * 400, 0) and shuffled_bytes(spark) - before < 8_000_000

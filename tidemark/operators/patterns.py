@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.tallies import LONGEST, tallied
 from tidemark.session import cut_lineage, dimension, spread
 
-#: Tokens of the longest pattern that is looked up, and owners of patterns that are broadcast in all.
-LONGEST, ENTRIES = 4, 1_500_000
+#: Owners of patterns that are broadcast in all.
+ENTRIES = 1_500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -133,11 +134,15 @@ def _looked_up(articles: DataFrame, known: DataFrame, sizes: list, seq: str, tit
     return laid.select(F.col("id").alias(seq), "owner", "pattern", "case_sensitive", F.col("in_title").cast("int").alias("in_title"), (~F.col("in_title")).cast("int").alias("in_body"))
 
 
-def _found(articles: DataFrame, patterns: DataFrame, excluded: DataFrame | None, seq: str, title: str, body: str, *by: str) -> DataFrame:
+def _wanted(patterns: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """owner, pattern, case_sensitive, phrases (an empty array where there are none)."""
     wanted = patterns.select("owner", "pattern", F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive")).where("owner IS NOT NULL AND pattern IS NOT NULL")
     none = F.array().cast("array<string>")
-    wanted = wanted.join(excluded, "owner", "left").withColumn("phrases", F.coalesce("phrases", none)) if excluded is not None else wanted.withColumn("phrases", none)
-    wanted = wanted.withColumn("plain", (F.size("phrases") == 0) & _plain(F.col("pattern"))).withColumn("key", F.translate("pattern", _UPPER, _LOWER))
+    return wanted.join(excluded, "owner", "left").withColumn("phrases", F.coalesce("phrases", none)) if excluded is not None else wanted.withColumn("phrases", none)
+
+
+def _found(articles: DataFrame, patterns: DataFrame, excluded: DataFrame | None, seq: str, title: str, body: str, *by: str) -> DataFrame:
+    wanted = _wanted(patterns, excluded).withColumn("plain", (F.size("phrases") == 0) & _plain(F.col("pattern"))).withColumn("key", F.translate("pattern", _UPPER, _LOWER))
     sizes = wanted.groupBy("plain", "key").agg(F.count("*").alias("n")).groupBy("plain", "n", _length(F.col("key")).alias("tokens")).agg(F.count("*").alias("keys")).collect()
     total = lambda df: df.groupBy(seq, *by).agg(F.sum("in_title").cast("int").alias("in_title"), F.sum("in_body").cast("int").alias("in_body"))
     out = total(_looked_up(articles, wanted.where("plain").drop("plain", "phrases"), [r for r in sizes if r["plain"]], seq, title, body))
@@ -158,7 +163,9 @@ def hits(articles: DataFrame, patterns: DataFrame, excluded: DataFrame | None =
 
 def mentions(articles: DataFrame, aliases: DataFrame, excluded: DataFrame | None = None, seq: str = "news_id", title: str = "title", body: str = "summary") -> DataFrame:
     """(seq, owner, in_title, in_body): alias hits per company; overlapping aliases each count."""
-    return _found(articles, aliases, excluded, seq, title, body, "owner")
+    wanted = _wanted(aliases, excluded)
+    phrased = wanted.withColumn("phrased", F.size("phrases") > 0)
+    return tallied(articles, phrased, seq, title, body, lambda others: _searched(articles, _wanted(others, excluded), seq, title, body))
 
 
 def keywords(articles: DataFrame, taxonomy: DataFrame, seq: str = "news_id", title: str = "title", body: str = "summary") -> DataFrame:
