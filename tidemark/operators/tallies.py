@@ -10,6 +10,8 @@ What travels are compressed columns, a row for many places; both exchanges follo
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +24,7 @@ from tidemark.session import cut_lineage, ship_package, spread
 #: Owners that have a bit, bytes of bitmaps and of filters that are broadcast, and tokens of the longest pattern that is looked up.
 OWNERS, BITMAP_BYTES, FILTER_BYTES, LONGEST = 2048, 32 << 20, 24 << 20, 4
 #: Bytes of text that are cut at a time, rows gathered before they are packed, bytes of input a bucket.
-SLICE, HELD, BUCKET_BYTES = 1 << 21, 500_000, 4_000_000
+SLICE, HELD, BUCKET_BYTES = 1 << 20, 250_000, 4_000_000
 
 _CATALOG, _OTHER, _HITS, _SUMS = range(4)
 _ROWS = "dest int, kind int, blob binary"
@@ -42,8 +44,10 @@ _cache: dict = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse modulo 2^64."""
     if len(_cache.get("powers", ((),))[0]) < n:
-        one = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLICE), x, np.uint64)]))
-        _cache["powers"] = one(_BASE), one(pow(_BASE, -1, 2**64))
+        _cache["powers"] = tuple(np.full(max(n, SLICE + 1), x, np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64)))
+        for powers in _cache["powers"]:
+            powers[0] = 1
+            np.multiply.accumulate(powers, out=powers)
     return _cache["powers"]
 
 
@@ -72,6 +76,9 @@ class Texts:
         self.data = np.frombuffer(held, np.uint8)[offsets[0]:offsets[-1]] if held and len(column) else np.empty(0, np.uint8)
         self.offsets = offsets - offsets[0]
 
+    def digests(self, lower: bool = False) -> np.ndarray:
+        return _digests(_sums(_LOWER[self.data] if lower else self.data), self.offsets[:-1], self.offsets[1:])
+
     def cut(self) -> Texts:
         word = _TOKEN[self.data]
         first, last = word.copy(), word.copy()
@@ -104,6 +111,10 @@ class Texts:
         return out
 
 
+def _pieces(column: pa.Array, rows: int = 1 << 16) -> list[pa.Array]:
+    return [column.slice(at, rows) for at in range(0, len(column), rows)]
+
+
 def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     long = ends - starts
     offsets = np.concatenate([[0], np.cumsum(long)])
@@ -223,7 +234,7 @@ class Known:
         self.table, self.keys, self.of = table, key.dictionary, key.indices.to_numpy()
         self.code = pc.fill_null(pc.index_in(table.column("owner").combine_chunks(), value_set=owners), -1).to_numpy()
         text = Texts(self.keys)
-        self.digests, self.text = _digests(_sums(text.data), text.offsets[:-1], text.offsets[1:]), text
+        self.digests, self.text = text.digests(), text
         times = np.where(self.code >= 0, table.column("n").to_numpy(), 0)
         shared = np.bincount(self.of[self.code >= 0], minlength=len(self.keys))
         _, at, same = np.unique(self.digests, return_inverse=True, return_counts=True)
@@ -278,7 +289,7 @@ class Lookup:
         bits = [np.frombuffer(c.buffers()[1], np.uint8)[c.offset * width:(c.offset + len(c)) * width] for t in tables for c in t.column("bits").chunks]
         self.bits = np.concatenate([*bits, np.empty(0, np.uint8)]).reshape(-1, width)
         text = Texts(keys)
-        digests = _digests(_sums(text.data), text.offsets[:-1], text.offsets[1:])
+        digests = np.concatenate([*(Texts(c).digests() for t in tables for c in t.column("key").chunks), np.empty(0, np.uint64)])
         first = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]])) if len(digests) else np.empty(0, np.int64)
         self.shift = np.uint64(64 - max(8, int(2 * len(first)).bit_length()))
         first = first[np.argsort(digests[first], kind="stable")]
@@ -336,10 +347,12 @@ class Lookup:
 
 def _lookups(shared) -> tuple[list[Lookup | None], list[str], bool]:
     """Unpacked once a worker; whether every owner has a bit."""
-    if _cache.get("for") != (key := id(shared.value)):
-        parts, half, width, owners, whole = shared.value
+    parts, half, width, owners, whole, name = shared.value
+    if _cache.get("for") != name:
+        _cache.pop("lookups", None)
         _cache["lookups"] = [Lookup(own, half, width) if (own := [p for p in parts if p[0] % 2 == kind]) else None for kind in (0, 1)], owners, whole
-        _cache["for"], _cache["kept"] = key, shared.value
+        _cache["for"] = name
+        pa.default_memory_pool().release_unused()
     return _cache["lookups"]
 
 
@@ -377,8 +390,9 @@ def _scan(batches, shared):
 
     def packed(own, kind, least=1):
         if sum(len(d) for _, d in own) >= least:
-            yield from _dealt(pa.concat_tables([t for t, _ in own]), np.concatenate([d for _, d in own]), kind)
+            table, dest = pa.concat_tables([t for t, _ in own]), np.concatenate([d for _, d in own])
             own.clear()
+            yield from _dealt(table, dest, kind)
 
     for part in _sliced(batches):
         counts = np.zeros((2, len(part), 64 * -(-len(owners) // 64)), np.int32)
@@ -509,9 +523,9 @@ def tallied(articles: DataFrame, wanted: DataFrame, seq: str, title: str, body:
     def cut(batches):
         for table in _gathered(batches, HELD):
             table = _distinct(table, "owner", "pattern", "case_sensitive", "phrased")
-            text, own = Texts(table.column("pattern").combine_chunks()).cut(), table.column("case_sensitive").to_numpy()
-            digests = np.where(own, *(_digests(_sums(d), text.offsets[:-1], text.offsets[1:]) for d in (text.data, _LOWER[text.data])))
-            dest, plain = (digests % np.uint64(half)).astype(np.int64) * 2 + own, text.plain() & ~table.column("phrased").to_numpy()
+            texts, own = [Texts(c).cut() for c in _pieces(table.column("pattern").combine_chunks())], table.column("case_sensitive").to_numpy()
+            digests = np.where(own, *(np.concatenate([t.digests(lower) for t in texts]) for lower in (False, True)))
+            dest, plain = (digests % np.uint64(half)).astype(np.int64) * 2 + own, np.concatenate([t.plain() for t in texts]) & ~table.column("phrased").to_numpy()
             for kind, some in ((_CATALOG, plain), (_OTHER, ~plain)):
                 yield from _dealt(table.select(["owner", "pattern", "case_sensitive"]).filter(pa.array(some)), dest[some], kind)
 
@@ -545,7 +559,7 @@ def tallied(articles: DataFrame, wanted: DataFrame, seq: str, title: str, body:
                                              names=["dest", "near", "filter", "tokens"])
 
     parts = [(r["dest"], bytes(r["near"]), bytes(r["filter"]), list(r["tokens"])) for r in known.mapInArrow(told, "dest int, near binary, filter binary, tokens array<int>").collect()]
-    shared = spark.sparkContext.broadcast((parts, half, width, owners, whole))
+    shared = spark.sparkContext.broadcast((parts, half, width, owners, whole, uuid.uuid4().hex))
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in (title, body)}
     block: Column = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("block")
     placed = spread(articles.select(F.col(seq).alias("id"), text[title].alias("_t"), text[body].alias("_b"))).select("id", block, "_t", "_b")
