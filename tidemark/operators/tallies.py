@@ -517,8 +517,10 @@ def tallied(articles: DataFrame, wanted: DataFrame, seq: str, title: str, body:
     """
     spark = articles.sparkSession
     ship_package(spark)
-    half = max(spark.sparkContext.defaultParallelism, min(2048, (_bytes(articles) + _bytes(wanted)) // (2 * BUCKET_BYTES)))
-    buckets, longest = 2 * half, LONGEST
+    size = _bytes(articles)
+    # a catalog that comes from a join is estimated far too high
+    half = max(spark.sparkContext.defaultParallelism, min(2048, (size + min(_bytes(wanted), 4 * size)) // (2 * BUCKET_BYTES)))
+    buckets = 2 * half
 
     def cut(batches):
         for table in _gathered(batches, HELD):
